@@ -171,8 +171,7 @@ def review_batches(files: DataFrame, group: str, block: str, order: str,
     heads = F.transform(F.slice("files", 1, max_files), lambda f: f["tokens"].cast("long"))
     shapes = blocks.withColumn("ends", ends).select(
         group, F.col(block).alias("block"), F.size("files").alias("size"), heads.alias("heads"),
-        *[F.transform("ends", lambda e, n=name: e[n]).alias(f"end_{name}")
-          for name in ("number", "files", "tokens")])
+        *[F.col(f"ends.{name}").alias(f"end_{name}") for name in ("number", "files", "tokens")])
     types = dict(files.dtypes)
     entries = shapes.groupBy(group).applyInPandas(
         _entries(max_files, max_tokens),

@@ -163,12 +163,12 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = F.concat(F.lit("/repo"), (file_no % 4).cast("string"))
     opening = F.when(file_no % 12 == 1, REACT_NATIVE_LINE).otherwise(REACT_LINE)
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("modified_at"),
         F.expr(f"o_orderkey div {LINES_PER_FILE}").alias("file_no"),
         (key % LINES_PER_FILE + 1).cast("int").alias("line_no"),
         ((F.col("o_custkey") + key) % 20).alias("t"),
     ).select(
-        "o_orderkey", "file_no", repo.alias("repo_path"),
+        "o_orderkey", "modified_at", "file_no", repo.alias("repo_path"),
         F.concat(repo, F.lit("/src/f"), file_no.cast("string"), _pick(EXTENSIONS, number))
         .alias("file_path"),
         _pick(LANGUAGES, number).alias("language"), "line_no",
@@ -183,7 +183,7 @@ def files_of(lines: DataFrame, *extra: str) -> DataFrame:
     content = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n")
     return (
         lines.groupBy(*extra, "repo_path", "file_path", "language", "file_no")
-        .agg(content.alias("content"))
+        .agg(content.alias("content"), F.max("modified_at").alias("modified_at"))
         .withColumns({
             "ext": _pick(EXTENSIONS, F.col("file_no") % 6),
             "size_bytes": F.octet_length("content").cast("long"),
@@ -203,3 +203,119 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = F.array_compact(F.array(F.when(key % 11 != 0, F.lit("previous")),
                                     F.when(key % 13 != 0, F.lit("current"))))
     return files_of(lines.withColumn("scan_id", F.explode(scans)), "scan_id")
+
+
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing of a tree: the corpus files, some of them below directories a scan skips, with
+    marker files of frameworks and names that are no code."""
+    number = F.col("file_no") % 10
+    folder = F.when(number == 7, "/node_modules/pkg/").when(number == 8, "/src/dist/").when(
+        number == 9, "/.git/").otherwise("/src/")
+    names = F.array(
+        F.concat(F.lit("f"), F.col("file_no").cast("string"), F.element_at(F.split("file_path", "f[0-9]+"), -1)),
+        F.concat(F.lit("note"), F.col("file_no").cast("string"), F.lit(".TXT")),
+        F.when(number == 3, "package.json").when(number == 5, "pom.xml").when(
+            number == 6, "dags/flow.PY").otherwise("app.py"))
+    files = files_of(corpus_lines(spark, sf_dir))
+    return files.select(
+        "repo_path", "file_no", F.explode(names).alias("name"),
+        (F.col("size_bytes") * F.when(number == 4, 1000).otherwise(1)).alias("size_bytes"),
+        "modified_at", folder.alias("folder"),
+    ).select("repo_path", F.concat("repo_path", "folder", "name").alias("file_path"),
+             "size_bytes", "modified_at", "file_no")
+
+
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON files from ``events``: valid, broken, nested, with repeated keys, scalar."""
+    n, p = F.col("event_id"), F.col("props")
+    user, depth = F.col("user_id").cast("string"), (F.col("event_id") % 14).cast("int")
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    content = (
+        F.when(n % 8 == 0, p)
+        .when(n % 8 == 1, text('{"k": ', user, ', "n": ', p, ', "list": [', p, ", ", p, "]}"))
+        .when(n % 8 == 2, text(p, " x"))
+        .when(n % 8 == 3, F.substring(p, F.lit(1), F.length(p) - 1))
+        .when(n % 8 == 4, text(F.repeat(F.lit('{"d":'), depth), p, F.repeat(F.lit("}"), depth)))
+        .when(n % 8 == 5, text(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth)))
+        .when(n % 8 == 6, text('{"a": 1, "a": ', user, ', "b": {"a": [', p, "]}}"))
+        .otherwise(text('"', F.col("event_type"), '"')))
+    return table(spark, sf_dir, "events").select(
+        F.lit("/events").alias("repo_path"),
+        F.concat(F.lit("/events/e"), n.cast("string"), F.lit(".json")).alias("file_path"),
+        F.lit("json").alias("language"), content.alias("content"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one file."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("/docs/"), "source").alias("repo_path"),
+        F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"),
+        F.col("text").alias("content"), content_hash(F.col("text")).alias("content_hash"))
+
+
+def labelled_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge entries of the labelled documents: one issue per bad label, saved in the order
+    of the documents. Copies of a text give several entries; the last one is valid."""
+    labels = table(spark, sf_dir, "labels")
+
+    def issue(category: str, severity: str, description: str) -> Column:
+        return F.struct(
+            F.lit(category).alias("category"), F.lit(severity).alias("severity"),
+            F.lit(1).alias("line_start"), F.size(F.split("content", "\n")).alias("line_end"),
+            F.lit(description).alias("description"), F.lit("Review the text").alias("recommendation"))
+
+    issues = F.array_compact(F.array(
+        F.when(F.col("quality") == 0, issue("maintainability", "info", "Low quality")),
+        F.when(F.col("toxic") == 1, issue("security", "error", "Toxic"))))
+    return document_files(spark, sf_dir).join(labels, "doc_id").select(
+        F.col("content_hash").alias("file_hash"), issues.alias("issues"),
+        F.timestamp_seconds("doc_id").alias("ts"), F.lit("labels").alias("source"))
+
+
+def order_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan headers from ``orders``."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("scan_id"),
+        F.concat(F.lit("/repo"), (F.col("o_custkey") % 20).cast("string")).alias("repo_path"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"),
+        F.col("o_custkey").alias("total_issues"))
+
+
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and cache entries from ``events``."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("entry_id"), F.col("event_type").alias("provider"),
+        F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("cache_key"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to review requests, one per order, in the shapes services return."""
+    key = F.col("o_orderkey")
+    number = (key % 40).cast("string")
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    status = F.col("o_orderstatus")
+    severity = F.when(status == "F", "Error").when(status == "O", "WARNING").otherwise("fatal")
+    item = text('{"category": "Security", "severity": "', severity,
+                '", "line_start": ', number, ', "line_end": ', number,
+                ', "description": "Found by ', status, '", "recommendation": "Fix ', number, '"}')
+    plain = text('{"category": "bug", "severity": "ERROR", "description": "Plain"}')
+    foreign = text('{"category": "style", "severity": "fatal"}')
+    response = (
+        F.when(key % 9 == 0, text("Here are the issues:\n[", item, ", ", plain, "]\nRegards"))
+        .when(key % 9 == 1, text('{"issues": [', item, "]}"))
+        .when(key % 9 == 2, "[]")
+        .when(key % 9 == 3, text("[", item))
+        .when(key % 9 == 4, "")
+        .when(key % 9 == 5, "No issues found.")
+        .when(key % 9 == 6, text("[", foreign, "]"))
+        .when(key % 9 == 7, text("[1, ", item, "]"))
+        .otherwise(item))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("/repo/f"), key.cast("string")).alias("file_path"), response.alias("response"))

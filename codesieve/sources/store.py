@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,12 @@ class ScanStore:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """The table, empty before the first save."""
-        path = f"{self.folder}/{name}"
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def save_scans(self, headers: DataFrame, issues: DataFrame) -> str:
         """Saves scans with all their issues; a scan saved before is replaced."""

@@ -1,12 +1,13 @@
 """Scan of files as they arrive in a landing folder.
 
 A file is whole inside its row, so each micro-batch runs the batch scan, blocks included, and
-is exact. Contents seen within the watermark are not scanned again.
+is exact. A file that arrives again unchanged within the delay is not scanned again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codesieve.plans.scan import scan_issues
@@ -16,11 +17,13 @@ from codesieve.session import configure
 
 def stream_files(spark: SparkSession, landing: str, delay: str = "1 hour",
                  files_per_trigger: int = 1000) -> DataFrame:
-    """Arriving files, each path and content once within ``delay`` of ``modified_at``."""
+    """Arriving files, each path and content once within ``delay``. The delay counts from the
+    arrival: by ``modified_at`` an old file would be late and be lost."""
     return (
         spark.readStream.schema(CODE_FILES).option("maxFilesPerTrigger", files_per_trigger)
         .parquet(landing)
-        .withWatermark("modified_at", delay)
+        .withColumn("arrived_at", F.current_timestamp())
+        .withWatermark("arrived_at", delay)
         .dropDuplicatesWithinWatermark(["repo_path", "file_path", "content_hash"])
     )
 
