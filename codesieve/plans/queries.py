@@ -133,12 +133,12 @@ def rules_json_depth(spark, sf_dir):
 
 @query
 def rules_json_large(spark, sf_dir):
-    """Each document as a JSON list of its letters, twelve times over, so that the longest ones
+    """Each document as a JSON list of its letters, repeated 48 times, so that the longest ones
     pass the size limit of the rule."""
     letters = F.regexp_replace("content", "[^A-Za-z ]", "")
     files = corpora.document_files(spark, sf_dir).withColumns({
         "language": F.lit("json"),
-        "content": F.concat(F.lit('["'), F.repeat(letters, F.lit(12)), F.lit('"]'))})
+        "content": F.concat(F.lit('["'), F.repeat(letters, F.lit(48)), F.lit('"]'))})
     return scan_rules(files, _rules("JN-03")).drop("code_snippet")
 
 
