@@ -21,7 +21,8 @@ def _brackets(content: Column) -> Column:
 
 def _walk(content: Column) -> Column:
     """(depth, deepest, closed): bracket depth at the end, the greatest depth reached by an
-    empty container or a value, and how often depth came back to 0."""
+    empty container or a value, and the marks from the one that closes the root on: 1 if
+    nothing follows it."""
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(0).alias("closed"))
 
     def step(state: Column, mark: Column) -> Column:
@@ -31,7 +32,8 @@ def _walk(content: Column) -> Column:
         return F.struct(
             depth.alias("depth"),
             F.greatest(state["deepest"], reached).alias("deepest"),
-            (state["closed"] + F.when((depth == 0) & ~opens, 1).otherwise(0)).alias("closed"),
+            (state["closed"] + F.when((state["closed"] > 0) | (~opens & (depth <= 0)), 1).otherwise(0))
+            .alias("closed"),
         )
 
     return F.aggregate(F.split(_brackets(content), ""), start, step)

@@ -1,7 +1,6 @@
 """Reuse of earlier findings: knowledge by content hash, cached results, overlays.
 
-The joins leave the strategy to Spark: it broadcasts a side only after checking its size, and
-adaptive execution splits a hash that a third of all files share.
+A hash may be shared by a third of all files, so files meet findings in ``skew_join``.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.operators.history import latest
+from codesieve.operators.skew import skew_join
 from codesieve.operators.units import file_keys
 from codesieve.settings import CACHE_TTL_SECONDS
 
@@ -24,15 +24,15 @@ def latest_knowledge(knowledge: DataFrame) -> DataFrame:
 def knowledge_hits(files: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Issues of files whose content is known, under the file's current path."""
     keys = file_keys(files)
-    known = files.select(*keys, "content_hash").join(
-        latest_knowledge(knowledge).withColumnRenamed("file_hash", "content_hash"), "content_hash")
+    entries = latest_knowledge(knowledge).withColumnRenamed("file_hash", "content_hash")
+    known = skew_join(files.select(*keys, "content_hash"), entries, ["content_hash"], keys)
     return known.select(*keys, "content_hash", F.inline("issues"))
 
 
 def knowledge_misses(files: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Files whose content is not known. Only hashes of the knowledge are shuffled."""
     known = knowledge.select(F.col("file_hash").alias("content_hash")).distinct()
-    return files.join(known, "content_hash", "left_anti")
+    return skew_join(files, known, ["content_hash"], file_keys(files), "left_anti")
 
 
 def one_per_content(files: DataFrame) -> DataFrame:
@@ -73,7 +73,8 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column,
                  ttl: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Requests joined to the last cached entry of their key; ``hit`` if it is still valid."""
     entries = latest(cache, ["cache_key"], ["ts", "entry_id"])
-    return requests.join(entries, "cache_key", "left").withColumn(
+    spread = [c for c in requests.columns if c != "cache_key"]
+    return skew_join(requests, entries, ["cache_key"], spread, "left").withColumn(
         "hit", F.coalesce(is_fresh(now, ttl), F.lit(False)))
 
 

@@ -1,0 +1,31 @@
+"""Equi join whose left side may have hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str],
+              how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """``left.join(right, keys, how)`` for a right side with few rows per key.
+
+    Adaptive execution splits hot keys only where both sides come straight from a shuffle; here
+    the right side is an aggregate. So keys with at least ``hot_rows`` rows on the left are
+    spread over ``salts`` parts by their ``spread`` columns, and only their rows on the right
+    are repeated. The table of hot keys has at most (rows / ``hot_rows``) rows, which is what
+    makes it small enough to broadcast.
+    """
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(
+        F.col("rows") >= hot_rows).select(*keys, F.lit(True).alias("hot"))
+    is_hot = F.coalesce("hot", F.lit(False))
+    part = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "salt", F.when(is_hot, part).otherwise(0)).drop("hot")
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
+        "salt", F.explode(parts)).drop("hot")
+    return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")

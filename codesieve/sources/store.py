@@ -17,6 +17,7 @@ from codesieve.functions.text import iso_time
 from codesieve.operators.history import history, latest
 from codesieve.operators.inventory import detected_languages
 from codesieve.operators.reuse import latest_knowledge
+from codesieve.operators.skew import skew_join
 from codesieve.operators.summary import count_map
 from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, SCAN_ISSUES, SCANS
 from codesieve.settings import CATEGORIES, SEVERITIES
@@ -86,7 +87,8 @@ class ScanStore:
             rows = rows.where(F.col("scan_id") == scan_id)
             headers = headers.where(F.col("scan_id") == scan_id)
         valid = headers.select("scan_id", "save_id")
-        return rows.join(valid, ["scan_id", "save_id"], "left_semi").drop("save_id")
+        keys = ["scan_id", "save_id"]
+        return skew_join(rows, valid, keys, ["file_path", "line_start"], "left_semi").drop("save_id")
 
     def get_scan(self, scan_id: str) -> DataFrame:
         """A scan's header next to each of its issues; one row of nulls if it has none."""
