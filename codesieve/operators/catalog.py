@@ -64,6 +64,12 @@ RUST_INDEX = r"\[\d+\]"
 SQL_WHERE_OR = r"WHERE.*[^\w]OR([^\w]|$)"
 
 
+# A word each credential pattern needs, and letters outside ASCII that are equal
+# to an ASCII letter when case is ignored and do not lower-case to it.
+CREDENTIAL_WORDS = ("password", "secret", "token", "api")
+FOLDED_LETTERS = ("ſ", "ı", "İ")
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -123,8 +129,16 @@ def found(pattern: str, ignore_case: bool = False, of: str = "text") -> str:
     return f"({of} RLIKE {sql_text(portable(pattern, ignore_case))})"
 
 
-def quoted(pattern: str) -> str:
-    return all_of(has('"', "'"), found(pattern, ignore_case=True))
+def quoted(pattern: str, *words: str, of: str = "text") -> str:
+    """A quoted value after one of the words, in any case. The word test is a byte search over
+    the lower-cased text; letters that only case folding makes equal to one of ours go on to
+    the regular expression."""
+    words_there = one_of(has(*words, of=f"lower({of})"), has(*FOLDED_LETTERS, of=of))
+    return all_of(has('"', "'", of=of), words_there, found(pattern, ignore_case=True, of=of))
+
+
+def credential(of: str = "text") -> str:
+    return quoted(CREDENTIAL, *CREDENTIAL_WORDS, of=of)
 
 
 def starts(of: str, *texts: str) -> str:
@@ -160,7 +174,7 @@ def _todo_rule(rule_id: str, language: str) -> Rule:
 def _credential_rule(rule_id: str, language: str, pattern: str) -> Rule:
     return Rule(rule_id, language, "security", "error", "Potential hardcoded credential detected",
                 "Use environment variables or secure configuration management for credentials.",
-                quoted(pattern))
+                quoted(pattern, *CREDENTIAL_WORDS))
 
 
 def _dangerous_rule(rule_id: str, description: str, predicate: str) -> Rule:
@@ -172,17 +186,17 @@ def _dangerous_rule(rule_id: str, description: str, predicate: str) -> Rule:
 RULES: tuple[Rule, ...] = (
     Rule("PY-01", "python", "security", "error", "Hardcoded password detected in source code",
          "Move sensitive credentials to environment variables.",
-         all_of(EARLY, quoted(PY_PASSWORD))),
+         all_of(EARLY, quoted(PY_PASSWORD, "password"))),
     Rule("PY-02", "python", "security", "error", "Hardcoded API key detected in source code",
          "Move sensitive credentials to environment variables.",
-         all_of(EARLY, quoted(PY_API_KEY), "NOT " + quoted(PY_PASSWORD))),
+         all_of(EARLY, quoted(PY_API_KEY, "api"), "NOT " + quoted(PY_PASSWORD, "password"))),
 
     Rule("JS-01", "javascript", "security", "error", "Hardcoded API key detected",
          "Move secrets to environment variables (.env file)",
-         all_of(EARLY, quoted(JS_API_KEY))),
+         all_of(EARLY, quoted(JS_API_KEY, "api"))),
     Rule("JS-02", "javascript", "security", "error", "Hardcoded secret detected",
          "Move secrets to environment variables (.env file)",
-         all_of(EARLY, quoted(JS_SECRET), "NOT " + quoted(JS_API_KEY))),
+         all_of(EARLY, quoted(JS_SECRET, "secret", "password", "token"), "NOT " + quoted(JS_API_KEY, "api"))),
     _dangerous_rule("JS-03", "Use of eval() is dangerous", all_of(has("eval"), found(JS_EVAL))),
     _dangerous_rule("JS-04", "Use of dangerouslySetInnerHTML can lead to XSS",
                     has("dangerouslySetInnerHTML")),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesieve.functions.regex import sql_text
 from codesieve.operators.catalog import BLOCK_RULES
 from codesieve.operators.units import file_keys
 from codesieve.schemas import ISSUE_COLUMNS
@@ -98,22 +99,23 @@ def logical_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def _parameters(statement: Column) -> Column:
+def _parameters(statement: str) -> Column:
     """Signature split on its own commas, with inner brackets reduced to a mark: ``@L`` for
-    ``[..]``, ``@D`` for ``{..}`` and ``@P`` for ``(..)``. Ends before the first ``*``."""
-    text = F.regexp_replace(statement, FUNCTION, "")
-    for _ in range(NESTING):
-        for pattern, mark in ((r"\[[^\[\](){}]*\]", "@L"), (r"\{[^\[\](){}]*\}", "@D"),
-                              (r"\([^\[\](){}]*\)", "@P")):
-            text = F.regexp_replace(text, pattern, mark)
-    names = F.transform(F.split(F.substring_index(text, ")", 1), ","),
-                        lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    names = F.filter(names, lambda p: p != "")
-    star = F.coalesce(
-        F.array_min(F.filter(F.transform(names, lambda p, i: F.when(F.startswith(p, F.lit("*")), i)),
-                             lambda i: i.isNotNull())),
-        F.size(names))
-    return F.slice(names, 1, star)
+    ``[..]``, ``@D`` for ``{..}`` and ``@P`` for ``(..)``."""
+    inner = ((r"\[[^\[\](){}]*\]", "@L"), (r"\{[^\[\](){}]*\}", "@D"), (r"\([^\[\](){}]*\)", "@P"))
+    text = f"regexp_replace({statement}, {sql_text(FUNCTION)}, '')"
+    for pattern, mark in inner * NESTING:
+        text = f"regexp_replace({text}, {sql_text(pattern)}, '{mark}')"
+    return F.expr(f"""filter(
+        transform(split(substring_index({text}, ')', 1), ','), p -> regexp_replace(p, '^\\\\s+|\\\\s+$', '')),
+        p -> p <> '')""")
+
+
+def _positional(names: Column) -> Column:
+    """Parameters before the first ``*``."""
+    starred = F.filter(names, lambda p: F.startswith(p, F.lit("*")))
+    first = F.array_position(names, F.get(starred, F.lit(0)))
+    return F.slice(names, 1, F.coalesce(first - 1, F.size(names)).cast("int"))
 
 
 def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
@@ -198,8 +200,9 @@ def python_block_issues(files: DataFrame) -> DataFrame:
     rows = _with_loop_depth(_blocks(logical_lines(files), keys), keys)
     name = F.regexp_extract("statement", FUNCTION, 1)
     is_def = (F.col("what") == "open") & (F.col("kind") == "def")
-    params = F.when(is_def, _parameters(F.col("statement")))
-    rows = rows.withColumns({"name": F.when(is_def, name), "params": params})
+    rows = rows.withColumns({
+        "name": F.when(is_def, name), "names": F.when(is_def, _parameters("statement")),
+    }).withColumn("params", _positional(F.col("names")))
     slash = F.array_position("params", "/").cast("int")
     defaults = F.size(F.filter("params", lambda p: p.rlike(r"=\s*@[LD]$")))
     width = F.size("params") - F.coalesce(slash, F.lit(0))

@@ -106,28 +106,21 @@ def _lines(lines: Column, look_ahead: bool) -> Column:
 def file_units(files: DataFrame, scopes: dict[str, set[str]]) -> DataFrame:
     """One row per unit. ``scopes`` names the unit kinds each language needs."""
     content, language, lines = F.col("content"), F.col("language"), F.col("lines")
-    no_units = F.filter(_lines(lines, False), lambda u: F.lit(False))
-
-    def units_of(name: str, kinds: set[str]) -> Column:
-        parts = []
-        if "line" in kinds:
-            parts.append(
-                F.when(F.col("react"), _lines(lines, True)).otherwise(_lines(lines, False))
-                if name == "javascript" else _lines(lines, False))
-        if "statement" in kinds:
-            parts.append(F.transform(sql_statements(content),
-                                     lambda s: _unit("statement", F.lit(1), lstrip(s))))
-        if "key" in kinds:
-            parts.append(F.transform(repeated_keys(content), lambda k: _unit("key", F.lit(1), k)))
-        if "file" in kinds:
-            parts.append(F.array(_unit("file", F.lit(1), F.lit(None).cast("string"))))
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    units = None
+    plain = _lines(lines, False)
+    parts = {
+        "line": plain,
+        "statement": F.transform(sql_statements(content),
+                                 lambda s: _unit("statement", F.lit(1), lstrip(s))),
+        "key": F.transform(repeated_keys(content), lambda k: _unit("key", F.lit(1), k)),
+        "file": F.array(_unit("file", F.lit(1), F.lit(None).cast("string"))),
+    }
+    units = F.when(F.lit(False), plain)
     for name, kinds in scopes.items():
-        chosen = units_of(name, kinds)
-        units = F.when(language == name, chosen) if units is None else units.when(language == name, chosen)
-    units = no_units if units is None else units
+        wanted_parts = [parts[kind] for kind in parts if kind in kinds]
+        if name == "javascript" and "line" in kinds:
+            wanted_parts[0] = F.when(F.col("react"), _lines(lines, True)).otherwise(plain)
+        units = units.when(
+            language == name, F.concat(*wanted_parts) if len(wanted_parts) > 1 else wanted_parts[0])
     wanted = files.where((content != "") & language.isin(*scopes))
     return (
         with_file_flags(wanted)

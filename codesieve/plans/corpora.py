@@ -151,6 +151,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that costs much per row. A table with fewer input splits than cores,
+    such as a single small file, is spread over all cores; a large one is read as it is."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.split(F.lit(" ".join(values)), " "), index)
 
@@ -242,7 +250,7 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 8 == 5, text(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth)))
         .when(n % 8 == 6, text('{"a": 1, "a": ', user, ', "b": {"a": [', p, "]}}"))
         .otherwise(text('"', F.col("event_type"), '"')))
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         F.lit("/events").alias("repo_path"),
         F.concat(F.lit("/events/e"), n.cast("string"), F.lit(".json")).alias("file_path"),
         F.lit("json").alias("language"), content.alias("content"))
@@ -250,7 +258,7 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one file."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("/docs/"), "source").alias("repo_path"),
         F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"),
         F.col("text").alias("content"), content_hash(F.col("text")).alias("content_hash"))
@@ -317,5 +325,5 @@ def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 9 == 6, text("[", foreign, "]"))
         .when(key % 9 == 7, text("[1, ", item, "]"))
         .otherwise(item))
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders").select(
         F.concat(F.lit("/repo/f"), key.cast("string")).alias("file_path"), response.alias("response"))

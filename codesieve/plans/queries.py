@@ -24,7 +24,7 @@ from codesieve.operators.secrets import secret_lines
 from codesieve.operators.snippets import context_snippets
 from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
-from codesieve.plans.corpora import table
+from codesieve.plans.corpora import spread_table, table
 from codesieve.plans.scan import scan_issues
 from codesieve.session import configure, shared_folder
 from codesieve.sources.export import export_rows, report_lines, write_csv
@@ -158,12 +158,12 @@ def rules_custom(spark, sf_dir):
 
 @query
 def secrets_in_documents(spark, sf_dir):
-    return secret_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return secret_lines(spread_table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query
 def secrets_in_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread_table(spark, sf_dir, "pages").select(
         "page_id", F.replace("html", F.lit("&quot;"), F.lit('"')).alias("text"))
     return secret_lines(pages, "text", "page_id")
 
