@@ -34,6 +34,7 @@ LOOP = r"^\s*(?:for|while)(?![\p{L}\p{N}_])"
 BARE_EXCEPT = r"^\s*except\s*:"
 ELSE = r"^\s*else\s*:"
 NESTING = 6
+DEF, LOOPING, EXCEPT = 1, 2, 3
 
 
 def masked_text(content: Column) -> Column:
@@ -59,43 +60,56 @@ def _python_lines(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def logical_lines(files: DataFrame) -> DataFrame:
     """One row per statement line: its number ``k``, first and last physical line, indent,
-    head, joined text, number of ``+=`` and the eval/exec calls in it."""
+    kind of header, signature if it is a function, number of ``+=`` and its eval/exec calls."""
     keys = file_keys(files)
-    lines = _python_lines(files, keys)
     masked = F.col("masked")
+    calls = F.when(F.contains(masked, F.lit("eval")) | F.contains(masked, F.lit("exec")),
+                   F.regexp_extract_all(masked, F.lit(CALL), F.lit(1)))
+    # Raw text goes along only where an issue may show it: the shuffle carries half as much.
+    shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
+    lines = _python_lines(files, keys).withColumns({
+        "raw": F.when(shown, F.col("raw")),
+        "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
+        "quotes": F.regexp_count(masked, F.lit('"')),
+        "blank": ~masked.rlike(r"[^ \t\f\r]"),
+        "glued": F.endswith(masked, F.lit("\\")),
+    })
     ordered = Window.partitionBy(*keys).orderBy("line_no")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.trim(F.regexp_replace(masked, r"[\t\f\r]", " ")) == ""
-    balance = F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]"))
-    quotes = F.regexp_count(masked, F.lit('"'))
-    state = lines.withColumns({
-        "balance": balance, "quotes": quotes, "blank": blank, "glued": F.endswith(masked, F.lit("\\")),
-    }).withColumn("first", (
+    first = (
         ~F.col("blank")
         & (F.coalesce(F.sum("balance").over(before), F.lit(0)) == 0)
         & (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 0)
         & ~F.coalesce(F.lag("glued").over(ordered), F.lit(False))
-    ))
-    numbered = state.withColumn("k", F.sum(F.col("first").cast("int")).over(ordered))
-    calls = F.regexp_extract_all("masked", F.lit(CALL), F.lit(1))
+    )
+    numbered = lines.withColumn("first", first).withColumns({
+        "k": F.sum(F.col("first").cast("int")).over(ordered),
+        "in_def": F.last(F.when(F.col("first"), masked.rlike(FUNCTION)), ignorenulls=True).over(ordered),
+    }).where(~F.col("blank") & (F.col("k") > 0)).withColumn("calls", calls)
+    at_first = lambda column: F.max(F.when(F.col("first"), column))
+    part = F.struct("line_no", "raw", "calls", (F.col("balance") > 0).alias("open"),
+                    F.when(F.col("in_def"), masked).alias("masked"))
+    wanted = F.col("in_def") | (F.col("first") & F.col("raw").isNotNull()) | (F.size("calls") > 0)
+    parts = F.array_sort(F.col("parts"))
     return (
-        numbered.where(~F.col("blank") & (F.col("k") > 0))
-        .withColumn("calls", calls)
-        .groupBy(*keys, "k")
+        numbered.groupBy(*keys, "k")
         .agg(
             F.min("line_no").alias("line_start"),
             F.max("line_no").alias("line_end"),
-            F.min_by("masked", "line_no").alias("head"),
-            F.min_by("raw", "line_no").alias("raw"),
-            F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("line_no", "masked"))), lambda s: s["masked"],
-            ), "\n").alias("statement"),
-            F.sum(F.regexp_count("masked", F.lit(r"\+="))).alias("augments"),
-            F.collect_list(F.when(F.size("calls") > 0, F.struct(
-                "line_no", "calls", (F.col("balance") > 0).alias("open"), "raw"))).alias("calls"),
+            at_first(F.length(F.regexp_replace(
+                F.regexp_extract(masked, r"^[ \t]*", 0), "\t", " " * 8))).alias("indent"),
+            at_first(F.when(F.col("in_def"), DEF).when(masked.rlike(LOOP), LOOPING)
+                     .when(masked.rlike(BARE_EXCEPT), EXCEPT)).alias("kind"),
+            F.max(F.col("first") & masked.rlike(ELSE)).alias("is_else"),
+            F.sum(F.regexp_count(masked, F.lit(r"\+="))).alias("augments"),
+            F.collect_list(F.when(wanted, part)).alias("parts"),
         )
-        .withColumn("indent", F.length(F.regexp_replace(
-            F.regexp_extract("head", r"^[ \t]*", 0), "\t", " " * 8)))
+        .withColumn("parts", parts)
+        .withColumns({
+            "raw": F.get("parts", F.lit(0))["raw"],
+            "statement": F.when(F.col("kind") == DEF, F.array_join(F.col("parts.masked"), "\n")),
+            "calls": F.filter("parts", lambda p: F.size(p["calls"]) > 0),
+        }).drop("parts")
     )
 
 
@@ -122,10 +136,8 @@ def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
     """Headers with the last line of their block, and lines with calls or ``+=``."""
     ordered = Window.partitionBy(*keys).orderBy("k")
     whole = Window.partitionBy(*keys)
-    head, indent = F.col("head"), F.col("indent")
-    kind = (F.when(head.rlike(FUNCTION), "def").when(head.rlike(LOOP), "loop")
-            .when(head.rlike(BARE_EXCEPT), "except"))
-    placed = statements.withColumns({"kind": kind, "is_else": head.rlike(ELSE)}).withColumns({
+    indent = F.col("indent")
+    placed = statements.withColumns({
         "next_indent": F.lead("indent").over(ordered),
         "next_else": F.lead("is_else").over(ordered),
         "prev_indent": F.lag("indent").over(ordered),
@@ -138,7 +150,7 @@ def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
     # The levels a line closes: those it drops through, and the level of an empty ``else``.
     drops = F.filter("levels", lambda level: (level >= indent) & (
         (level < F.col("prev_indent")) | (F.col("prev_else") & (level == F.col("prev_indent")))))
-    passes_else = F.col("next_else") & (F.col("next_indent") == indent) & (F.col("kind") == "loop")
+    passes_else = F.col("next_else") & (F.col("next_indent") == indent) & (F.col("kind") == LOOPING)
     empty = F.col("next_indent").isNull() | ((F.col("next_indent") <= indent) & ~passes_else)
     nothing = F.lit(None).cast("int")
 
@@ -168,7 +180,7 @@ def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
         "any_close": F.last(F.when(F.col("closes_any"), close), ignorenulls=True).over(backwards),
         "loop_close": F.last(F.when(F.col("closes_loop"), close), ignorenulls=True).over(backwards),
     }).where(F.col("what") != "close")
-    chosen = F.when(F.col("kind") == "loop", F.col("loop_close")).otherwise(F.col("any_close"))
+    chosen = F.when(F.col("kind") == LOOPING, F.col("loop_close")).otherwise(F.col("any_close"))
     return ended.withColumn("close", chosen).withColumns({
         "block_k": F.when(F.col("empty"), F.col("k"))
                     .otherwise(F.coalesce(F.col("close.close_k") - 1, F.col("last_k"))),
@@ -180,7 +192,7 @@ def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
 def _with_loop_depth(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Number of loops around each line: +1 where a loop starts, -1 after it ends. The loop's
     own line counts, as in ``for x in y: s += x``."""
-    is_loop = (F.col("what") == "open") & (F.col("kind") == "loop")
+    is_loop = (F.col("what") == "open") & (F.col("kind") == LOOPING)
     marks = F.when(is_loop, F.array(
         F.struct(F.col("k").alias("at"), F.lit(1).alias("delta")),
         F.struct((F.col("block_k") + 1).alias("at"), F.lit(-1).alias("delta")),
@@ -199,7 +211,7 @@ def python_block_issues(files: DataFrame) -> DataFrame:
     rules = {r.rule_id: r for r in BLOCK_RULES}
     rows = _with_loop_depth(_blocks(logical_lines(files), keys), keys)
     name = F.regexp_extract("statement", FUNCTION, 1)
-    is_def = (F.col("what") == "open") & (F.col("kind") == "def")
+    is_def = (F.col("what") == "open") & (F.col("kind") == DEF)
     rows = rows.withColumns({
         "name": F.when(is_def, name), "names": F.when(is_def, _parameters("statement")),
     }).withColumn("params", _positional(F.col("names")))
@@ -237,6 +249,6 @@ def python_block_issues(files: DataFrame) -> DataFrame:
         times(hit("PY-05", ("name",)), defaults),
         times(hit("PY-06", ("name", span), end="block_end"), (span > MAX_FUNCTION_SPAN).cast("int")),
         times(hit("PY-07", ("name", width)), (width > MAX_PARAMETERS).cast("int")),
-    )).when(F.col("kind") == "except", F.array(hit("PY-04", end="block_end")))
+    )).when(F.col("kind") == EXCEPT, F.array(hit("PY-04", end="block_end")))
     issues = rows.select(*keys, F.inline(hits))
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])

@@ -42,6 +42,6 @@ def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])
 
 
-def scan_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, strict_start: bool = False) -> DataFrame:
     """Issues of all line, statement, key and file rules."""
-    return scan_units(file_units(files, _scopes(rules)), rules)
+    return scan_units(file_units(files, _scopes(rules), strict_start), rules)

@@ -103,14 +103,19 @@ def _lines(lines: Column, look_ahead: bool) -> Column:
     return F.transform(lines, unit)
 
 
-def file_units(files: DataFrame, scopes: dict[str, set[str]]) -> DataFrame:
-    """One row per unit. ``scopes`` names the unit kinds each language needs."""
+def file_units(files: DataFrame, scopes: dict[str, set[str]], strict_start: bool = False) -> DataFrame:
+    """One row per unit. ``scopes`` names the unit kinds each language needs.
+
+    Statements lose the white space before them, so that all of them can be told by their first
+    word; ``strict_start`` keeps it, and then only a statement that follows the semicolon of
+    the one before directly starts with its word.
+    """
     content, language, lines = F.col("content"), F.col("language"), F.col("lines")
     plain = _lines(lines, False)
     parts = {
         "line": plain,
         "statement": F.transform(sql_statements(content),
-                                 lambda s: _unit("statement", F.lit(1), lstrip(s))),
+                                 lambda s: _unit("statement", F.lit(1), s if strict_start else lstrip(s))),
         "key": F.transform(repeated_keys(content), lambda k: _unit("key", F.lit(1), k)),
         "file": F.array(_unit("file", F.lit(1), F.lit(None).cast("string"))),
     }

@@ -676,6 +676,17 @@ SELECT file_path, CAST(NULL AS VARCHAR) AS rule_id, category, severity, line_sta
 UNION ALL
 SELECT file_path, rule_id, category, severity, line_start, description FROM issues
 WHERE file_path NOT IN (SELECT file_path FROM reviewed)"""
+ORACLE["scan_with_reuse"] = f"""{_scan(blocks=True)}, {_ANSWERS}, {_NORMAL},
+reviewed AS (
+  SELECT f.file_path, n.category, n.severity, n.line_start, n.description
+  FROM files f JOIN normal n ON n.key = f.file_no WHERE f.repo_path <> '/repo0')
+SELECT file_path, CAST(NULL AS VARCHAR) AS rule_id, category, severity, line_start, description FROM reviewed
+UNION ALL
+SELECT file_path, NULL, category, severity, line_start, description FROM issues
+WHERE repo_path = '/repo0' AND (rule_id LIKE 'GO-%' OR rule_id LIKE 'SQ-%')
+UNION ALL
+SELECT file_path, rule_id, category, severity, line_start, description FROM issues
+WHERE repo_path <> '/repo0' AND file_path NOT IN (SELECT file_path FROM reviewed)"""
 ORACLE["files_without_review"] = f"""WITH {SCAN_LINES.strip()}, {FILES.strip()}, {_ANSWERS}
 SELECT file_path FROM files WHERE file_no NOT IN (SELECT key FROM parsed)"""
 

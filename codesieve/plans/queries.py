@@ -25,14 +25,15 @@ from codesieve.operators.snippets import context_snippets
 from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
 from codesieve.plans.corpora import spread_table, table
-from codesieve.plans.scan import scan_issues
+from codesieve.plans.scan import scan_issues, scan_with_reviews
 from codesieve.session import configure, shared_folder
 from codesieve.sources.export import export_rows, report_lines, write_csv
-from codesieve.sources.store import ScanStore, scan_headers
+from codesieve.sources.store import ScanStore
 from codesieve.streaming.incremental import start_incremental_scan, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+NOW = "2024-01-15 12:00:00"
 
 
 def query(function: Query) -> Query:
@@ -391,12 +392,10 @@ def _saved_snapshots(spark: SparkSession, sf_dir: str) -> ScanStore:
     store = ScanStore(spark, _scratch(spark, "store"))
     files = corpora.snapshot_files(spark, sf_dir).withColumn(
         "scan_id", F.concat("scan_id", F.replace("repo_path", F.lit("/"), F.lit("-"))))
-    issues = scan_rules(files)
-    ts = F.lit("2024-01-15 12:00:00").cast("timestamp")
-    store.save_scans(scan_headers(files, issues, ts), issues)
+    ts = F.lit(NOW).cast("timestamp")
+    store.save_scans(files, scan_rules(files), ts)
     current = files.where(F.startswith("scan_id", F.lit("current")))
-    errors = scan_rules(current).where(F.col("severity") == "error")
-    store.save_scans(scan_headers(current, errors, ts), errors)
+    store.save_scans(current, scan_rules(current).where(F.col("severity") == "error"), ts)
     return store
 
 
@@ -429,7 +428,7 @@ def knowledge_entries(spark, sf_dir):
     """Knowledge from a scan of the corpus, one entry per content, clean contents included."""
     files = corpora.corpus_files(spark, sf_dir)
     entries = reuse.knowledge_rows(files, scan_rules(files, _rules("SQ", "GO")),
-                                   F.lit("2024-01-15 12:00:00").cast("timestamp"), "rules", True)
+                                   F.lit(NOW).cast("timestamp"), "rules", True)
     store = ScanStore(spark, _scratch(spark, "knowledge"))
     store.save_knowledge(entries)
     return store.knowledge().select("file_hash", _bigint(F.size("issues")).alias("issues"), "source")
@@ -455,9 +454,6 @@ def distinct_contents(spark, sf_dir):
     return reuse.one_per_content(corpora.document_files(spark, sf_dir)).select("file_path", "content_hash")
 
 
-NOW = "2024-01-15 12:00:00"
-
-
 @query
 def cache_ttl_lookup(spark, sf_dir):
     entries = corpora.event_requests(spark, sf_dir)
@@ -503,6 +499,18 @@ def review_overlay(spark, sf_dir):
         "file_path", "rule_id", "category", "severity", "line_start", "description")
 
 
+@query
+def scan_with_reuse(spark, sf_dir):
+    """The first repository is known from an earlier scan with fewer rules; other files take
+    their review's issues if it found any, else those of the rules."""
+    files = corpora.corpus_files(spark, sf_dir)
+    first = files.where(F.col("repo_path") == "/repo0")
+    knowledge = reuse.knowledge_rows(first, scan_rules(first, _rules("GO", "SQ")),
+                                     F.lit(NOW).cast("timestamp"), catalog_clean=True)
+    return scan_with_reviews(files, knowledge, _answer_issues(spark, sf_dir)).select(
+        "file_path", "rule_id", "category", "severity", "line_start", "description")
+
+
 @query
 def files_without_review(spark, sf_dir):
     return reuse.files_without_review(

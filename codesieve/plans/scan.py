@@ -1,13 +1,24 @@
-"""The scan: files to issues."""
+"""The scan: files to issues, with or without reviews, and a whole run into the store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codesieve.operators.catalog import RULES, Rule
+from codesieve.operators.diff import scan_diff
 from codesieve.operators.python_blocks import python_block_issues
+from codesieve.operators.reuse import files_without_review, knowledge_hits, knowledge_misses
+from codesieve.operators.reviews import normalise
 from codesieve.operators.scan_rules import scan_rules
+from codesieve.operators.units import file_keys
 from codesieve.session import configure
+from codesieve.sources.code_files import read_code_files
+from codesieve.sources.store import ScanStore
 
 
 def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool = True) -> DataFrame:
@@ -15,3 +26,29 @@ def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool
     configure(files.sparkSession)
     issues = scan_rules(files, rules)
     return issues.unionByName(python_block_issues(files)) if blocks else issues
+
+
+def scan_with_reviews(files: DataFrame, knowledge: DataFrame, review_issues: DataFrame,
+                      rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Each file by the first that applies: findings known for its content, a review that found
+    something, the rules. Known contents without findings count as known."""
+    keys = file_keys(files)
+    known = knowledge_hits(files, knowledge).drop("content_hash")
+    unknown = knowledge_misses(files, knowledge)
+    reviewed = normalise(review_issues).join(unknown.select(*keys), keys, "left_semi")
+    rest = files_without_review(unknown, reviewed)
+    return known.unionByName(reviewed).unionByName(scan_issues(rest, rules), allowMissingColumns=True)
+
+
+def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
+             excludes: Iterable[str] = (), rules: tuple[Rule, ...] = RULES) -> str:
+    """Scans the tree below ``root`` into the store and returns the scan id."""
+    scan_id = uuid.uuid4().hex
+    files = read_code_files(spark, root, excludes).withColumn("scan_id", F.lit(scan_id))
+    store.save_scans(files, scan_issues(files, rules), F.lit(ts))
+    return scan_id
+
+
+def compare_scans(store: ScanStore, current: str, previous: str | None) -> DataFrame:
+    """Stored scans compared; without a previous one all issues are new."""
+    return scan_diff(store.issues(current), None if previous is None else store.issues(previous))

@@ -26,9 +26,9 @@ SCANS = (
 )
 
 SCAN_ISSUES = (
-    "save_id string, repo_path string, file_path string, rule_id string, category string, "
-    "severity string, line_start int, line_end int, description string, recommendation string, "
-    "code_snippet string, scan_id string"
+    "repo_path string, file_path string, rule_id string, category string, severity string, "
+    "line_start int, line_end int, description string, recommendation string, "
+    "code_snippet string, scan_id string, save_id string"
 )
 
 KNOWLEDGE = f"file_hash string, issues array<{ISSUE_STRUCT}>, ts timestamp, source string"

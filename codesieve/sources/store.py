@@ -63,17 +63,24 @@ class ScanStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def save_scans(self, headers: DataFrame, issues: DataFrame) -> str:
-        """Saves scans with all their issues; a scan saved before is replaced."""
+    def save_scans(self, files: DataFrame, issues: DataFrame, ts: Column,
+                   status: str = "completed", error: str = "") -> str:
+        """Saves the scans of ``files`` with all their issues; a scan saved before is replaced.
+
+        Both tables carry the ``scan_id``. Headers are counted from the written issues, so the
+        scan runs once.
+        """
         save_id = uuid.uuid4().hex
-        rows = issues.withColumn("save_id", F.lit(save_id)).select(
-            "save_id", *ISSUE_COLUMNS, "scan_id")
+        path = f"{self.folder}/scan_issues"
+        rows = issues.withColumn("save_id", F.lit(save_id)).select(*ISSUE_COLUMNS, "scan_id", "save_id")
         # Rebalancing gathers the rows of a scan into few files and splits a scan that is
         # too large for one.
         (rows.hint("rebalance", "scan_id").write.mode("append")
-         .partitionBy("scan_id").parquet(f"{self.folder}/scan_issues"))
+         .partitionBy("scan_id", "save_id").parquet(path))
+        saved = self._read("scan_issues", SCAN_ISSUES).where(F.col("save_id") == save_id)
         columns = [f.split()[0] for f in SCANS.split(", ")]
-        (headers.withColumns({"save_id": F.lit(save_id), "saved_at": F.current_timestamp()})
+        (scan_headers(files, saved, ts, status, error)
+         .withColumns({"save_id": F.lit(save_id), "saved_at": F.current_timestamp()})
          .select(*columns).write.mode("append").parquet(f"{self.folder}/scans"))
         return save_id
 

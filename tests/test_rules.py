@@ -101,6 +101,13 @@ def test_cases(files_of):
         assert found.get(path, Counter()) == Counter(expected), (path, text[:80])
 
 
+def test_strict_start(files_of):
+    files = files_of({"/r/a.sql": "delete from t;\nupdate t set a = 1;delete from u"})
+    texts = lambda strict: sorted(r.code_snippet for r in scan_rules(files, strict_start=strict).collect())
+    assert texts(False) == ["delete from t;", "delete from u", "update t set a = 1;"]
+    assert texts(True) == ["delete from t;", "delete from u"]
+
+
 def test_every_rule_has_a_case():
     hit = {rule for _, _, expected in CASES for rule, _ in expected}
     assert {r.rule_id for r in RULES} - hit <= {"JV-09", "GO-06", "RS-07"}

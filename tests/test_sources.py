@@ -73,3 +73,23 @@ def test_stream_scans_a_file_once(files_of, spark, tmp_path):
     changed.write.mode("append").parquet(landing)
     start_incremental_scan(stream_files(spark, landing), target, checkpoint, available_now=True).awaitTermination()
     assert spark.read.parquet(target).count() == 4
+
+
+def test_run_and_compare(spark, tmp_path):
+    from codesieve.plans.scan import compare_scans, run_scan
+    from codesieve.sources.store import ScanStore
+
+    root = tmp_path / "tree"
+    tree(root)
+    store = ScanStore(spark, str(tmp_path / "store"))
+    first = run_scan(spark, str(root), store, datetime(2024, 1, 1))
+    (root / "a.py").write_text("\nx = eval(y)\npassword = '12345678'\n")
+    (root / "vendor/e.rs").write_text("a\n")
+    second = run_scan(spark, str(root), store, datetime(2024, 1, 2))
+    status = {(r.rule_id, r.status) for r in compare_scans(store, second, first).collect()}
+    assert status == {("PY-01", "remaining"), ("PY-03", "remaining"), ("PY-03", "new"),
+                      ("GO-03", "remaining"), ("RS-03", "fixed")}
+    assert {r.status for r in compare_scans(store, first, None).collect()} == {"new"}
+    heads = [(r.scan_id, r.total_files, r.total_issues, r.scan_date) for r in store.history(str(root)).collect()]
+    assert heads == [(second, 9, 4, "2024-01-02T00:00:00"), (first, 9, 4, "2024-01-01T00:00:00")]
+    assert store.history().first().languages == ["python", "sql"]

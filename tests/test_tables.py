@@ -12,7 +12,7 @@ from codesieve.operators import diff, history, inventory, requests, reuse, revie
 from codesieve.operators.scan_rules import scan_rules
 from codesieve.operators.skew import skew_join
 from codesieve.sources.export import REPORT_ORDER, export_rows, report_lines, text_report, write_csv, write_report
-from codesieve.sources.store import ScanStore, scan_headers
+from codesieve.sources.store import ScanStore
 
 NOW = datetime(2024, 1, 15, 12)
 
@@ -209,16 +209,16 @@ def test_store(files_of, spark, tmp_path):
     assert store.history().count() == 0 and store.issues().count() == 0 and store.knowledge().count() == 0
     files = files_of({"/r/a.go": "v, _ = f()\nv, _ = f()", "/r/b.py": ""}).withColumn("scan_id", F.lit("s1"))
     issues = scan_rules(files)
-    store.save_scans(scan_headers(files, issues, F.lit(NOW)), issues)
+    store.save_scans(files, issues, F.lit(NOW))
     row = store.scans().first()
     assert (row.total_files, row.total_issues, row.languages, row.by_category) == (2, 2, ["python"], {"bug": 2})
     assert row.version == "1.2.0" and row.status == "completed" and row.error == ""
     # Saved again without issues: the old ones are gone.
-    store.save_scans(scan_headers(files, issues.limit(0), F.lit(NOW)), issues.limit(0))
+    store.save_scans(files, issues.limit(0), F.lit(NOW))
     assert store.issues("s1").count() == 0 and store.scans().count() == 1
     assert store.scans().first().total_issues == 0
     # A save that lost its header is not seen.
-    issues.withColumn("save_id", F.lit("lost")).write.mode("append").partitionBy("scan_id").parquet(
+    issues.withColumn("save_id", F.lit("lost")).write.mode("append").partitionBy("scan_id", "save_id").parquet(
         f"{store.folder}/scan_issues")
     assert store.issues("s1").count() == 0
     row = store.get_scan("s1").first()
