@@ -152,8 +152,9 @@ def _entries(max_files: int, max_tokens: int):
             else:
                 number += row.end_number[skip]
                 files, tokens = row.end_files[skip], row.end_tokens[skip]
-        placed = blocks.sort_values("block").assign(skip=skips, before=numbers)
-        return placed[[blocks.columns[0], "block", "skip", "before"]]
+        ordered = blocks.sort_values("block")
+        return pd.DataFrame({"entry_group": ordered.iloc[:, 0], "entry_block": ordered["block"],
+                             "skip": skips, "before": numbers})
 
     return walk
 
@@ -175,8 +176,7 @@ def review_batches(files: DataFrame, group: str, block: str, order: str,
     types = dict(files.dtypes)
     entries = shapes.groupBy(group).applyInPandas(
         _entries(max_files, max_tokens),
-        f"`{group}` {types[group]}, block {types[block]}, skip long, before long",
-    ).withColumnRenamed("block", block)
+        f"entry_group {types[group]}, entry_block {types[block]}, skip long, before long")
     none = F.lit(0).cast("long")
     start = _struct(number=F.col("before"), files=none, tokens=none,
                     numbers=F.array().cast("array<bigint>"))
@@ -189,7 +189,10 @@ def review_batches(files: DataFrame, group: str, block: str, order: str,
     carried = F.array_repeat(F.col("before"), skip)
     own = F.aggregate(F.slice("files", skip + 1, F.greatest(F.size("files") - skip, F.lit(0))),
                       start, step)["numbers"]
-    placed = blocks.join(entries, [group, block]).select(group, block, F.inline(F.arrays_zip(
+    # Null-safe, so that a missing group counts as one and both uses of the blocks stay the same
+    # plan and share one shuffle.
+    same = F.col(group).eqNullSafe(F.col("entry_group")) & F.col(block).eqNullSafe(F.col("entry_block"))
+    placed = blocks.join(entries, same).select(group, block, F.inline(F.arrays_zip(
         F.col("files").alias("file"), F.concat(carried, own).alias("batch"))))
     return placed.select(group, block, "file.*", "batch")
 

@@ -18,14 +18,16 @@ from codesieve.settings import (
 def issue_summary(issues: DataFrame, *by: str) -> DataFrame:
     """Totals by category, by severity and overall, long form, in one pass.
 
-    ``by`` adds leading grouping columns such as ``scan_id``. Counts are combined before the
-    shuffle, so a category that holds most issues is no larger than any other.
+    ``by`` adds leading grouping columns such as ``scan_id``. Issues are first counted per
+    category and severity, combined before the shuffle; the grouping sets then expand those
+    few counts and not the issues.
     """
     keys = [F.col(c) for c in by]
     category, severity = F.col("category"), F.col("severity")
+    counts = issues.groupBy(*by, "category", "severity").agg(F.count(F.lit(1)).alias("n"))
     return (
-        issues.groupingSets([keys + [category], keys + [severity], keys], *keys, category, severity)
-        .agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("issues"))
+        counts.groupingSets([keys + [category], keys + [severity], keys], *keys, category, severity)
+        .agg(F.grouping_id().alias("level"), F.sum("n").alias("issues"))
         .select(
             *by,
             F.when(category.isNotNull(), "category").when(severity.isNotNull(), "severity")
