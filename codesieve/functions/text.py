@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codesieve.settings import DISPLAY_SEVERITY
+from codesieve.settings import DISPLAY_SEVERITY, MAX_SNIPPET_BYTES
 
 
 def normalize_newlines(content: Column) -> Column:
@@ -77,6 +77,14 @@ def zero_based(line: Column) -> Column:
     return F.greatest(F.lit(0), line - 1)
 
 
+def snippet(text: Column) -> Column:
+    """Text shown with an issue. A line of a minified file may be the whole file and carry many
+    issues; a text over the limit is named by its hash, so that issues stay small and the
+    fingerprint still depends on all of it."""
+    return F.when(F.octet_length(text) <= MAX_SNIPPET_BYTES, text).otherwise(
+        F.concat(F.lit("sha256:"), F.sha2(text, 256)))
+
+
 def context_start(line: Column, context: int = 2) -> Column:
     return F.greatest(F.lit(1), line - context)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.regex import sql_text
+from codesieve.functions.text import snippet
 from codesieve.operators.catalog import BLOCK_RULES
 from codesieve.operators.units import file_keys
 from codesieve.schemas import ISSUE_COLUMNS
@@ -68,7 +69,7 @@ def logical_lines(files: DataFrame) -> DataFrame:
     # Raw text goes along only where an issue may show it: the shuffle carries half as much.
     shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
     lines = _python_lines(files, keys).withColumns({
-        "raw": F.when(shown, F.col("raw")),
+        "raw": F.when(shown, snippet(F.col("raw"))),
         "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
         "quotes": F.regexp_count(masked, F.lit('"')),
         "blank": ~masked.rlike(r"[^ \t\f\r]"),
@@ -221,7 +222,7 @@ def python_block_issues(files: DataFrame) -> DataFrame:
     span = F.col("block_end") - F.col("line_start")
 
     def hit(rule_id: str, details: tuple = (), start="line_start", end="line_start", raw="raw",
-            recommendation: Column | None = None) -> Column:
+            recommendation: Column | None = None, copies: Column | None = None) -> Column:
         rule = rules[rule_id]
         text = F.lit(rule.description) if not details else F.format_string(
             rule.description.replace("{}", "%s"), *details)
@@ -233,22 +234,22 @@ def python_block_issues(files: DataFrame) -> DataFrame:
             .alias("recommendation"),
             as_column(start).cast("int").alias("line_start"),
             as_column(end).cast("int").alias("line_end"),
-            as_column(raw).alias("code_snippet"))
+            as_column(raw).alias("code_snippet"),
+            (F.lit(1) if copies is None else F.coalesce(copies, F.lit(0))).cast("int").alias("copies"))
 
-    def times(one: Column, count: Column) -> Column:
-        return F.array_repeat(one, F.coalesce(count, F.lit(0)).cast("int"))
-
-    is_line = F.col("what") == "line"
     calls = F.flatten(F.transform("calls", lambda call: F.transform(call["calls"], lambda called: hit(
         "PY-03", (called,), start=call["line_no"], raw=call["raw"],
         end=F.when(call["open"], F.col("line_end")).otherwise(call["line_no"]),
         recommendation=F.concat(F.lit("Avoid using "), called, F.lit("()."))))))
-    hits = F.when(is_line, F.concat(
-        calls, times(hit("PY-08", end="line_end"), F.col("augments") * F.col("depth")),
-    )).when(is_def, F.concat(
-        times(hit("PY-05", ("name",)), defaults),
-        times(hit("PY-06", ("name", span), end="block_end"), (span > MAX_FUNCTION_SPAN).cast("int")),
-        times(hit("PY-07", ("name", width)), (width > MAX_PARAMETERS).cast("int")),
+    hits = F.when(F.col("what") == "line", F.concat(
+        calls, F.array(hit("PY-08", end="line_end", copies=F.col("augments") * F.col("depth"))),
+    )).when(is_def, F.array(
+        hit("PY-05", ("name",), copies=defaults),
+        hit("PY-06", ("name", span), end="block_end", copies=(span > MAX_FUNCTION_SPAN).cast("int")),
+        hit("PY-07", ("name", width), copies=(width > MAX_PARAMETERS).cast("int")),
     )).when(F.col("kind") == EXCEPT, F.array(hit("PY-04", end="block_end")))
-    issues = rows.select(*keys, F.inline(hits))
+    # Equal issues are repeated after the array is opened: a statement deep in loops may have
+    # many, and as numbers they are small.
+    issues = rows.select(*keys, F.inline(hits)).where(F.col("copies") > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])

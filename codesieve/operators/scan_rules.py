@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.text import snippet
 from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.units import file_keys, file_units
 from codesieve.schemas import ISSUE_COLUMNS
@@ -38,7 +39,7 @@ def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     keys = file_keys(units)
     issues = units.select(
         *keys, F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-        F.col("text").alias("code_snippet"), F.inline(hits))
+        "text", F.inline(hits)).withColumn("code_snippet", snippet(F.col("text")))
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])
 
 

@@ -213,3 +213,18 @@ def test_no_shuffle_for_line_rules(files_of, tmp_path):
     from codesieve.operators.python_blocks import python_block_issues
     plan = python_block_issues(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_long_lines_do_not_multiply(files_of):
+    """A file that is one line of many findings: issues name the line by its hash."""
+    files = files_of({"/r/a.py": "eval(x); " * 20000, "/r/b.js": "eval(x); " * 20000, "/r/c.js": "eval(x)"})
+    issues = scan_issues(files)
+    sizes = issues.groupBy("file_path").agg(F.count("*").alias("n"), F.max(F.length("code_snippet")).alias("size"))
+    assert {r.file_path: (r.n, r.size) for r in sizes.collect()} == {
+        "/r/a.py": (20000, 71), "/r/b.js": (1, 71), "/r/c.js": (1, 7)}
+
+
+def test_deep_loops(files_of):
+    loops = "".join("  " * i + "for a in b:\n" for i in range(90))
+    files = files_of({"/r/a.py": (loops + "  " * 90 + "s += 1; t += 2\n") * 50})
+    assert scan_issues(files).where("rule_id = 'PY-08'").count() == 90 * 2 * 50
