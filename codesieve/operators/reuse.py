@@ -35,11 +35,13 @@ def knowledge_misses(files: DataFrame, knowledge: DataFrame) -> DataFrame:
     return skew_join(files, known, ["content_hash"], file_keys(files), "left_anti")
 
 
-def one_per_content(files: DataFrame) -> DataFrame:
-    """One file of each distinct content, the first by path. Copies never meet in one task:
-    the choice is an aggregate over paths, and contents are not shuffled for it."""
+def one_per_content(files: DataFrame, *also: str) -> DataFrame:
+    """One file of each distinct content (and ``also`` columns), the first by path. Copies never
+    meet in one task: the choice is an aggregate over paths, and contents are not shuffled for
+    it."""
     keys = file_keys(files)
-    chosen = files.groupBy("content_hash").agg(F.min(F.struct(*keys)).alias("chosen")).select("chosen.*")
+    chosen = files.groupBy("content_hash", *also).agg(
+        F.min(F.struct(*keys)).alias("chosen")).select("chosen.*")
     return files.join(chosen, keys, "left_semi")
 
 

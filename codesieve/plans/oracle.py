@@ -379,6 +379,25 @@ WHERE {_rx(catalog.CREDENTIAL, True)}"""
 
 ORACLE["secrets_in_documents"] = _secret_lines("documents", "doc_id", "text")
 ORACLE["secrets_in_pages"] = _secret_lines("pages", "page_id", "replace(html, '&quot;', '\"')")
+_RS01 = next(r for r in RULES if r.rule_id == "RS-01")
+_RS07 = next(r for r in RULES if r.rule_id == "RS-07")
+ORACLE["scan_distinct"] = f"""
+WITH numbered AS (
+  SELECT '/docs/' || source AS repo_path, '/docs/' || source || '/' || doc_id AS file_path,
+         CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_start, unnest(parts) AS line
+  FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents)),
+hits AS (
+  SELECT *, '{_RS01.rule_id}' AS rule_id, '{_RS01.category}' AS category, '{_RS01.severity}' AS severity,
+         {_q(_RS01.description)} AS description, {_q(_RS01.recommendation)} AS recommendation
+  FROM numbered WHERE {_rx(catalog.CREDENTIAL, True)}
+  UNION ALL
+  SELECT *, '{_RS07.rule_id}', '{_RS07.category}', '{_RS07.severity}',
+         replace({_q(_RS07.description)}, '{{}}', {_TODO[1]}), {_q(_RS07.recommendation)}
+  FROM numbered WHERE {_TODO[0]})
+SELECT repo_path, file_path, rule_id, category, severity, line_start, line_start AS line_end,
+       description, recommendation,
+       CASE WHEN strlen(line) <= 4096 THEN line ELSE 'sha256:' || sha256(line) END AS code_snippet
+FROM hits"""
 ORACLE["numbered_lines"] = """
 SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no, unnest(parts) AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"""

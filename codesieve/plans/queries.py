@@ -25,7 +25,7 @@ from codesieve.operators.snippets import context_snippets
 from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
 from codesieve.plans.corpora import spread_table, table
-from codesieve.plans.scan import scan_issues, scan_with_reviews
+from codesieve.plans.scan import scan_distinct_contents, scan_issues, scan_with_reviews
 from codesieve.session import configure, shared_folder
 from codesieve.sources.export import export_rows, report_lines, write_csv
 from codesieve.sources.store import ScanStore
@@ -449,6 +449,13 @@ def knowledge_misses(spark, sf_dir):
         "file_path", "content_hash")
 
 
+@query
+def scan_distinct(spark, sf_dir):
+    """Documents read as Rust files; many are exact copies, and each content is scanned once."""
+    files = corpora.document_files(spark, sf_dir).withColumn("language", F.lit("rust"))
+    return scan_distinct_contents(files, _rules("RS-01", "RS-07"), blocks=False)
+
+
 @query
 def distinct_contents(spark, sf_dir):
     return reuse.one_per_content(corpora.document_files(spark, sf_dir)).select("file_path", "content_hash")

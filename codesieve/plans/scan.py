@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.diff import scan_diff
 from codesieve.operators.python_blocks import python_block_issues
-from codesieve.operators.reuse import files_without_review, knowledge_hits, knowledge_misses
+from codesieve.operators.reuse import (
+    files_without_review,
+    knowledge_hits,
+    knowledge_misses,
+    one_per_content,
+)
 from codesieve.operators.reviews import normalise
 from codesieve.operators.scan_rules import scan_rules
+from codesieve.operators.skew import skew_join
 from codesieve.operators.units import file_keys
 from codesieve.session import configure
 from codesieve.sources.code_files import read_code_files
@@ -28,6 +34,20 @@ def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool
     return issues.unionByName(python_block_issues(files)) if blocks else issues
 
 
+def scan_distinct_contents(files: DataFrame, rules: tuple[Rule, ...] = RULES,
+                           blocks: bool = True) -> DataFrame:
+    """The same issues as ``scan_issues``, with each content scanned once.
+
+    Rules look at language and content only, so copies have equal issues. They are found for
+    the first copy and joined to all; a content that a third of all files share is spread.
+    """
+    keys, content = file_keys(files), ["content_hash", "language"]
+    once = one_per_content(files, "language")
+    found = scan_issues(once, rules, blocks).join(once.select(*keys, *content), keys).drop(*keys)
+    copies = skew_join(files.select(*keys, *content), found, content, keys)
+    return copies.drop(*content)
+
+
 def scan_with_reviews(files: DataFrame, knowledge: DataFrame, review_issues: DataFrame,
                       rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each file by the first that applies: findings known for its content, a review that found

@@ -20,10 +20,11 @@ from pyspark.sql.types import StructType
 from codesieve.functions.paths import dotted_extension
 from codesieve.functions.text import content_hash, decode_text
 from codesieve.operators.inventory import rule_language, scannable
-from codesieve.schemas import FILE_LISTING
+from codesieve.schemas import CODE_FILES, FILE_LISTING
 from codesieve.settings import MAX_FILE_BYTES, PRUNED_DIRECTORIES
 
 DEFAULT_LISTING_TASKS = 256
+READ_BYTES = 16 * 1024 * 1024
 
 
 class Folders(InputPartition):
@@ -106,7 +107,10 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return ""
 
     for batch in batches:
-        yield batch.assign(content=batch["file_path"].map(text))
+        # A batch lists thousands of files; what is sent back at once is bounded in bytes.
+        part = batch["size_bytes"].cumsum() // READ_BYTES
+        for _, files in batch.groupby(part):
+            yield files.assign(content=files["file_path"].map(text))
 
 
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -143,3 +147,13 @@ def read_code_files_binary(spark: SparkSession, root: str, excludes: Iterable[st
                        F.col("modificationTime").alias("modified_at"), "content")
     kept = scannable(named, tuple(excludes))
     return _as_code_files(kept.withColumn("content", decode_text(F.col("content"))))
+
+
+def save_code_files(files: DataFrame, path: str) -> None:
+    """Writes ``code_files`` below one folder per language: the block rules then read Python
+    files only. Rebalancing splits a language that holds most files over many tasks."""
+    files.hint("rebalance", "language").write.mode("overwrite").partitionBy("language").parquet(path)
+
+
+def load_code_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CODE_FILES).parquet(path)

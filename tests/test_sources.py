@@ -58,6 +58,33 @@ def test_binary_source(spark, tmp_path):
     assert binary == {p: v for p, v in walked.items() if p not in skipped}
 
 
+def test_saved_files_are_pruned_by_language(spark, tmp_path):
+    from codesieve.operators.python_blocks import python_block_issues
+    from codesieve.sources.code_files import load_code_files, save_code_files
+
+    files = read_code_files(spark, tree(tmp_path / "tree"))
+    save_code_files(files, str(tmp_path / "saved"))
+    saved = load_code_files(spark, str(tmp_path / "saved"))
+    assert sorted(map(repr, saved.collect())) == sorted(map(repr, files.select(*saved.columns).collect()))
+    plan = python_block_issues(saved)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(language" in plan and "PushedFilters: [IsNotNull(content)" in plan
+
+
+def test_large_trees_are_read_in_parts(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from codesieve.sources import code_files
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(10):
+        (root / f"f{i}.py").write_text("x" * 100)
+    listing = pd.DataFrame({"file_path": [str(root / f"f{i}.py") for i in range(10)], "size_bytes": [100] * 10})
+    monkeypatch.setattr(code_files, "READ_BYTES", 250)
+    parts = list(code_files._read_contents(iter([listing])))
+    assert [len(p) for p in parts] == [2, 2, 3, 2, 1] and all(p["content"].str.len().eq(100).all() for p in parts)
+
+
 def test_stream_scans_a_file_once(files_of, spark, tmp_path):
     landing, target, checkpoint = (str(tmp_path / n) for n in ("landing", "issues", "checkpoint"))
     files = files_of({"/r/a.go": "v, _ = f()", "/r/b.py": "for a in b:\n    s += 1"}).withColumns({

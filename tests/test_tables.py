@@ -172,6 +172,16 @@ def test_knowledge_and_copies(files_of, spark):
     assert [r.file_path for r in reuse.knowledge_misses(files, entries).collect()] == ["/r/clean.go"]
 
 
+def test_distinct_contents_scan_alike(files_of):
+    from codesieve.plans.scan import scan_distinct_contents, scan_issues
+
+    body = "for a in b:\n    s += eval(a)\n"
+    contents = {f"/r/{i}.py": body for i in range(30)} | {"/r/a.rs": "a.unwrap()", "/r/b.go": "a.unwrap()", "/r/c.rs": "x"}
+    files = files_of(contents).unionByName(files_of({"/r/0.py": body, "/r/a.rs": "b[0]"}, repo="/q"))
+    plain = sorted(map(repr, scan_issues(files).collect()))
+    assert sorted(map(repr, scan_distinct_contents(files).collect())) == plain and len(plain) == 64
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
 def test_skew_join_is_a_join(spark, how):
     rng = random.Random(1)
