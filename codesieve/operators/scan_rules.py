@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.paths import any_of
 from codesieve.functions.text import snippet
 from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.units import file_keys, file_units
 from codesieve.schemas import ISSUE_COLUMNS
+from codesieve.session import configure
 
 
 def _scopes(rules: tuple[Rule, ...]) -> dict[str, set[str]]:
@@ -26,18 +28,30 @@ def _hits(rules: list[Rule]) -> Column:
     return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
+def _any(rules: list[Rule]) -> Column:
+    """True if one of the rules holds."""
+    written = [r.predicate for r in rules if isinstance(r.predicate, str)]
+    made = [r.predicate() for r in rules if callable(r.predicate)]
+    return any_of(([F.expr(" OR ".join(f"({p})" for p in written))] if written else []) + made)
+
+
 def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Issues of units. Every unit meets the rules of its own language and scope only."""
+    """Issues of units. Every unit meets the rules of its own language and scope only.
+
+    Most units meet none of them. They are dropped by a plain condition, before findings are
+    built for the rest.
+    """
     groups: dict[tuple[str, str], list[Rule]] = {}
     for rule in rules:
         groups.setdefault((rule.language, rule.scope), []).append(rule)
-    hits = None
+    some, hits = None, None
     for (language, scope), members in groups.items():
         test = (F.col("language") == language) & (F.col("scope") == scope)
-        found = _hits(members)
+        one, found = _any(members), _hits(members)
+        some = F.when(test, one) if some is None else some.when(test, one)
         hits = F.when(test, found) if hits is None else hits.when(test, found)
     keys = file_keys(units)
-    issues = units.select(
+    issues = units.where(some).select(
         *keys, F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
         "text", F.inline(hits)).withColumn("code_snippet", snippet(F.col("text")))
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])
@@ -45,4 +59,5 @@ def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def scan_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, strict_start: bool = False) -> DataFrame:
     """Issues of all line, statement, key and file rules."""
+    configure(files.sparkSession)
     return scan_units(file_units(files, _scopes(rules), strict_start), rules)

@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM compiles no method over 8000 bytes of code. The condition over all rules is larger;
+    # above the limit Spark generates it in parts instead, which run several times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON file that repeats a key is valid JSON with a duplicate-key finding.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
