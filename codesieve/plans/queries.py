@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions import paths, text
-from codesieve.functions.regex import portable
 from codesieve.operators import diff, history, inventory, requests, reuse, reviews, summary
 from codesieve.operators.catalog import (
     OPTIONAL_RULES,
