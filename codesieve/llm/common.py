@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +40,17 @@ def hash60(column: Column) -> Column:
     """60 even bits of a value's text form. SQL engines with md5 give the same number."""
     text = F.coalesce(column.cast("string"), F.lit("null"))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session, for functions that run there."""
+    context = spark.sparkContext
+    if getattr(context, "_codesieve_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="codesieve-package-")) / "codesieve.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._codesieve_shipped = True

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import exact_dedup, mixing, sharding
-from codesieve.llm.common import table
+from codesieve.llm import decontam, exact_dedup, langid, mixing, sharding, simhash
+from codesieve.llm.common import ship_package, table
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -15,8 +15,12 @@ SHARDS, OLD_SHARDS = 16, 12
 
 
 def query(function):
-    LLM_QUERIES[function.__name__] = function
-    return function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    LLM_QUERIES[function.__name__] = run
+    return run
 
 
 @query
@@ -91,3 +95,61 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), simhash.fingerprint_text(F.col("fp")).alias("fingerprint"),
+                       "component_id")
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    return langid.train(docs.where(langid.fold() != 1))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.identified(docs.select("doc_id", "text"), language_model(docs))
+    return rows.select("doc_id", (langid.fold() == 1).alias("held_out"), F.col("__lang").alias("lang_pred"),
+                       F.col("__score").alias("score"), F.col("__langs").alias("langs"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+LLM_ORACLE["op4_decontamination"] = r"""
+WITH words AS (
+    SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+          FROM documents)
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+          FROM benchmark)),
+windows AS (
+    SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+    FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i
+          FROM words WHERE side = 'b' AND len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+    SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+          FROM words, lengths WHERE side = 'd' AND len(w) >= n)),
+found AS (SELECT g.id, g.i, g.n, v.item_id FROM grams g JOIN windows v USING (n, phrase)),
+hits AS (
+    SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY id),
+items AS (
+    SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY id)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits USING (id) LEFT JOIN items USING (id) WHERE side = 'd'
+"""
