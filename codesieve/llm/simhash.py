@@ -80,9 +80,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array((np.int64(number) << 32) | four.astype(np.int64)), pa.array(fps)], ["key", "fp"])
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # Unsigned: of a negative number the bits of its absolute value would be counted.
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
+
+
 def _close(values: np.ndarray) -> np.ndarray:
     """Pairwise: the least index each value reaches over steps of at most DISTANCE bits."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= DISTANCE
+    near = _near(values[:, None], values[None, :])
     label = np.full(len(values), -1)
     for i in range(len(values)):
         if label[i] < 0:
@@ -158,7 +163,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, cuts = [], cuts[1:]
             sizes = np.diff(cuts[:-1])
             two = cuts[:-2][sizes == 2]
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= DISTANCE]
+            near = two[_near(fps[two], fps[two + 1])]
             yield from made(fps[near + 1], fps[near])
             for at in np.flatnonzero(sizes > 2):
                 own = fps[cuts[at]:cuts[at + 1]]
