@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import decontam, exact_dedup, langid, mixing, sharding, simhash
+from codesieve.llm import decontam, exact_dedup, langid, mixing, sharding, simhash, suffix_dedup
 from codesieve.llm.common import ship_package, table
 
 LLM_QUERIES: dict = {}
@@ -153,3 +153,11 @@ SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT A
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hits USING (id) LEFT JOIN items USING (id) WHERE side = 'd'
 """
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
