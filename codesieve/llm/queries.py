@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import decontam, exact_dedup, langid, mixing, sharding, simhash, suffix_dedup
+from codesieve.llm import decontam, exact_dedup, html_extract, langid, mixing, sharding, simhash, suffix_dedup
 from codesieve.llm.common import ship_package, table
 
 LLM_QUERIES: dict = {}
@@ -161,3 +161,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = html_extract.extracted(pages.select("page_id", "url", "html"), html_extract.train(pages))
+    return rows.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
