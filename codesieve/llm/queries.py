@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import decontam, exact_dedup, html_extract, langid, mixing, sharding, simhash, suffix_dedup
-from codesieve.llm.common import ship_package, table
+from codesieve.llm import (
+    chat,
+    decontam,
+    exact_dedup,
+    html_extract,
+    langid,
+    mixing,
+    sharding,
+    simhash,
+    suffix_dedup,
+    warc,
+)
+from codesieve.llm.common import ship_package, staged, table
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -168,3 +179,18 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rows = html_extract.extracted(pages.select("page_id", "url", "html"), html_extract.train(pages))
     return rows.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.convert_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
+
+
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    windows = staged(chat.chat_windows(turns.unionByName(extra)), "chat-windows")
+    return chat.read_back(windows).withColumnRenamed("conv", "conv_id")
