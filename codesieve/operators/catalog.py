@@ -16,7 +16,7 @@ table as well as from code.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,7 +152,6 @@ def undocumented(pattern: str, literal: str, doc_start: str) -> str:
 
 
 LOWER, UPPER = "lower(text)", "upper(text)"
-EARLY = f"line_no <= {SECRET_LINE_LIMIT}"
 TODO = all_of(has("//"), found(TODO_COMMENT, ignore_case=True))
 FIRST_TODO = f"regexp_extract(text, {sql_text(portable(TODO_MARKER, ignore_case=True))}, 1)"
 FIRST_WORD = f"regexp_extract({UPPER}, {sql_text(f'[^{SPACE}]+')}, 0)"
@@ -186,17 +185,17 @@ def _dangerous_rule(rule_id: str, description: str, predicate: str) -> Rule:
 RULES: tuple[Rule, ...] = (
     Rule("PY-01", "python", "security", "error", "Hardcoded password detected in source code",
          "Move sensitive credentials to environment variables.",
-         all_of(EARLY, quoted(PY_PASSWORD, "password"))),
+         quoted(PY_PASSWORD, "password")),
     Rule("PY-02", "python", "security", "error", "Hardcoded API key detected in source code",
          "Move sensitive credentials to environment variables.",
-         all_of(EARLY, quoted(PY_API_KEY, "api"), "NOT " + quoted(PY_PASSWORD, "password"))),
+         all_of(quoted(PY_API_KEY, "api"), "NOT " + quoted(PY_PASSWORD, "password"))),
 
     Rule("JS-01", "javascript", "security", "error", "Hardcoded API key detected",
          "Move secrets to environment variables (.env file)",
-         all_of(EARLY, quoted(JS_API_KEY, "api"))),
+         quoted(JS_API_KEY, "api")),
     Rule("JS-02", "javascript", "security", "error", "Hardcoded secret detected",
          "Move secrets to environment variables (.env file)",
-         all_of(EARLY, quoted(JS_SECRET, "secret", "password", "token"), "NOT " + quoted(JS_API_KEY, "api"))),
+         all_of(quoted(JS_SECRET, "secret", "password", "token"), "NOT " + quoted(JS_API_KEY, "api"))),
     _dangerous_rule("JS-03", "Use of eval() is dangerous", all_of(has("eval"), found(JS_EVAL))),
     _dangerous_rule("JS-04", "Use of dangerouslySetInnerHTML can lead to XSS",
                     has("dangerouslySetInnerHTML")),
@@ -406,3 +405,14 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES + BLOCK_RULE
     return spark.createDataFrame(
         rows, "rule_id string, language string, category string, severity string, "
               "description string, recommendation string")
+
+
+#: Rules on credentials, which may be limited to the head of a file.
+SECRET_RULES = ("PY-01", "PY-02", "JS-01", "JS-02")
+
+
+def within_first_lines(rules: tuple[Rule, ...], limit: int = SECRET_LINE_LIMIT,
+                       rule_ids: tuple[str, ...] = SECRET_RULES) -> tuple[Rule, ...]:
+    """The rules with those of ``rule_ids`` limited to the first ``limit`` lines of a file."""
+    return tuple(replace(r, predicate=all_of(f"line_no <= {limit}", r.predicate)) if r.rule_id in rule_ids else r
+                 for r in rules)

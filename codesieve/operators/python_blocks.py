@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.regex import sql_text
-from codesieve.functions.text import snippet
 from codesieve.operators.catalog import BLOCK_RULES
 from codesieve.operators.units import file_keys
 from codesieve.schemas import ISSUE_COLUMNS
@@ -34,7 +32,6 @@ FUNCTION = r"^\s*def\s+([\p{L}\p{N}_]+)\s*(?:\[[^\]]*\])?\s*\("
 LOOP = r"^\s*(?:for|while)(?![\p{L}\p{N}_])"
 BARE_EXCEPT = r"^\s*except\s*:"
 ELSE = r"^\s*else\s*:"
-NESTING = 6
 DEF, LOOPING, EXCEPT = 1, 2, 3
 
 
@@ -69,7 +66,7 @@ def logical_lines(files: DataFrame) -> DataFrame:
     # Raw text goes along only where an issue may show it: the shuffle carries half as much.
     shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
     lines = _python_lines(files, keys).withColumns({
-        "raw": F.when(shown, snippet(F.col("raw"))),
+        "raw": F.when(shown, F.col("raw")),
         "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
         "quotes": F.regexp_count(masked, F.lit('"')),
         "blank": ~masked.rlike(r"[^ \t\f\r]"),
@@ -115,15 +112,36 @@ def logical_lines(files: DataFrame) -> DataFrame:
 
 
 def _parameters(statement: str) -> Column:
-    """Signature split on its own commas, with inner brackets reduced to a mark: ``@L`` for
-    ``[..]``, ``@D`` for ``{..}`` and ``@P`` for ``(..)``."""
-    inner = ((r"\[[^\[\](){}]*\]", "@L"), (r"\{[^\[\](){}]*\}", "@D"), (r"\([^\[\](){}]*\)", "@P"))
-    text = f"regexp_replace({statement}, {sql_text(FUNCTION)}, '')"
-    for pattern, mark in inner * NESTING:
-        text = f"regexp_replace({text}, {sql_text(pattern)}, '{mark}')"
-    return F.expr(f"""filter(
-        transform(split(substring_index({text}, ')', 1), ','), p -> regexp_replace(p, '^\\\\s+|\\\\s+$', '')),
-        p -> p <> '')""")
+    """Signature split on its own commas, with each bracket reduced to a mark: ``@L`` for a list,
+    ``@D`` for a dict or set, ``@P`` for others, comprehensions included.
+
+    One fold over the brackets, commas and the text between them, so any depth is one pass. A
+    comma between ``lambda`` and its colon belongs to the lambda.
+    """
+    signature = F.regexp_replace(statement, FUNCTION, "")
+    tokens = F.regexp_extract_all(signature, F.lit(r"[(\[{)\]},]|[^()\[\]{},]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("opener"),
+                     F.lit(False).alias("loop"), F.lit("").alias("text"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, top = t.isin("(", "[", "{"), t.isin(")", "]", "}"), s["depth"] == 0
+        splits = top & (t == ",") & ~s["text"].rlike(r"(?<![\p{L}\p{N}_])lambda(?![\p{L}\p{N}_])[^:]*$")
+        ends = top & closes
+        back = (s["depth"] == 1) & closes
+        mark = F.when((s["opener"] == "[") & ~s["loop"], "@L").when(
+            (s["opener"] == "{") & ~s["loop"], "@D").otherwise("@P")
+        text = F.when(splits | ends, "").when(back, F.concat(s["text"], mark)).when(
+            top & ~opens, F.concat(s["text"], t)).otherwise(s["text"])
+        loop = F.when(top, False).otherwise(
+            s["loop"] | ((s["depth"] == 1) & t.rlike(r"(?<![\p{L}\p{N}_])for(?![\p{L}\p{N}_])")))
+        moved = F.struct(
+            (s["depth"] + opens.cast("int") - (closes & ~top).cast("int")).alias("depth"), ends.alias("done"),
+            F.when(top & opens, t).otherwise(s["opener"]).alias("opener"), loop.alias("loop"), text.alias("text"),
+            F.when(splits | ends, F.array_append(s["parts"], s["text"])).otherwise(s["parts"]).alias("parts"))
+        return F.when(s["done"], s).otherwise(moved)
+
+    parts = F.transform(F.aggregate(tokens, start, step)["parts"], lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda p: p != "")
 
 
 def _positional(names: Column) -> Column:

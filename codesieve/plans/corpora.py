@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from codesieve.functions.text import content_hash
 
 LINES_PER_FILE = 50
+# Long files: a Python one consists of functions of 120 lines.
+LONG_FILE_LINES, FUNCTION_LINES = 600, 120
+FUNCTION_LINE = "def whole(a, b=[], c=lambda x, y: x, d={k: 1 for k in []}, e=(((((((((1))))))))), f=2):"
 LANGUAGES = ("python", "javascript", "java", "go", "rust", "sql")
 EXTENSIONS = (".py", ".js", ".java", ".go", ".rs", ".sql")
 
@@ -163,8 +166,8 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.split(F.lit(" ".join(values)), " "), index)
 
 
-def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code lines from ``orders``: 50 consecutive orders make one file."""
+def corpus_lines(spark: SparkSession, sf_dir: str, per_file: int = LINES_PER_FILE) -> DataFrame:
+    """Code lines from ``orders``: ``per_file`` consecutive orders make one file."""
     key, file_no = F.col("o_orderkey"), F.col("file_no")
     number = file_no % len(LANGUAGES)
     templates = F.split(F.lit("\n".join(template_lines())), "\n")
@@ -172,8 +175,8 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.when(file_no % 12 == 1, REACT_NATIVE_LINE).otherwise(REACT_LINE)
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("modified_at"),
-        F.expr(f"o_orderkey div {LINES_PER_FILE}").alias("file_no"),
-        (key % LINES_PER_FILE + 1).cast("int").alias("line_no"),
+        F.expr(f"o_orderkey div {per_file}").alias("file_no"),
+        (key % per_file + 1).cast("int").alias("line_no"),
         ((F.col("o_custkey") + key) % 20).alias("t"),
     ).select(
         "o_orderkey", "modified_at", "file_no", repo.alias("repo_path"),
@@ -186,7 +189,7 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_of(lines: DataFrame, *extra: str) -> DataFrame:
-    """Lines to files. A file holds at most 50 lines, so no group grows with the data."""
+    """Lines to files. A file holds a fixed number of lines, so no group grows with the data."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     content = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n")
     return (
@@ -204,13 +207,27 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(corpus_lines(spark, sf_dir))
 
 
-def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files in two scans, each with some of the lines left out."""
+def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 600 lines; Python lines lie inside functions of 120 lines."""
+    lines = corpus_lines(spark, sf_dir, LONG_FILE_LINES)
+    inside = F.when(F.col("line_no") % FUNCTION_LINES == 1, FUNCTION_LINE).otherwise(F.concat(F.lit("    "), "line"))
+    return files_of(lines.withColumn(
+        "line", F.when(F.col("language") == "python", inside).otherwise(F.col("line"))))
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str, padded: bool = False) -> DataFrame:
+    """The same files in two scans, each with some of the lines left out. ``padded`` makes a
+    third of the lines longer than 4 KB and indents the current scan."""
     lines = corpus_lines(spark, sf_dir)
     key = F.col("o_orderkey")
     scans = F.array_compact(F.array(F.when(key % 11 != 0, F.lit("previous")),
                                     F.when(key % 13 != 0, F.lit("current"))))
-    return files_of(lines.withColumn("scan_id", F.explode(scans)), "scan_id")
+    lines = lines.withColumn("scan_id", F.explode(scans))
+    if padded:
+        lines = lines.withColumn("line", F.concat(
+            F.when(F.col("scan_id") == "current", "    ").otherwise(""), "line",
+            F.when(key % 3 == 0, F.repeat(F.lit(" pad"), F.lit(1200))).otherwise("")))
+    return files_of(lines, "scan_id")
 
 
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,14 @@ from codesieve.functions.regex import SPACE, portable
 from codesieve.operators import catalog
 from codesieve.operators.catalog import BLOCK_RULES, OPTIONAL_RULES, RULES
 from codesieve.operators.reviews import BATCH_HEAD, BATCH_TAIL, SINGLE_PROMPT
-from codesieve.plans.corpora import REACT_LINE, REACT_NATIVE_LINE, template_lines
+from codesieve.plans.corpora import (
+    FUNCTION_LINE,
+    FUNCTION_LINES,
+    LONG_FILE_LINES,
+    REACT_LINE,
+    REACT_NATIVE_LINE,
+    template_lines,
+)
 from codesieve.settings import FRAMEWORK_MARKERS, LANGUAGE_PROFILES
 
 
@@ -37,12 +44,15 @@ LANGS = "['python', 'javascript', 'java', 'go', 'rust', 'sql']"
 EXTS = "['.py', '.js', '.java', '.go', '.rs', '.sql']"
 _TEMPLATES = _values([(i, line) for i, line in enumerate(template_lines())])
 
-LINES = f"""
+
+
+def _code_lines(per_file: int = 50) -> str:
+    return f"""
 templates(number, template) AS ({_TEMPLATES}),
 numbered AS (
-  SELECT o_orderkey, o_orderdate AS modified_at, o_orderkey // 50 AS file_no,
-         CAST(o_orderkey % 50 + 1 AS INTEGER) AS line_no,
-         (o_orderkey // 50) % 6 AS lang_no, (o_custkey + o_orderkey) % 20 AS t
+  SELECT o_orderkey, o_orderdate AS modified_at, o_orderkey // {per_file} AS file_no,
+         CAST(o_orderkey % {per_file} + 1 AS INTEGER) AS line_no,
+         (o_orderkey // {per_file}) % 6 AS lang_no, (o_custkey + o_orderkey) % 20 AS t
   FROM orders),
 lines AS (
   SELECT o_orderkey, modified_at, file_no, line_no, '/repo' || (file_no % 4) AS repo_path,
@@ -53,6 +63,9 @@ lines AS (
               ELSE template END AS line
   FROM numbered JOIN templates ON number = lang_no * 20 + t)"""
 
+
+LINES = _code_lines()
+
 SCAN_LINES = LINES + ", code AS (SELECT '' AS scan_id, * FROM lines)"
 SNAPSHOT_LINES = LINES + """,
 picked AS (
@@ -62,6 +75,23 @@ code AS (
   SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY scan_id, file_path ORDER BY line_no) AS INTEGER) AS line_no)
   FROM picked)"""
 
+LONG_LINES = _code_lines(LONG_FILE_LINES) + f""",
+code AS (
+  SELECT '' AS scan_id, * REPLACE (
+    CASE WHEN language <> 'python' THEN line
+         WHEN line_no % {FUNCTION_LINES} = 1 THEN {_q(FUNCTION_LINE)} ELSE '    ' || line END AS line)
+  FROM lines)"""
+PADDED_LINES = LINES + """,
+picked AS (
+  SELECT 'previous' AS scan_id, * FROM lines WHERE o_orderkey % 11 <> 0
+  UNION ALL SELECT 'current', * FROM lines WHERE o_orderkey % 13 <> 0),
+code AS (
+  SELECT * REPLACE (
+    CAST(row_number() OVER (PARTITION BY scan_id, file_path ORDER BY line_no) AS INTEGER) AS line_no,
+    CASE WHEN scan_id = 'current' THEN '    ' ELSE '' END || line
+      || CASE WHEN o_orderkey % 3 = 0 THEN repeat(' pad', 1200) ELSE '' END AS line)
+  FROM picked)"""
+
 FILES = """
 files AS (
   SELECT scan_id, repo_path, file_path, language, file_no, max(modified_at) AS modified_at,
@@ -94,10 +124,10 @@ def _undocumented(pattern: str, start: str) -> str:
 
 
 LINE_RULES: dict[str, str | tuple[str, str]] = {
-    "PY-01": f"line_no <= 500 AND {_rx(catalog.PY_PASSWORD, True)}",
-    "PY-02": f"line_no <= 500 AND {_rx(catalog.PY_API_KEY, True)} AND NOT {_rx(catalog.PY_PASSWORD, True)}",
-    "JS-01": f"line_no <= 500 AND {_rx(catalog.JS_API_KEY, True)}",
-    "JS-02": f"line_no <= 500 AND {_rx(catalog.JS_SECRET, True)} AND NOT {_rx(catalog.JS_API_KEY, True)}",
+    "PY-01": f"{_rx(catalog.PY_PASSWORD, True)}",
+    "PY-02": f"{_rx(catalog.PY_API_KEY, True)} AND NOT {_rx(catalog.PY_PASSWORD, True)}",
+    "JS-01": f"{_rx(catalog.JS_API_KEY, True)}",
+    "JS-02": f"{_rx(catalog.JS_SECRET, True)} AND NOT {_rx(catalog.JS_API_KEY, True)}",
     "JS-03": _rx(catalog.JS_EVAL),
     "JS-04": _has("dangerouslySetInnerHTML"),
     "JS-05": _rx(catalog.JS_INNER_HTML),
@@ -147,11 +177,13 @@ PREFIX = {"PY": "python", "JS": "javascript", "RN": "javascript", "JV": "java",
           "RS": "rust", "SQ": "sql"}
 
 
-def _line_hits(rule_ids: list[str]) -> str:
+def _line_hits(rule_ids: list[str], first_lines: int | None = None) -> str:
     parts = []
     for rule_id in rule_ids:
         entry = LINE_RULES[rule_id]
         predicate, detail = entry if isinstance(entry, tuple) else (entry, "''")
+        if first_lines and rule_id in ("PY-01", "PY-02", "JS-01", "JS-02"):
+            predicate = f"line_no <= {first_lines} AND {predicate}"
         parts.append(
             f"SELECT scan_id, repo_path, file_path, '{rule_id}' AS rule_id, line_no AS line_start, "
             f"line_no AS line_end, {detail} AS d1, '' AS d2, line AS code_snippet FROM ctx "
@@ -200,7 +232,8 @@ ended AS (
   SELECT b.*, s.line_no AS end_line FROM blocks b
   JOIN stmts s ON s.scan_id = b.scan_id AND s.file_path = b.file_path AND s.k = b.end_k),
 defs AS (
-  SELECT *, regexp_extract(m, 'def\s+(\w+)', 1) AS name, regexp_extract(m, '\((.*)\)', 1) AS params
+  SELECT *, regexp_extract(m, 'def\s+(\w+)', 1) AS name, 
+         regexp_replace(regexp_extract(m, '\((.*)\)', 1), 'lambda[^:]*:', 'lambda:', 'g') AS params
   FROM ended WHERE kind = 'def'),
 block_hits AS (
   SELECT scan_id, repo_path, file_path, 'PY-03' AS rule_id, line_no AS line_start, line_no AS line_end,
@@ -210,7 +243,8 @@ block_hits AS (
   SELECT scan_id, repo_path, file_path, 'PY-04', line_no, end_line, '', '', line FROM ended WHERE kind = 'except'
   UNION ALL
   SELECT scan_id, repo_path, file_path, 'PY-05', line_no, line_no, name, '', line
-  FROM (SELECT *, unnest(regexp_extract_all(params, '=\s*[\[{]')) AS one FROM defs)
+  FROM (SELECT *, unnest(list_filter(regexp_extract_all(params, '=\s*(?:\[[^\[\]]*\]|\{[^{}]*\})'),
+                                     lambda x: NOT contains(x, ' for '))) AS one FROM defs)
   UNION ALL
   SELECT scan_id, repo_path, file_path, 'PY-06', line_no, end_line, name, CAST(end_line - line_no AS VARCHAR), line
   FROM defs WHERE end_line - line_no > 50
@@ -246,14 +280,15 @@ ISSUE = ("repo_path, file_path, rule_id, category, severity, line_start, line_en
          "recommendation, code_snippet")
 
 
-def _scan(prefixes: tuple[str, ...] = (), blocks: bool = False, lines: str = SCAN_LINES) -> str:
+def _scan(prefixes: tuple[str, ...] = (), blocks: bool = False, lines: str = SCAN_LINES,
+          first_lines: int | None = None) -> str:
     """WITH clause that ends in ``issues`` of the rules with one of the prefixes (all if none)."""
     ids = [r for r in LINE_RULES if not prefixes or r.startswith(prefixes)]
     statements = not prefixes or "SQ" in prefixes
     parts = ["WITH " + lines.strip(), CONTEXT]
     sources = []
     if ids:
-        parts.append(_line_hits(ids))
+        parts.append(_line_hits(ids, first_lines))
         sources.append("line_hits")
     if statements:
         parts.append(SQL_HITS)
@@ -274,6 +309,8 @@ ORACLE: dict[str, str] = {
     "streaming_scan": f"{_scan(blocks=True)} SELECT {ISSUE} FROM issues",
     "rules_python_secrets": f"{_scan(('PY',))} SELECT {ISSUE} FROM issues",
     "rules_python_blocks": f"{_blocks_only()} SELECT {ISSUE} FROM issues",
+    "rules_long_files": f"{_scan(blocks=True, lines=LONG_LINES)} SELECT {ISSUE} FROM issues",
+    "rules_first_lines": f"{_scan(('PY', 'JS-0'), lines=LONG_LINES, first_lines=500)} SELECT {ISSUE} FROM issues",
     "rules_js": f"{_scan(('JS', 'RN'))} SELECT {ISSUE} FROM issues",
     "rules_java": f"{_scan(('JV',))} SELECT {ISSUE} FROM issues",
     "rules_go": f"{_scan(('GO',))} SELECT {ISSUE} FROM issues",
@@ -396,7 +433,7 @@ hits AS (
   FROM numbered WHERE {_TODO[0]})
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_start AS line_end,
        description, recommendation,
-       CASE WHEN strlen(line) <= 4096 THEN line ELSE 'sha256:' || sha256(line) END AS code_snippet
+       line AS code_snippet
 FROM hits"""
 ORACLE["numbered_lines"] = """
 SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no, unnest(parts) AS line
@@ -538,7 +575,7 @@ hashed AS (
 ORACLE["issue_fingerprints"] = f"""{_scan()}, {_KEYED}
 SELECT file_path, rule_id, line_start, issue_hash FROM hashed"""
 
-_DIFF = f"""{_scan(blocks=True, lines=SNAPSHOT_LINES)}, {_KEYED},
+_COMPARED = f"""{_KEYED},
 cur AS (SELECT * FROM hashed WHERE scan_id = 'current'),
 prev AS (SELECT * FROM hashed WHERE scan_id = 'previous'),
 diff AS (
@@ -547,6 +584,9 @@ diff AS (
   UNION ALL
   SELECT *, 'fixed' FROM prev p
   WHERE NOT EXISTS (FROM cur c WHERE c.issue_hash = p.issue_hash AND c.repo_path = p.repo_path))"""
+_DIFF = f"{_scan(blocks=True, lines=SNAPSHOT_LINES)}, {_COMPARED}"
+ORACLE["scan_diff_long_lines"] = f"""{_scan(('GO',), lines=PADDED_LINES)}, {_COMPARED}
+SELECT file_path, rule_id, line_start, code_snippet, status, issue_hash FROM diff"""
 ORACLE["scan_diff"] = f"""{_DIFF}
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
        code_snippet, status, issue_hash FROM diff"""

@@ -16,6 +16,7 @@ from codesieve.operators.catalog import (
     Rule,
     register_rule,
     rules_from_table,
+    within_first_lines,
 )
 from codesieve.operators.python_blocks import python_block_issues
 from codesieve.operators.scan_rules import scan_rules
@@ -72,6 +73,18 @@ def rules_python_blocks(spark, sf_dir):
     return python_block_issues(corpora.corpus_files(spark, sf_dir))
 
 
+@query
+def rules_long_files(spark, sf_dir):
+    """All rules over files of 600 lines: credentials past line 500, functions over 50 lines."""
+    return scan_issues(corpora.long_files(spark, sf_dir))
+
+
+@query
+def rules_first_lines(spark, sf_dir):
+    """Credential rules limited to the first 500 lines, on request."""
+    return scan_rules(corpora.long_files(spark, sf_dir), within_first_lines(_rules("PY", "JS-0")))
+
+
 @query
 def rules_python_sql_format(spark, sf_dir):
     """The optional rule, over the corpus with database calls put around Python values."""
@@ -348,6 +361,14 @@ def scan_diff(spark, sf_dir):
     return diff.diff_of_sides(_snapshots(spark, sf_dir)).drop("recommendation")
 
 
+@query
+def scan_diff_long_lines(spark, sf_dir):
+    """Lines of several KB that are only indented anew remain."""
+    issues = scan_rules(corpora.snapshot_files(spark, sf_dir, padded=True), _rules("GO"))
+    return diff.diff_of_sides(issues.withColumnRenamed("scan_id", "side")).select(
+        "file_path", "rule_id", "line_start", "code_snippet", "status", "issue_hash")
+
+
 @query
 def scan_diff_first(spark, sf_dir):
     """Without a previous scan every issue is new."""

@@ -15,8 +15,6 @@ MIN_COMMENT_RATIO = 0.1
 MAX_JSON_CHARS = 1024 * 1024
 MAX_JSON_DEPTH = 10
 
-# Longest text stored with an issue; see functions.text.snippet.
-MAX_SNIPPET_BYTES = 4096
 
 # Reuse, batching and request limits.
 CACHE_TTL_SECONDS = 3600

@@ -9,27 +9,28 @@ from collections import Counter
 from codesieve.operators.python_blocks import python_block_issues
 
 
+# Rule, node type, condition, and how the node shows: its own line, its lines, or its first line only.
+OWN, WHOLE, FIRST = range(3)
+FUNCTIONS = ast.FunctionDef
+TABLE = (
+    ("PY-03", ast.Call, lambda n: getattr(n.func, "id", None) in ("eval", "exec"), FIRST),
+    ("PY-04", ast.ExceptHandler, lambda n: n.type is None, WHOLE),
+    ("PY-05", FUNCTIONS, lambda n: sum(type(d) in (ast.List, ast.Dict, ast.Set) for d in n.args.defaults), OWN),
+    ("PY-06", FUNCTIONS, lambda n: n.end_lineno - n.lineno > 50, WHOLE),
+    ("PY-07", FUNCTIONS, lambda n: len(n.args.args) > 5, OWN),
+)
+
+
 def by_ast(path, content):
-    """(path, rule, first line, last line) by walking the tree. PY-03 without the last line."""
-    found = []
-    for node in ast.walk(ast.parse(content)):
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in ("eval", "exec"):
-            found.append((path, "PY-03", node.lineno, None))
-        if isinstance(node, ast.ExceptHandler) and node.type is None:
-            found.append((path, "PY-04", node.lineno, node.end_lineno))
-        if isinstance(node, ast.FunctionDef):
-            for default in node.args.defaults:
-                if isinstance(default, (ast.List, ast.Dict, ast.Set)):
-                    found.append((path, "PY-05", node.lineno, node.lineno))
-            if node.end_lineno - node.lineno > 50:
-                found.append((path, "PY-06", node.lineno, node.end_lineno))
-            if len(node.args.args) > 5:
-                found.append((path, "PY-07", node.lineno, node.lineno))
-        if isinstance(node, (ast.For, ast.While)):
-            for child in ast.walk(node):
-                if isinstance(child, ast.AugAssign) and isinstance(child.op, ast.Add):
-                    found.append((path, "PY-08", child.lineno, child.end_lineno))
-    return found
+    """(path, rule, first line, last line) of each node a row of the table holds for, as often as
+    it holds; PY-08 for each ``+=`` and loop around it. PY-03 without the last line."""
+    nodes = list(ast.walk(ast.parse(content)))
+    shown = {OWN: lambda n: n.lineno, WHOLE: lambda n: n.end_lineno, FIRST: lambda n: None}
+    found = [(path, rule, n.lineno, shown[show](n)) for rule, kind, holds, show in TABLE
+             for n in nodes if isinstance(n, kind) for _ in range(int(holds(n)))]
+    inside = [m for loop in nodes if isinstance(loop, (ast.For, ast.While)) for m in ast.walk(loop)]
+    return found + [(path, "PY-08", m.lineno, m.end_lineno) for m in inside
+                    if isinstance(m, ast.AugAssign) and isinstance(m.op, ast.Add)]
 
 
 def ours(files):
@@ -74,6 +75,10 @@ CASES = {
     "positional only": "def f(a, b, c, /, d, e, g, h=[], i={}): pass\n",
     "two mutable defaults": "def f(a=[], b={1}, c=(), d={}): pass\n",
     "default is no bare display": "def f(a=[1][0], b=[] or None, c=list()): pass\n",
+    "commas of a lambda": "def f(a, b=lambda p, q, r, s, t: 0, c=lambda: [], d=[]): pass\n",
+    "lambda in a lambda": "def f(a=lambda p, q=[1, 2]: lambda r, s: {p: q}, b=1, c=2, d=3, e=4): pass\n",
+    "comprehensions": "def f(a=[x for x in y], b={x for x in y}, c={x: [] for x in y}, d=[[x for x in y]]): pass\n",
+    "deep brackets": "def f(a=" + "(" * 9 + "[1], 2" + ")" * 9 + ", b=[], c=1, d=1, e=1, g=1):\n    pass\n",
     "annotated": "def f(a: Dict[str, int] = {}, b: Tuple[int, str] = ()) -> List[int]:\n    pass\n",
     "async": "async def f(a=[], b=1, c=2, d=3, e=4, g=5):\n" + "    x = 1\n" * 60
              + "    try:\n        eval(a)\n    except:\n        pass\n",
