@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codesieve.settings import DISPLAY_SEVERITY
+from codesieve.functions.regex import strip
+from codesieve.settings import DISPLAY_SEVERITY, SHOWN_SNIPPET_BYTES
 
 
 def normalize_newlines(content: Column) -> Column:
@@ -77,6 +78,18 @@ def zero_based(line: Column) -> Column:
     return F.greatest(F.lit(0), line - 1)
 
 
+def text_name(text: Column) -> Column:
+    """Name of a text by the hash of what is left without white space around it."""
+    return F.concat(F.lit("sha256:"), F.sha2(strip(text), 256))
+
+
+def snippet(text: Column, shown_bytes: int = SHOWN_SNIPPET_BYTES) -> Column:
+    """Text shown with an issue; a longer one is named by its hash. A minified file is one line
+    with as many issues as it has calls, and repeating it for each would be quadratic. Only what
+    is shown depends on the length: issues are compared by ``text_name`` at every length."""
+    return F.when(F.octet_length(text) <= shown_bytes, text).otherwise(text_name(text))
+
+
 def context_start(line: Column, context: int = 2) -> Column:
     return F.greatest(F.lit(1), line - context)
 

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import relative_path
-from codesieve.functions.regex import strip
+from codesieve.functions.text import text_name
 
 MATCH_KEYS = ("repo_path", "file_path", "rule_id", "snippet_key")
 
 
 def _with_key(issues: DataFrame) -> DataFrame:
-    return issues.withColumn("snippet_key", strip(F.coalesce("code_snippet", F.lit(""))))
+    """Keyed by the hash of the trimmed line, whether the line itself or its name is shown."""
+    shown = F.coalesce("code_snippet", F.lit(""))
+    named = shown.rlike("^sha256:[0-9a-f]{64}$")
+    return issues.withColumn("snippet_key", F.when(named, shown).otherwise(text_name(shown)))
 
 
 def issue_hash(ordinal: Column) -> Column:

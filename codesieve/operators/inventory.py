@@ -77,9 +77,10 @@ def recent_only(files: DataFrame, days: int, now: Column) -> DataFrame:
     return files.where(F.col("modified_at") >= now - F.make_interval(days=F.lit(days)))
 
 
-def scannable(files: DataFrame, excludes: Iterable[str] = ()) -> DataFrame:
+def scannable(files: DataFrame, excludes: Iterable[str] = DEFAULT_EXCLUDES,
+              cap: int = MAX_FILE_BYTES) -> DataFrame:
     """Files a scan reads. Only names and sizes are looked at, before any content is read."""
-    kept = prune_dirs(filter_supported(filter_size(files)))
+    kept = prune_dirs(filter_supported(filter_size(files, cap)))
     return exclude_globs(kept, excludes) if excludes else kept
 
 

@@ -1,7 +1,7 @@
 """Rules over logical lines and indented blocks of Python files.
 
-One shuffle brings the lines of a file together; every later window and grouping reuses
-that partitioning. All steps are linear in the size of a file: a block is closed by the
+One shuffle spreads the files; every later window and grouping over lines reuses that
+partitioning. All steps are linear in the size of a file: a block is closed by the
 first line that drops to its indent, so each drop is sent to the levels it closes and one
 window per level finds the end. No join compares lines with lines.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesieve.functions.text import snippet
 from codesieve.operators.catalog import BLOCK_RULES
 from codesieve.operators.units import file_keys
 from codesieve.schemas import ISSUE_COLUMNS
@@ -49,8 +50,11 @@ def masked_text(content: Column) -> Column:
 
 def _python_lines(files: DataFrame, keys: list[str]) -> DataFrame:
     raw, masked = F.split("content", "\n"), F.split(masked_text(F.col("content")), "\n")
+    # Files are brought to their tasks whole: the shuffle has a row per file, and the windows over
+    # its lines need no other.
     return (
-        files.where((F.col("language") == "python") & (F.col("content") != ""))
+        files.where((F.col("language") == "python") & (F.col("content") != "")).select(*keys, "content")
+        .repartition(*keys)
         .select(*keys, F.posexplode(F.arrays_zip(raw.alias("raw"), masked.alias("masked"))))
         .select(*keys, (F.col("pos") + 1).alias("line_no"), "col.raw", "col.masked")
     )
@@ -66,7 +70,7 @@ def logical_lines(files: DataFrame) -> DataFrame:
     # Raw text goes along only where an issue may show it: the shuffle carries half as much.
     shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
     lines = _python_lines(files, keys).withColumns({
-        "raw": F.when(shown, F.col("raw")),
+        "raw": F.when(shown, snippet(F.col("raw"))),
         "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
         "quotes": F.regexp_count(masked, F.lit('"')),
         "blank": ~masked.rlike(r"[^ \t\f\r]"),

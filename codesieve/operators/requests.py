@@ -16,33 +16,38 @@ def rate_audit(requests: DataFrame, provider: str = "provider",
     """For each request the earlier ones of its provider in the last minute (younger than 60 s)
     and hour (not older than 3600 s), and whether the limits let it through.
 
-    A window over a provider would put all its requests into one task. Rows go to the hour they
-    fall in and, as context, to the next one; nothing counts for longer than an hour, so the
-    window per provider and hour is exact. Within it a request adds 1 at its time and takes it
-    away when it stops counting; the running sum is linear, where a sliding frame would visit
-    every request of the frame for every row.
+    No window spans a provider's requests or even an hour of them. Requests are counted by minute;
+    sums of these counts, one row per minute, give the minutes that count whole. Only the own
+    minute and the ones the two spans begin in are looked at row by row: a request goes to its
+    minute, and, as an event that ends, to the minute it leaves the last minute or hour in.
     """
     fields = F.struct(*requests.columns)
-
-    def event(at: Column, minute: int, hour: int, row: Column | None = None) -> Column:
-        return F.struct(at.alias("at"), F.lit(minute).alias("minute"), F.lit(hour).alias("hour_step"),
-                        (F.lit(None).cast(requests.schema) if row is None else row).alias("row"))
-
-    micros = F.col("micros")
-    rows = requests.select(fields.alias("row"), F.col(provider).alias("key"),
-                           F.unix_micros("ts").alias("micros"))
-    rows = rows.select("*", F.expr(f"micros div {HOUR}").alias("hour_no"))
-    spread = rows.select("*", F.explode(F.array(F.col("hour_no"), F.col("hour_no") + 1)).alias("hour"))
-    own = F.col("hour") == F.col("hour_no")
-    events = spread.select("key", "hour", F.inline(F.array(
-        event(micros, 1, 1, F.when(own, F.col("row"))),
-        event(micros + MINUTE, -1, 0),
-        event(micros + HOUR + 1, 0, -1)))).where(F.col("at") < (F.col("hour") + 1) * HOUR)
+    micros, minute = F.col("micros"), F.col("minute")
+    rows = requests.select(fields.alias("row"), F.col(provider).alias("key"), F.unix_micros("ts").alias("micros"))
+    none = F.lit(None).cast(requests.schema)
+
+    def event(at: Column, own: int, leaves_minute: int, leaves_hour: int, row: Column = none) -> Column:
+        return F.struct(at.alias("at"), F.lit(own).alias("own"), F.lit(leaves_minute).alias("leaves_minute"),
+                        F.lit(leaves_hour).alias("leaves_hour"), row.alias("row"))
+
+    # An hour counts to its last microsecond, a minute ends before.
+    events = rows.select("key", F.inline(F.array(
+        event(micros, 1, 0, 0, F.col("row")), event(micros + MINUTE, 0, 1, 0),
+        event(micros + HOUR + 1, 0, 0, 1)))).withColumn("minute", F.expr(f"at div {MINUTE}"))
+    along = Window.partitionBy("key").orderBy("minute")
+    left = events.groupBy("key", "minute").agg(*[F.sum(c).alias(c) for c in ("own", "leaves_minute", "leaves_hour")])
+    # What is open at the start of a minute: all that came before, less all that left before.
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    open_ = left.select(
+        F.col("key").alias("k"), F.col("minute").alias("m"),
+        *[F.coalesce(F.sum(F.col("own") - F.col(c)).over(before), F.lit(0)).alias(f"open_{c}")
+          for c in ("leaves_minute", "leaves_hour")])
     # The default frame of an ordered window includes rows with an equal time.
-    ordered = Window.partitionBy("key", "hour").orderBy("at")
-    counted = events.withColumns({
-        "last_minute": F.sum("minute").over(ordered) - 1,
-        "last_hour": F.sum("hour_step").over(ordered) - 1,
-    }).where(F.col("row").isNotNull())
-    return counted.select("row.*", "last_minute", "last_hour").withColumn(
+    within = Window.partitionBy("key", "minute").orderBy("at")
+    counted = events.withColumns({c: F.sum(F.col("own") - F.col(c)).over(within) - 1
+                                  for c in ("leaves_minute", "leaves_hour")}).where(F.col("row").isNotNull())
+    found = counted.join(open_, F.col("key").eqNullSafe(F.col("k")) & (minute == F.col("m"))).select(
+        "row.*", (F.col("leaves_minute") + F.col("open_leaves_minute")).alias("last_minute"),
+        (F.col("leaves_hour") + F.col("open_leaves_hour")).alias("last_hour"))
+    return found.withColumn(
         "allowed", (F.col("last_hour") < per_hour) & (F.col("last_minute") < per_minute))

@@ -1,6 +1,7 @@
 """Reuse of earlier findings: knowledge by content hash, cached results, overlays.
 
-A hash may be shared by a third of all files, so files meet findings in ``skew_join``.
+A hash may be shared by a third of all files. Findings are one row per hash and come to the join
+by a shuffle of their own (``spread_key``), so adaptive execution can split the files of a hot hash.
 """
 
 from __future__ import annotations
@@ -9,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.operators.history import latest
-from codesieve.operators.skew import skew_join
 from codesieve.operators.units import file_keys
 from codesieve.settings import CACHE_TTL_SECONDS
 
 ISSUE_FIELDS = ("category", "severity", "line_start", "line_end", "description", "recommendation")
 
 
+def spread_key(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows under a key the planner does not know to be shuffled already. A join then
+    shuffles both sides, which is when adaptive execution splits a hot key of the other side."""
+    return rows.withColumn(key, F.concat(key, F.lit("")))
+
+
 def latest_knowledge(knowledge: DataFrame) -> DataFrame:
     """The valid entry of each hash: the last one saved."""
     return latest(knowledge, ["file_hash"], ["ts", "source"])
@@ -25,14 +31,14 @@ def knowledge_hits(files: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Issues of files whose content is known, under the file's current path."""
     keys = file_keys(files)
     entries = latest_knowledge(knowledge).withColumnRenamed("file_hash", "content_hash")
-    known = skew_join(files.select(*keys, "content_hash"), entries, ["content_hash"], keys)
+    known = files.select(*keys, "content_hash").join(spread_key(entries, "content_hash"), "content_hash")
     return known.select(*keys, "content_hash", F.inline("issues"))
 
 
 def knowledge_misses(files: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Files whose content is not known. Only hashes of the knowledge are shuffled."""
     known = knowledge.select(F.col("file_hash").alias("content_hash")).distinct()
-    return skew_join(files, known, ["content_hash"], file_keys(files), "left_anti")
+    return files.join(spread_key(known, "content_hash"), "content_hash", "left_anti").select(*files.columns)
 
 
 def one_per_content(files: DataFrame, *also: str) -> DataFrame:
@@ -75,8 +81,11 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column,
                  ttl: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Requests joined to the last cached entry of their key; ``hit`` if it is still valid."""
     entries = latest(cache, ["cache_key"], ["ts", "entry_id"])
-    spread = [c for c in requests.columns if c != "cache_key"]
-    return skew_join(requests, entries, ["cache_key"], spread, "left").withColumn(
+    # A null key has no entry; such requests do not meet in one task.
+    keyed = requests.where("cache_key IS NOT NULL").join(spread_key(entries, "cache_key"), "cache_key", "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in entries.schema if f.name != "cache_key"]
+    unkeyed = requests.where("cache_key IS NULL").select("*", *none)
+    return keyed.unionByName(unkeyed).withColumn(
         "hit", F.coalesce(is_fresh(now, ttl), F.lit(False)))
 
 

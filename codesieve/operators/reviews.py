@@ -17,6 +17,7 @@ ANSWER_ISSUE = (
     "struct<category: string, severity: string, line_start: int, line_end: int, "
     "description: string, recommendation: string>"
 )
+ANSWER_FIELDS = tuple(f.split(":")[0] for f in ANSWER_ISSUE[7:-1].split(", "))
 
 # Request texts.
 SINGLE_PROMPT = """You are an expert code reviewer. Analyze the following {language} code and identify issues.
@@ -212,9 +213,17 @@ def batch_prompts(batched: DataFrame, group: str, order: str) -> DataFrame:
 
 def _issue_list(text: Column) -> Column:
     """Objects of a JSON list; other elements are left out. Null if the text is no list."""
-    elements = F.from_json(F.when(F.startswith(F.trim(text), F.lit("[")), text), "array<string>")
+    strict = {"allowSingleQuotes": "false"}
+    elements = F.from_json(F.when(F.startswith(F.trim(text), F.lit("[")), text), "array<string>", strict)
     objects = F.filter(elements, lambda e: F.startswith(e, F.lit("{")))
-    return F.transform(objects, lambda e: F.from_json(e, ANSWER_ISSUE))
+
+    def issue(element: Column) -> Column:
+        # Lines are read as text: services also send "10" and 10.0.
+        found = F.from_json(element, ANSWER_ISSUE.replace(" int", " string"), strict)
+        number = lambda name: found[name].try_cast("double").cast("int").alias(name)
+        return F.struct(*[number(f) if f.startswith("line_") else found[f].alias(f) for f in ANSWER_FIELDS])
+
+    return F.transform(objects, issue)
 
 
 def _no_issues() -> Column:
@@ -233,7 +242,7 @@ def parse_answer(response: Column) -> Column:
 def parse_batch_answer(response: Column) -> Column:
     """Map path -> issues from the first ``{`` to the last ``}``; null if that is no object."""
     found = F.regexp_extract(response, r"(?s)\{.*\}", 0)
-    by_path = F.from_json(found, "map<string, string>")
+    by_path = F.from_json(found, "map<string, string>", {"allowSingleQuotes": "false"})
     return F.transform_values(by_path, lambda _, text: F.coalesce(_issue_list(text), _no_issues()))
 
 

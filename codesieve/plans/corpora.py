@@ -317,6 +317,13 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
+def dense_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with time running 20 or 400 times as fast, so that the limits bind."""
+    faster = F.when(F.col("provider") == "click", 400).otherwise(20)
+    return event_requests(spark, sf_dir).withColumn(
+        "ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / faster).cast("long")))
+
+
 def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to review requests, one per order, in the shapes services return."""
     key = F.col("o_orderkey")
@@ -333,14 +340,19 @@ def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text('{"category": "bug", "severity": "ERROR", "description": "Plain"}')
     foreign = text('{"category": "style", "severity": "fatal"}')
     response = (
-        F.when(key % 9 == 0, text("Here are the issues:\n[", item, ", ", plain, "]\nRegards"))
-        .when(key % 9 == 1, text('{"issues": [', item, "]}"))
-        .when(key % 9 == 2, "[]")
-        .when(key % 9 == 3, text("[", item))
-        .when(key % 9 == 4, "")
-        .when(key % 9 == 5, "No issues found.")
-        .when(key % 9 == 6, text("[", foreign, "]"))
-        .when(key % 9 == 7, text("[1, ", item, "]"))
+        F.when(key % 14 == 0, text("Here are the issues:\n[", item, ", ", plain, "]\nRegards"))
+        .when(key % 14 == 1, text('{"issues": [', item, "]}"))
+        .when(key % 14 == 2, "[]")
+        .when(key % 14 == 3, text("[", item))
+        .when(key % 14 == 4, "")
+        .when(key % 14 == 5, "No issues found.")
+        .when(key % 14 == 6, text("[", foreign, "]"))
+        .when(key % 14 == 7, text("[1, ", item, "]"))
+        .when(key % 14 == 8, "[{'category': 'bug', 'description': 'single quotes'}]")
+        .when(key % 14 == 9, '[{"category": "bug", "line_start": "10", "line_end": "12"}]')
+        .when(key % 14 == 10, '[{"category": "security", "line_start": 10.0, "line_end": 11.0}]')
+        .when(key % 14 == 11, '[{"severity": "error", "line_start": "x", "line_end": null}]')
+        .when(key % 14 == 12, """[{"line_start": 3, "extra": {"a": [1]}, "description": "a \\"b\\" 'c'"}]""")
         .otherwise(item))
     return spread_table(spark, sf_dir, "orders").select(
         F.concat(F.lit("/repo/f"), key.cast("string")).alias("file_path"), response.alias("response"))

@@ -304,6 +304,9 @@ def _blocks_only() -> str:
     return ",\n".join(["WITH " + SCAN_LINES.strip(), BLOCK_HITS, _issues("block_hits")])
 
 
+_SHOWN = f"""CASE WHEN strlen(line) <= 4096 THEN line
+            ELSE 'sha256:' || sha256(regexp_replace(line, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) END"""
+
 ORACLE: dict[str, str] = {
     "scan_issues_all": f"{_scan(blocks=True)} SELECT {ISSUE} FROM issues",
     "streaming_scan": f"{_scan(blocks=True)} SELECT {ISSUE} FROM issues",
@@ -433,7 +436,7 @@ hits AS (
   FROM numbered WHERE {_TODO[0]})
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_start AS line_end,
        description, recommendation,
-       line AS code_snippet
+       {_SHOWN} AS code_snippet
 FROM hits"""
 ORACLE["numbered_lines"] = """
 SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no, unnest(parts) AS line
@@ -469,7 +472,7 @@ SELECT page_id, array_to_string(parts[greatest(len(parts) - 2, 1):], '/') AS tai
        regexp_replace(url, '^https?://[^/]+/', '') AS inside, url AS outside,
        CASE WHEN contains(name, '.') THEN string_split(name, '.')[-1] ELSE '' END AS extension
 FROM (SELECT *, regexp_split_to_array(url, '[\\/]') AS parts,
-             string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', ''), '/')[-1] AS name
+             regexp_extract(url, '^https?://([^/]+)', 1) AS name
       FROM pages)"""
 ORACLE["severity_map"] = f"""{_scan()}
 SELECT file_path, rule_id,
@@ -539,6 +542,10 @@ ORACLE["repo_totals"] = """
 SELECT '/docs/' || source AS repo_path, count(*) AS total_files,
        CAST(sum(strlen(text)) AS BIGINT) AS total_bytes, count(*) > 5000 AS large
 FROM documents GROUP BY ALL"""
+ORACLE["large_repos"] = """
+SELECT '/lines/' || CASE WHEN l_linenumber = 7 THEN 'rare' ELSE 'main' END AS repo_path, count(*) AS total_files,
+       CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_bytes, count(*) > 5000 AS large
+FROM lineitem GROUP BY ALL"""
 ORACLE["file_metrics"] = f"""WITH {SCAN_LINES.strip()}
 SELECT file_path, language, count(*) AS line_count, count(*) FILTER (WHERE length(line) > 120) AS long_lines,
        count(*) FILTER (WHERE comment) AS comment_lines, count(*) FILTER (WHERE comment) < count(*) * 0.1 AS few_comments
@@ -565,7 +572,8 @@ SELECT file_path, count(*) AS issues,
 FROM issues GROUP BY repo_path, file_path"""
 
 _KEYED = f"""keyed AS (
-  SELECT *, regexp_replace(coalesce(code_snippet, ''), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS snippet FROM issues),
+  SELECT *, 'sha256:' || sha256(regexp_replace(coalesce(code_snippet, ''), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) AS snippet
+  FROM issues),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY scan_id, file_path, rule_id, snippet
                                ORDER BY line_start, line_end, description) AS ordinal FROM keyed),
@@ -586,7 +594,7 @@ diff AS (
   WHERE NOT EXISTS (FROM cur c WHERE c.issue_hash = p.issue_hash AND c.repo_path = p.repo_path))"""
 _DIFF = f"{_scan(blocks=True, lines=SNAPSHOT_LINES)}, {_COMPARED}"
 ORACLE["scan_diff_long_lines"] = f"""{_scan(('GO',), lines=PADDED_LINES)}, {_COMPARED}
-SELECT file_path, rule_id, line_start, code_snippet, status, issue_hash FROM diff"""
+SELECT file_path, rule_id, line_start, {_SHOWN.replace('line', 'code_snippet')} AS code_snippet, status, issue_hash FROM diff"""
 ORACLE["scan_diff"] = f"""{_DIFF}
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
        code_snippet, status, issue_hash FROM diff"""
@@ -672,6 +680,9 @@ FROM (SELECT *, row_number() OVER (ORDER BY regexp_extract(file_path, '^(.*)/',
 GROUP BY content_hash"""
 _REQUESTS = """WITH requests AS (
   SELECT event_id AS entry_id, event_type AS provider, user_id || ':' || event_type AS cache_key, ts FROM events)"""
+_DENSE = """WITH requests AS (
+  SELECT event_id AS entry_id, event_type AS provider,
+         make_timestamp(epoch_us(ts) // CASE WHEN event_type = 'click' THEN 400 ELSE 20 END) AS ts FROM events)"""
 _NOW = "TIMESTAMP '2024-01-15 12:00:00'"
 ORACLE["cache_ttl_lookup"] = f"""{_REQUESTS},
 last AS (SELECT cache_key, max_by(entry_id, ts) AS entry_id, max(ts) AS ts FROM requests GROUP BY ALL)
@@ -683,7 +694,7 @@ SELECT count(*) AS total_entries, count(*) FILTER (WHERE {_NOW} - ts >= INTERVAL
        CAST(3600 AS BIGINT) AS ttl_seconds FROM requests"""
 ORACLE["cache_cleanup"] = f"""{_REQUESTS}
 SELECT entry_id, cache_key FROM requests WHERE {_NOW} - ts < INTERVAL 1 HOUR"""
-ORACLE["rate_audit"] = f"""{_REQUESTS},
+ORACLE["rate_audit"] = f"""{_DENSE},
 counted AS (
   SELECT entry_id, provider,
     count(*) OVER (PARTITION BY provider ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) - 1 AS last_minute,
@@ -700,12 +711,17 @@ _ANSWERS = r"""parts AS (
       || ', "description": "Found by ' || o_orderstatus || '", "recommendation": "Fix ' || (o_orderkey % 40) || '"}' AS item
   FROM orders),
 answers AS (
-  SELECT key, file_path, CASE key % 9
+  SELECT key, file_path, CASE key % 14
     WHEN 0 THEN 'Here are the issues:' || chr(10) || '[' || item || ', {"category": "bug", "severity": "ERROR", "description": "Plain"}]' || chr(10) || 'Regards'
     WHEN 1 THEN '{"issues": [' || item || ']}'
     WHEN 2 THEN '[]' WHEN 3 THEN '[' || item WHEN 4 THEN '' WHEN 5 THEN 'No issues found.'
     WHEN 6 THEN '[{"category": "style", "severity": "fatal"}]'
-    WHEN 7 THEN '[1, ' || item || ']' ELSE item END AS response
+    WHEN 7 THEN '[1, ' || item || ']'
+    WHEN 8 THEN '[{''category'': ''bug'', ''description'': ''single quotes''}]'
+    WHEN 9 THEN '[{"category": "bug", "line_start": "10", "line_end": "12"}]'
+    WHEN 10 THEN '[{"category": "security", "line_start": 10.0, "line_end": 11.0}]'
+    WHEN 11 THEN '[{"severity": "error", "line_start": "x", "line_end": null}]'
+    WHEN 12 THEN '[{"line_start": 3, "extra": {"a": [1]}, "description": "a \"b\" ''c''"}]' ELSE item END AS response
   FROM parts),
 lists AS (
   SELECT key, file_path, regexp_extract(response, '(?s)\[.*\]') AS list FROM answers),
@@ -713,8 +729,8 @@ objects AS (
   SELECT key, file_path, unnest(from_json(list, '["JSON"]')) AS o FROM lists WHERE list <> '' AND json_valid(list)),
 parsed AS (
   SELECT key, file_path, o ->> '$.category' AS category, o ->> '$.severity' AS severity,
-         CAST(o ->> '$.line_start' AS INTEGER) AS line_start, CAST(o ->> '$.line_end' AS INTEGER) AS line_end,
-         o ->> '$.description' AS description, o ->> '$.recommendation' AS recommendation
+         CAST(TRY_CAST(o ->> '$.line_start' AS DOUBLE) AS INTEGER) AS line_start,
+         CAST(TRY_CAST(o ->> '$.line_end' AS DOUBLE) AS INTEGER) AS line_end, o ->> '$.description' AS description, o ->> '$.recommendation' AS recommendation
   FROM objects WHERE json_type(o) = 'OBJECT')"""
 _NORMAL = """normal AS (
   SELECT key, file_path,
@@ -730,7 +746,7 @@ ORACLE["answers_normalised"] = f"WITH {_ANSWERS}, {_NORMAL} SELECT * EXCLUDE (ke
 ORACLE["review_overlay"] = f"""{_scan(('GO', 'RS', 'JS-01'))}, {_ANSWERS}, {_NORMAL},
 reviewed AS (
   SELECT f.file_path, n.category, n.severity, n.line_start, n.description
-  FROM files f JOIN normal n ON n.key = f.file_no)
+  FROM files f JOIN normal n ON n.key // 150 * 3 = f.file_no)
 SELECT file_path, CAST(NULL AS VARCHAR) AS rule_id, category, severity, line_start, description FROM reviewed
 UNION ALL
 SELECT file_path, rule_id, category, severity, line_start, description FROM issues
@@ -738,7 +754,7 @@ WHERE file_path NOT IN (SELECT file_path FROM reviewed)"""
 ORACLE["scan_with_reuse"] = f"""{_scan(blocks=True)}, {_ANSWERS}, {_NORMAL},
 reviewed AS (
   SELECT f.file_path, n.category, n.severity, n.line_start, n.description
-  FROM files f JOIN normal n ON n.key = f.file_no WHERE f.repo_path <> '/repo0')
+  FROM files f JOIN normal n ON n.key // 150 * 3 = f.file_no WHERE f.repo_path <> '/repo0')
 SELECT file_path, CAST(NULL AS VARCHAR) AS rule_id, category, severity, line_start, description FROM reviewed
 UNION ALL
 SELECT file_path, NULL, category, severity, line_start, description FROM issues
@@ -747,7 +763,7 @@ UNION ALL
 SELECT file_path, rule_id, category, severity, line_start, description FROM issues
 WHERE repo_path <> '/repo0' AND file_path NOT IN (SELECT file_path FROM reviewed)"""
 ORACLE["files_without_review"] = f"""WITH {SCAN_LINES.strip()}, {FILES.strip()}, {_ANSWERS}
-SELECT file_path FROM files WHERE file_no NOT IN (SELECT key FROM parsed)"""
+SELECT file_path FROM files WHERE file_no NOT IN (SELECT key // 150 * 3 FROM parsed)"""
 
 
 def _greedy(source: str, group: str, order: str) -> str:
@@ -799,7 +815,8 @@ ORACLE["export_table"] = f"{_scan()} {_EXPORT}"
 ORACLE["export_csv"] = f"{_scan(('JV', 'PY'))} {_EXPORT}"
 ORACLE["text_report"] = f"""{_scan()},
 firsts AS (
-  SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id) AS section
+  SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
+         || chr(31) || category AS section
   FROM issues GROUP BY category),
 blocks(section, slot, file_path, line_start, rule_id, text, body) AS (
   SELECT '', 0, '', 0, '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
@@ -814,3 +831,32 @@ blocks(section, slot, file_path, line_start, rule_id, text, body) AS (
   SELECT section, 3, '', 0, '', '', [''] FROM firsts)
 SELECT section, slot, file_path, line_start, rule_id, text,
        unnest(range(len(body))) AS line_no, unnest(body) AS line FROM blocks"""
+ORACLE["text_report_reviews"] = f"""{_scan(('GO', 'RS', 'JS-01'))}, {_ANSWERS}, {_NORMAL},
+reviewed AS (
+  SELECT f.file_path, '' AS rule_id, CASE WHEN n.severity <> 'error' THEN n.category END AS category, n.severity,
+         n.line_start, n.description, n.recommendation
+  FROM files f JOIN normal n ON n.key // 150 * 3 = f.file_no),
+every AS (
+  SELECT * REPLACE (coalesce(category, 'Other') AS category) FROM reviewed
+  UNION ALL
+  SELECT file_path, rule_id, CASE WHEN severity <> 'error' THEN category ELSE 'Other' END, severity, line_start,
+         description, recommendation
+  FROM issues WHERE file_path NOT IN (SELECT file_path FROM reviewed)),
+firsts AS (
+  SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
+         || chr(31) || category AS section
+  FROM every GROUP BY category),
+blocks(section, slot, file_path, line_start, rule_id, text, body) AS (
+  SELECT '', 0, '', 0, '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
+                                'Scan Date: Unknown', ''] FROM every
+  UNION ALL
+  SELECT section, 1, '', 0, '', '', ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
+  UNION ALL
+  SELECT section, 2, file_path, line_start, rule_id, description,
+         list_filter(['[' || upper(severity) || '] ' || file_path || ':' || line_start, 'Description: ' || description,
+          CASE WHEN recommendation <> '' THEN 'Recommendation: ' || recommendation END, ''], lambda x: x IS NOT NULL)
+  FROM every JOIN firsts USING (category)
+  UNION ALL
+  SELECT section, 3, '', 0, '', '', [''] FROM firsts)
+SELECT section, slot, file_path, line_start, rule_id, text,
+       unnest(range(len(body))) AS line_no, unnest(body) AS line FROM blocks"""

@@ -236,12 +236,11 @@ def decoded_text(spark, sf_dir):
 @query
 def path_helpers(spark, sf_dir):
     url = F.col("url")
-    path = F.regexp_replace(url, r"[?#].*$", "")
     return table(spark, sf_dir, "pages").select(
         "page_id", paths.tail_parts(url).alias("tail"),
         paths.relative_path(url, F.regexp_extract(url, "^(https?://[^/]+)", 1)).alias("inside"),
         paths.relative_path(url, F.lit("/srv")).alias("outside"),
-        paths.extension(F.regexp_replace(path, "/[^/]*$", "")).alias("extension"))
+        paths.extension(F.regexp_extract(url, "^https?://([^/]+)", 1)).alias("extension"))
 
 
 @query
@@ -319,6 +318,14 @@ def repo_totals(spark, sf_dir):
         "size_bytes", F.octet_length("content").cast("long")))
 
 
+@query
+def large_repos(spark, sf_dir):
+    """Every line item as a file, in two repositories; one is over the limit."""
+    name = F.when(F.col("l_linenumber") == 7, "rare").otherwise("main")
+    return summary.repo_totals(table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("/lines/"), name).alias("repo_path"), F.col("l_quantity").cast("long").alias("size_bytes")))
+
+
 @query
 def file_metrics(spark, sf_dir):
     files = corpora.corpus_files(spark, sf_dir)
@@ -504,17 +511,18 @@ def cache_cleanup(spark, sf_dir):
 
 @query
 def rate_audit(spark, sf_dir):
-    return requests.rate_audit(corpora.event_requests(spark, sf_dir)).select(
+    return requests.rate_audit(corpora.dense_requests(spark, sf_dir)).select(
         "entry_id", "provider", "last_minute", "last_hour", "allowed")
 
 
 # --- reviews ------------------------------------------------------------------------
 
 def _answer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed and normalised issues for corpus files: answers are spread over the files."""
+    """Parsed and normalised issues for corpus files: every answer is about one of the files, of
+    which every third has a review."""
     files = corpora.corpus_files(spark, sf_dir).select("repo_path", "file_path", "file_no")
     answers = corpora.order_answers(spark, sf_dir).select(
-        F.regexp_extract("file_path", "([0-9]+)$", 1).cast("long").alias("file_no"),
+        F.expr("CAST(regexp_extract(file_path, '([0-9]+)$', 1) AS long) div 150 * 3").alias("file_no"),
         F.inline(reviews.parse_answer(F.col("response"))))
     return reviews.normalise(files.join(answers, "file_no")).drop("file_no")
 
@@ -629,3 +637,13 @@ def export_csv(spark, sf_dir):
 def text_report(spark, sf_dir):
     issues = scan_rules(corpora.corpus_files(spark, sf_dir))
     return report_lines(issues, "2024-01-15T12:00:00").withColumn("line_no", _bigint("line_no"))
+
+
+@query
+def text_report_reviews(spark, sf_dir):
+    """A report over review and rule issues: no rule names in the former, and no category for
+    errors."""
+    rules = scan_rules(corpora.corpus_files(spark, sf_dir), _rules("GO", "RS", "JS-01"))
+    issues = reuse.overlay(_answer_issues(spark, sf_dir), rules).withColumn(
+        "category", F.when(F.col("severity") != "error", F.col("category")))
+    return report_lines(issues).withColumn("line_no", _bigint("line_no"))

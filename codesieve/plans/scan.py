@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,19 @@ from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.diff import scan_diff
 from codesieve.operators.python_blocks import python_block_issues
 from codesieve.operators.reuse import (
+    ISSUE_FIELDS,
     files_without_review,
     knowledge_hits,
     knowledge_misses,
+    knowledge_rows,
     one_per_content,
+    spread_key,
 )
 from codesieve.operators.reviews import normalise
 from codesieve.operators.scan_rules import scan_rules
-from codesieve.operators.skew import skew_join
 from codesieve.operators.units import file_keys
-from codesieve.session import configure
+from codesieve.session import configure, written
+from codesieve.settings import DEFAULT_EXCLUDES, MAX_FILE_BYTES
 from codesieve.sources.code_files import read_code_files
 from codesieve.sources.store import ScanStore
 
@@ -44,7 +48,7 @@ def scan_distinct_contents(files: DataFrame, rules: tuple[Rule, ...] = RULES,
     keys, content = file_keys(files), ["content_hash", "language"]
     once = one_per_content(files, "language")
     found = scan_issues(once, rules, blocks).join(once.select(*keys, *content), keys).drop(*keys)
-    copies = skew_join(files.select(*keys, *content), found, content, keys)
+    copies = files.select(*keys, *content).join(spread_key(found, "content_hash"), content)
     return copies.drop(*content)
 
 
@@ -61,11 +65,30 @@ def scan_with_reviews(files: DataFrame, knowledge: DataFrame, review_issues: Dat
 
 
 def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
-             excludes: Iterable[str] = (), rules: tuple[Rule, ...] = RULES) -> str:
-    """Scans the tree below ``root`` into the store and returns the scan id."""
+             excludes: Iterable[str] = DEFAULT_EXCLUDES, rules: tuple[Rule, ...] = RULES,
+             max_file_bytes: int = MAX_FILE_BYTES,
+             review: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """Scans the tree below ``root`` into the store and returns the scan id.
+
+    ``review`` takes files the store has no knowledge of and gives their review issues; these and
+    the known ones come before the rules, and what it finds goes to the knowledge. A scan that
+    fails leaves a header with its error, which is raised.
+    """
     scan_id = uuid.uuid4().hex
-    files = read_code_files(spark, root, excludes).withColumn("scan_id", F.lit(scan_id))
-    store.save_scans(files, scan_issues(files, rules), F.lit(ts))
+    try:
+        files = read_code_files(spark, root, excludes, max_file_bytes).withColumn("scan_id", F.lit(scan_id))
+        if review is None:
+            issues = scan_issues(files, rules)
+        else:
+            knowledge = store.knowledge()
+            found = review(knowledge_misses(files, knowledge)).select("repo_path", "file_path", *ISSUE_FIELDS)
+            found = written(found.withColumn("scan_id", F.lit(scan_id)), "review")
+            issues = scan_with_reviews(files, knowledge, found, rules)
+            store.save_knowledge(knowledge_rows(files, normalise(found), F.lit(ts)))
+        store.save_scans(files, issues, F.lit(ts))
+    except Exception as error:
+        store.save_failure(scan_id, os.path.abspath(root), F.lit(ts), str(error))
+        raise
     return scan_id
 
 

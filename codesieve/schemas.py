@@ -28,7 +28,7 @@ SCANS = (
 SCAN_ISSUES = (
     "repo_path string, file_path string, rule_id string, category string, severity string, "
     "line_start int, line_end int, description string, recommendation string, "
-    "code_snippet string, scan_id string, save_id string"
+    "code_snippet string, scan_id string, save_id string, bucket int"
 )
 
 KNOWLEDGE = f"file_hash string, issues array<{ISSUE_STRUCT}>, ts timestamp, source string"

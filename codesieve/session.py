@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-# Run-time SQL settings. They can be set on any running session, so a query calls
-# configure() itself and does not depend on who built the session.
+# Run-time SQL settings of the rules. They can be set on any running session, so a query calls
+# configure() itself and does not depend on who built the session. Time zone and adaptive
+# execution are the caller's; build_session() sets UTC.
 RUNTIME_SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     # The JVM compiles no method over 8000 bytes of code. The condition over all rules is larger;
     # above the limit Spark generates it in parts instead, which run several times faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -27,7 +26,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app_name: str = "codesieve", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false").config(
+        "spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -49,3 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="codesieve-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written below the shared folder and read again, for inputs that are used more
+    than once and costly to make."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -8,8 +8,11 @@ over tasks. A tree must be reachable from every executor under the same path.
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +22,10 @@ from pyspark.sql.types import StructType
 
 from codesieve.functions.paths import dotted_extension
 from codesieve.functions.text import content_hash, decode_text
-from codesieve.operators.inventory import rule_language, scannable
+from codesieve.operators.inventory import rule_language, scannable, supported_extensions
 from codesieve.schemas import CODE_FILES, FILE_LISTING
-from codesieve.settings import MAX_FILE_BYTES, PRUNED_DIRECTORIES
+from codesieve.session import shared_folder
+from codesieve.settings import DEFAULT_EXCLUDES, MAX_FILE_BYTES, PRUNED_DIRECTORIES
 
 DEFAULT_LISTING_TASKS = 256
 READ_BYTES = 16 * 1024 * 1024
@@ -127,25 +131,38 @@ def _as_code_files(files: DataFrame) -> DataFrame:
                         content_hash(F.col("content")).alias("content_hash"))
 
 
-def read_code_files(spark: SparkSession, root: str, excludes: Iterable[str] = (),
-                    tasks: int = DEFAULT_LISTING_TASKS, partitions: int | None = None) -> DataFrame:
-    """``code_files`` of the tree below ``root``."""
-    listing = scannable(list_files(spark, root, tasks), tuple(excludes))
-    return _as_code_files(read_contents(listing, partitions))
+def read_code_files(spark: SparkSession, root: str, excludes: Iterable[str] = DEFAULT_EXCLUDES,
+                    cap: int = MAX_FILE_BYTES, tasks: int = DEFAULT_LISTING_TASKS,
+                    partitions: int | None = None, land: bool = True) -> DataFrame:
+    """``code_files`` of the tree below ``root``, of files up to ``cap`` bytes.
 
+    Contents are read once and written below the shared folder, by language: whatever the jobs
+    over the result ask for, and however often, reads that table and only the columns and
+    languages it needs. With ``land=False`` every use reads the tree again.
+    """
+    listing = scannable(list_files(spark, root, tasks), tuple(excludes), cap)
+    files = _as_code_files(read_contents(listing, partitions))
+    if not land:
+        return files
+    folder = f"{shared_folder(spark)}/code-files-{uuid.uuid4().hex}"
+    save_code_files(files, folder)
+    return load_code_files(spark, folder).select(*files.columns)
 
-def read_code_files_binary(spark: SparkSession, root: str, excludes: Iterable[str] = (),
+
+def read_code_files_binary(spark: SparkSession, root: str, excludes: Iterable[str] = DEFAULT_EXCLUDES,
                            cap: int = MAX_FILE_BYTES) -> DataFrame:
     """The same through Spark's binary file source, for object stores. It skips names with a
-    leading dot or underscore and empty files. The size filter reaches the source."""
-    base = root.rstrip("/")
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-           .where(F.col("length") <= cap))
+    leading dot or underscore and empty files. Extensions and the size filter reach the source."""
+    base = re.sub("^file:/*", "/", root.rstrip("/"))
+    names = {letter: f"[{letter}{letter.upper()}]" for letter in ascii_lowercase}
+    endings = ",".join("".join(names.get(c, c) for c in ext) for ext in supported_extensions())
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", f"*{{{endings}}}").load(root).where(F.col("length") <= cap))
     path = F.regexp_replace("path", "^file:/*", "/")
     named = raw.select(F.lit(base).alias("repo_path"), path.alias("file_path"),
                        F.col("length").alias("size_bytes"),
                        F.col("modificationTime").alias("modified_at"), "content")
-    kept = scannable(named, tuple(excludes))
+    kept = scannable(named, tuple(excludes), cap)
     return _as_code_files(kept.withColumn("content", decode_text(F.col("content"))))
 
 

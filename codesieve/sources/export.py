@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.session import written
 from codesieve.settings import EXPORT_COLUMNS
 
 REPORT_FORMATS = ("text", "markdown")
@@ -35,17 +36,22 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
                  title: str = "Code Scan Report") -> DataFrame:
     """Lines of the text report with the columns that order them.
 
-    Categories stand in the order of their first issue by file, line and rule. The report is a
-    sorted table of lines: sorting splits a category of any size over tasks, where collecting
-    its text would not.
+    Categories stand in the order of their first issue by file, line, rule and name; issues
+    without one are "Other". The report is a sorted table of lines: sorting splits a category of
+    any size over tasks, where collecting its text would not. Issues are written to the shared
+    folder first, so that the rules run once for counts and lines.
     """
-    place = F.struct("file_path", "line_start", "rule_id")
+    blank = F.lit("")
+    issues = written(issues.select(
+        F.coalesce("category", F.lit("Other")).alias("category"), "severity", "file_path", "line_start",
+        F.coalesce("rule_id", blank).alias("rule_id"), "description", "recommendation"), "report")
+    place = F.struct(F.coalesce("file_path", blank).alias("file_path"),
+                     F.coalesce("line_start", F.lit(0)).alias("line_start"), "rule_id")
     totals = issues.groupBy("category").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("issues"),
     ).withColumn("section", F.concat_ws(
-        "\x1f", "first.file_path", F.format_string("%010d", "first.line_start"), "first.rule_id"))
-    name = F.coalesce("category", F.lit("Other"))
-    blank = F.lit("")
+        "\x1f", "first.file_path", F.format_string("%010d", "first.line_start"), "first.rule_id", "category"))
+    name = F.col("category")
 
     def rows(df: DataFrame, slot: int, lines: Column, section: Column = blank,
              file_path: Column = blank, line_start: Column = F.lit(0),
@@ -71,14 +77,13 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
         F.when(F.coalesce("recommendation", blank) != "",
                F.concat(F.lit("Recommendation: "), F.col("recommendation"))),
         blank))
-    # One row per category of a closed domain of five: small whatever the number of issues.
-    placed = issues.join(F.broadcast(totals.select("category", "section")), "category")
+    placed = issues.join(totals.select("category", "section"), "category")
     section = F.col("section")
     return (
         rows(head, 0, head_lines)
         .unionByName(rows(totals, 1, section_lines, section))
-        .unionByName(rows(placed, 2, issue_lines, section, F.col("file_path"), F.col("line_start"),
-                          F.col("rule_id"), F.col("description")))
+        .unionByName(rows(placed, 2, issue_lines, section, F.coalesce("file_path", blank),
+                          F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.coalesce("description", blank)))
         .unionByName(rows(totals, 3, F.array(blank), section))
     )
 

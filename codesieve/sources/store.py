@@ -1,8 +1,10 @@
 """Scans, their issues and the knowledge base as parquet tables below one folder.
 
-Tables are only appended to. A scan is saved by writing its issues under a new save id and
-then its header row with that id; the header is the commit. A save that dies half-way leaves
-issues no header names, and saving a scan again makes the new header the valid one.
+A scan is saved by writing its issues under a new save id and then its header row with that id;
+only issues a header names are read. Issues lie in a fixed number of hash buckets of the scan id,
+sorted by it, so the driver lists as many folders for a million scans as for one, and a scan is
+found by bucket and by the statistics of its files. ``remove_superseded`` rewrites the buckets
+without the issues of replaced and broken saves.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ from pyspark.sql import functions as F
 from codesieve.functions.text import iso_time
 from codesieve.operators.history import history, latest
 from codesieve.operators.inventory import detected_languages
-from codesieve.operators.reuse import latest_knowledge
-from codesieve.operators.skew import skew_join
+from codesieve.operators.reuse import latest_knowledge, spread_key
 from codesieve.operators.summary import count_map
+from codesieve.session import written
 from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, SCAN_ISSUES, SCANS
 from codesieve.settings import CATEGORIES, SEVERITIES
 
 VERSION = "1.2.0"
+BUCKETS = 64
+
+
+def bucket_of(scan_id: Column) -> Column:
+    return F.pmod(F.xxhash64(scan_id), F.lit(BUCKETS)).cast("int")
 
 
 def scan_headers(files: DataFrame, issues: DataFrame, ts: Column, status: str = "completed",
@@ -73,10 +80,11 @@ class ScanStore:
         save_id = uuid.uuid4().hex
         path = f"{self.folder}/scan_issues"
         rows = issues.withColumn("save_id", F.lit(save_id)).select(*ISSUE_COLUMNS, "scan_id", "save_id")
-        # Rebalancing gathers the rows of a scan into few files and splits a scan that is
-        # too large for one.
-        (rows.hint("rebalance", "scan_id").write.mode("append")
-         .partitionBy("scan_id", "save_id").parquet(path))
+        # Rebalancing gathers the rows of a bucket into few files and splits one that is too
+        # large for a task.
+        rows = rows.withColumn("bucket", bucket_of(F.col("scan_id")))
+        (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
+         .write.mode("append").partitionBy("bucket").parquet(path))
         saved = self._read("scan_issues", SCAN_ISSUES).where(F.col("save_id") == save_id)
         columns = [f.split()[0] for f in SCANS.split(", ")]
         (scan_headers(files, saved, ts, status, error)
@@ -84,18 +92,39 @@ class ScanStore:
          .select(*columns).write.mode("append").parquet(f"{self.folder}/scans"))
         return save_id
 
+    def save_failure(self, scan_id: str, repo_path: str, ts: Column, error: str) -> None:
+        """A header of a scan that broke off, with its error and no issues."""
+        none = F.create_map().cast("map<string,bigint>")
+        (self.spark.range(1).select(
+            F.lit(scan_id).alias("scan_id"), F.lit("").alias("save_id"), F.current_timestamp().alias("saved_at"),
+            ts.cast("timestamp").alias("ts"), F.lit(repo_path).alias("repo_path"), F.lit(VERSION).alias("version"),
+            F.lit("failed").alias("status"), F.lit(0).cast("long").alias("total_files"),
+            F.array().cast("array<string>").alias("languages"), F.lit(0).cast("long").alias("total_issues"),
+            none.alias("by_category"), none.alias("by_severity"), F.lit(error).alias("error"))
+         .write.mode("append").parquet(f"{self.folder}/scans"))
+
+    def remove_superseded(self) -> None:
+        """Rewrites every bucket with the issues of valid saves only. To be run while nothing is
+        saved; it can be run again if it breaks off."""
+        valid = written(self._valid_rows(), "store-valid").withColumn("bucket", bucket_of(F.col("scan_id")))
+        (valid.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(f"{self.folder}/scan_issues"))
+
     def scans(self) -> DataFrame:
         return latest(self._read("scans", SCANS), ["scan_id"], ["saved_at", "save_id"])
 
     def issues(self, scan_id: str | None = None) -> DataFrame:
-        """Issues of the valid save of each scan. Asking for one scan reads its folder only."""
+        """Issues of the valid save of each scan. Asking for one scan reads its bucket only."""
+        return self._valid_rows(scan_id).drop("save_id", "bucket")
+
+    def _valid_rows(self, scan_id: str | None = None) -> DataFrame:
         rows, headers = self._read("scan_issues", SCAN_ISSUES), self.scans()
         if scan_id is not None:
-            rows = rows.where(F.col("scan_id") == scan_id)
+            rows = rows.where((F.col("bucket") == bucket_of(F.lit(scan_id))) & (F.col("scan_id") == scan_id))
             headers = headers.where(F.col("scan_id") == scan_id)
-        valid = headers.select("scan_id", "save_id")
-        keys = ["scan_id", "save_id"]
-        return skew_join(rows, valid, keys, ["file_path", "line_start"], "left_semi").drop("save_id")
+        valid = spread_key(headers.select("scan_id", "save_id"), "scan_id")
+        return rows.join(valid, ["scan_id", "save_id"], "left_semi")
 
     def get_scan(self, scan_id: str) -> DataFrame:
         """A scan's header next to each of its issues; one row of nulls if it has none."""

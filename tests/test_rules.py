@@ -17,7 +17,7 @@ REACT = "import React from 'react';\n"
 # (extension, content, expected (rule, line) pairs)
 CASES = [
     (".py", "\n" * 499 + 'password = "12345678"', [("PY-01", 500)]),
-    (".py", "\n" * 500 + 'password = "12345678"', []),
+    (".py", "\n" * 500 + 'password = "12345678"', [("PY-01", 501)]),
     (".py", 'password = "1234567"', []),
     (".py", 'PassWord="12345678"; api_key = "12345678901234567890"', [("PY-01", 1)]),
     (".py", "API-KEY = '12345678901234567890'", [("PY-02", 1)]),
@@ -28,7 +28,7 @@ CASES = [
     (".js", "a === b", []), (".js", "// a == b", []), (".js", "a == b // c", [("JS-06", 1)]), (".js", "a !== b", []),
     (".mjs", 'apikey: "12345678901234567890"', [("JS-01", 1)]),
     (".js", 'token = "12345678901234567890"; api_key = "12345678901234567890"', [("JS-01", 1)]),
-    (".js", "\n" * 500 + 'token: "12345678"', []), (".js", "Secret='12345678'", [("JS-02", 1)]),
+    (".js", "\n" * 500 + 'token: "12345678"', [("JS-02", 501)]), (".js", "Secret='12345678'", [("JS-02", 1)]),
     (".js", "  // console.log(1)", []), (".js", "x; console.debug(1)", [("JS-07", 1)]), (".js", "console.error(1)", []),
     (".js", "a.map(f).map(g)", [("JS-08", 1)]), (".js", "a.map(f)", []),
     (".jsx", "a.map(f); return 1", []),
@@ -216,7 +216,8 @@ def test_no_shuffle_for_line_rules(files_of, tmp_path):
 
 
 def test_long_lines_do_not_multiply(files_of):
-    """A file that is one line of many findings: issues name the line by its hash."""
+    """A file that is one line of many findings: issues name the line by its hash, which indenting
+    the line does not change."""
     files = files_of({"/r/a.py": "eval(x); " * 20000, "/r/b.js": "eval(x); " * 20000, "/r/c.js": "eval(x)"})
     issues = scan_issues(files)
     sizes = issues.groupBy("file_path").agg(F.count("*").alias("n"), F.max(F.length("code_snippet")).alias("size"))

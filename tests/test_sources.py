@@ -120,3 +120,64 @@ def test_run_and_compare(spark, tmp_path):
     heads = [(r.scan_id, r.total_files, r.total_issues, r.scan_date) for r in store.history(str(root)).collect()]
     assert heads == [(second, 9, 4, "2024-01-02T00:00:00"), (first, 9, 4, "2024-01-01T00:00:00")]
     assert store.history().first().languages == ["python", "sql"]
+
+
+def test_contents_are_read_once(spark, tmp_path):
+    """No job over read files goes back to the tree."""
+    from codesieve.operators.reuse import knowledge_rows
+    from codesieve.plans.scan import scan_distinct_contents, scan_with_reviews
+
+    files = read_code_files(spark, tree(tmp_path / "tree"))
+    review = spark.createDataFrame([], "repo_path string, file_path string, category string, severity string, "
+                                   "line_start int, line_end int, description string, recommendation string")
+    knowledge = knowledge_rows(files, scan_issues(files), F.current_timestamp())
+    for job in (scan_issues(files), scan_distinct_contents(files), scan_with_reviews(files, knowledge, review)):
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and "FileScan parquet" in plan
+    direct = read_code_files(spark, str(tmp_path / "tree"), land=False)
+    assert sorted(map(repr, direct.collect())) == sorted(map(repr, files.collect()))
+
+
+def test_size_limit_is_a_setting(spark, tmp_path):
+    (tmp_path / "big.json").write_text('["' + "x" * (1 << 20) + '"]')
+    for read in (read_code_files, read_code_files_binary):
+        assert read(spark, str(tmp_path)).count() == 0
+        found = scan_issues(read(spark, f"file:{tmp_path}" if read is read_code_files_binary else str(tmp_path), cap=1 << 22))
+        assert [(r.rule_id, os.path.basename(r.file_path)) for r in found.collect()] == [("JN-03", "big.json")]
+
+
+def test_default_excludes(spark, tmp_path):
+    for name in ("src/a.py", "target/b.py", "bin/c.py", ".idea/d.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert [os.path.basename(r.file_path) for r in read_code_files(spark, str(tmp_path)).collect()] == ["a.py"]
+    assert read_code_files(spark, str(tmp_path), excludes=()).count() == 4
+
+
+def test_run_with_review(spark, tmp_path):
+    """What a review finds is reported and known to the next run, which asks about the rest only."""
+    import pytest
+
+    from codesieve.plans.scan import run_scan
+    from codesieve.sources.store import ScanStore
+
+    root, store, asked = tmp_path / "tree", ScanStore(spark, str(tmp_path / "store")), []
+    root.mkdir()
+    (root / "a.py").write_text("x = eval(y)")
+    (root / "b.go").write_text("v, _ = f()")
+
+    def review(files):
+        asked.append(sorted(os.path.basename(r.file_path) for r in files.collect()))
+        return files.where(F.endswith("file_path", F.lit(".py"))).select(
+            "repo_path", "file_path", F.lit("Bug").alias("category"), F.lit("error").alias("severity"),
+            F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("found").alias("description"),
+            F.lit("r").alias("recommendation"))
+
+    for k in range(2):
+        scan_id = run_scan(spark, str(root), store, datetime(2024, 1, 1 + k), review=review)
+        rows = {(os.path.basename(r.file_path), r.category, r.rule_id) for r in store.issues(scan_id).collect()}
+        assert rows == {("a.py", "bug", None), ("b.go", "bug", "GO-03")}
+    assert asked == [["a.py", "b.go"], ["b.go"]]
+    with pytest.raises(ZeroDivisionError):
+        run_scan(spark, str(root), store, datetime(2024, 1, 3), review=lambda files: 1 // 0)
+    assert [r.status for r in store.history().collect()] == ["failed", "completed", "completed"]

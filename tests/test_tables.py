@@ -1,4 +1,4 @@
-"""Diff, history, reuse, batches, answers, requests, store, exports, skew."""
+"""Diff, history, reuse, batches, answers, requests, store, exports."""
 
 import random
 from collections import Counter
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from codesieve.functions import paths, text
 from codesieve.operators import diff, history, inventory, requests, reuse, reviews, summary
 from codesieve.operators.scan_rules import scan_rules
-from codesieve.operators.skew import skew_join
+from codesieve.schemas import SCAN_ISSUES
 from codesieve.sources.export import REPORT_ORDER, export_rows, report_lines, text_report, write_csv, write_report
-from codesieve.sources.store import ScanStore
+from codesieve.sources.store import ScanStore, bucket_of
 
 NOW = datetime(2024, 1, 15, 12)
 
@@ -182,14 +182,30 @@ def test_distinct_contents_scan_alike(files_of):
     assert sorted(map(repr, scan_distinct_contents(files).collect())) == plain and len(plain) == 64
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_skew_join_is_a_join(spark, how):
-    rng = random.Random(1)
-    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, 4, None]), i) for i in range(400)], "k long, i long")
-    right = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, 5)], "k long, v string")
-    plain = sorted(map(repr, left.join(right, ["k"], how).collect()))
-    for hot_rows, salts in ((1, 4), (100, 16), (10**6, 64)):
-        assert sorted(map(repr, skew_join(left, right, ["k"], ["i"], how, hot_rows, salts).collect())) == plain
+def test_hot_keys_are_split(spark):
+    """A hash that most files share: adaptive execution splits its files, which are read once."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        files = spark.range(60_000, numPartitions=8).select(
+            F.lit("/r").alias("repo_path"), F.concat(F.lit("/r/"), F.col("id").cast("string")).alias("file_path"),
+            F.when(F.col("id") % 10 > 0, "hot").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("content_hash"))
+        known = files.where("content_hash = 'hot'").limit(1).select(F.col("content_hash").alias("file_hash"), F.array(
+            F.struct(F.lit("bug").alias("category"), F.lit("error").alias("severity"))).alias("issues"),
+            F.lit(NOW).alias("ts"), F.lit("s").alias("source"))
+        hits = reuse.knowledge_hits(files, known)
+        assert hits.count() == 54_000 and reuse.knowledge_misses(files, known).count() == 6_000
+        hits.write.format("noop").mode("overwrite").save()
+        rows = hits.collect()
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 54_000 and "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_overlay(files_of, spark):
@@ -228,11 +244,19 @@ def test_store(files_of, spark, tmp_path):
     assert store.issues("s1").count() == 0 and store.scans().count() == 1
     assert store.scans().first().total_issues == 0
     # A save that lost its header is not seen.
-    issues.withColumn("save_id", F.lit("lost")).write.mode("append").partitionBy("scan_id", "save_id").parquet(
-        f"{store.folder}/scan_issues")
+    issues.withColumns({"save_id": F.lit("lost"), "bucket": bucket_of(F.col("scan_id"))}).write.mode("append").partitionBy(
+        "bucket").parquet(f"{store.folder}/scan_issues")
     assert store.issues("s1").count() == 0
     row = store.get_scan("s1").first()
     assert row.scan_date == "2024-01-15T12:00:00" and row.file_path is None
+    store.save_scans(files, issues, F.lit(NOW))
+    store.save_failure("s2", "/r", F.lit(NOW), "no such tree")
+    assert [(r.scan_id, r.status, r.error) for r in store.history().collect()] == [
+        ("s1", "completed", ""), ("s2", "failed", "no such tree")]
+    everything = store._read("scan_issues", SCAN_ISSUES)
+    assert everything.count() == 6
+    store.remove_superseded()
+    assert store._read("scan_issues", SCAN_ISSUES).count() == 2 == store.issues("s1").count()
     assert store.get_scan("nope").count() == 0
     assert store.history("/r", 1).count() == 1 and store.history("/x").count() == 0
 
@@ -313,7 +337,9 @@ def test_inventory(spark):
          ("/q", "/q/x.txt", 1), ("/build", "/build/a.go", 1)],
         "repo_path string, file_path string, size_bytes long")
     kept = {r.file_path for r in inventory.scannable(listing).collect()}
-    assert kept == {"/r/a.py", "/r/e.py", "/build/a.go"}
+    assert kept == {"/r/a.py", "/r/e.py"}
+    assert {r.file_path for r in inventory.scannable(listing, (), 1 << 21).collect()} == {
+        "/r/a.py", "/r/d.py", "/r/e.py", "/build/a.go"}
     names = {r.repo_path: r.languages for r in inventory.detected_languages(listing).collect()}
     assert names == {"/r": ["python", "sql"], "/q": ["unknown"], "/build": ["unknown"]}
     config = inventory.language_inventory(listing, "config").where("repo_path = '/r'")
