@@ -403,7 +403,7 @@ SELECT '/docs/' || source AS repo_path, '/docs/' || source || '/' || doc_id AS f
        'performance' AS category, 'warning' AS severity, 1 AS line_start, 1 AS line_end,
        'Large JSON file (' || (chars // 1024) || 'KB)' AS description,
        {_q(next(r for r in RULES if r.rule_id == 'JN-03').recommendation)} AS recommendation
-FROM (SELECT *, length(regexp_replace(text, '[^A-Za-z ]', '', 'g')) * 48 + 4 AS chars FROM documents)
+FROM (SELECT *, (length(CAST(to_json([text]) AS VARCHAR)) - 2) * 48 + 49 AS chars FROM documents)
 WHERE chars > 1048576"""
 
 # --- secrets, lines, functions --------------------------------------------------------
