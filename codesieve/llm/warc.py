@@ -3,8 +3,8 @@
 An ARC file starts with a version block that names the fields of its record headers; each record is
 one header line, a declared number of bytes and a line end. A WARC record has named header lines, a
 blank line, a block of the declared length, and two line ends. Archives are written by Spark's text
-sink, whose row separator is what ends a record, and read whole, file by file; the number of files
-follows from the bytes to write, so a file stays small. What is written can be any folder Spark
+sink, whose row separator is what ends a record, and read whole, file by file; the number of
+records in a file follows from their mean size, so a file stays small. What is written can be any folder Spark
 reaches.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import new_folder, staged
 
 FILE_BYTES = 16 << 20
+#: Rows of shared payloads, some 50 bytes each, up to which they are sent to every task.
+BROADCAST_ROWS = 100_000
 
 # The formats' own field names and line ends.
 ARC_FIELDS = {
@@ -59,14 +61,31 @@ def _arc_line(version: int, url: str, date: str, mime: str, status: str, body: b
     return " ".join(values[f] for f in ARC_FIELDS[version].split())
 
 
-def _files_for(df: DataFrame, bytes_: Column) -> int:
-    total = df.agg(F.sum(bytes_)).first()[0] or 0
-    return max(2, -(-total // FILE_BYTES))
+def _records_per_file(df: DataFrame, bytes_: Column) -> int:
+    """Records of the mean size that make a file of FILE_BYTES, its own first record included."""
+    total, n = df.agg(F.sum(bytes_), F.count(F.lit(1))).first()
+    return max(2, FILE_BYTES * (n or 1) // max(total or 1, 1))
+
+
+class _FileHeads:
+    """Puts ``head(number)`` before the first record of each file of a task. The text sink begins a
+    file at every ``per_file`` records, so what each file holds is known here."""
+
+    def __init__(self, per_file: int, head) -> None:
+        self.per_file, self.head, self.count, self.file = per_file, head, 0, -1
+
+    def add(self, out: list[str], record) -> None:
+        if self.count % self.per_file == 0:
+            self.file += 1
+            out.append(self.head(self.file))
+            self.count += 1
+        out.append(record(self.file))
+        self.count += 1
 
 
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html", date: str = "20240101000000") -> None:
-    """Writes pages as gzipped ARC files; every other file has version 2.
+    """Writes pages as gzipped ARC files, where they are; every other file has version 2.
 
     The record of a page is an HTTP response with the page id in a header of its own. Null html is
     an empty payload, a null url is ``-``, a null id has no id header.
@@ -74,26 +93,32 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
+    per_file = _records_per_file(slim, F.octet_length("html") + 300)
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, name, opened = 1 + part % 2, f"part-{part:05d}.arc.gz", False
+        version_of = lambda number: 1 + (part + number) % 2
+        name_of = lambda number: f"part-{part:05d}-{number}.arc.gz"
+
+        def head(number: int) -> str:
+            intro = f"{version_of(number)} 0 codesieve\n{ARC_FIELDS[version_of(number)]}\n"
+            name = name_of(number)
+            line = _arc_line(version_of(number), f"filedesc://{name}", date, "text/plain", "200", intro.encode(), name)
+            return f"{line}\n{intro}"
+
+        heads = _FileHeads(per_file, head)
         for batch in batches:
-            out = []
-            if not opened and batch.num_rows:
-                intro = f"{version} 0 codesieve\n{ARC_FIELDS[version]}\n"
-                line = _arc_line(version, f"filedesc://{name}", date, "text/plain", "200", intro.encode(), name)
-                out.append(f"{line}\n{intro}")
-                opened = True
+            out: list[str] = []
             for id_, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                payload = html.encode()
                 own = "" if id_ is None else f"X-Page-Id: {id_}{CRLF}"
                 body = (f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{own}"
-                        f"Content-Length: {len(payload)}{CRLF}{CRLF}{html}")
-                out.append(f"{_arc_line(version, url, date, 'text/html', '200', body.encode(), name)}\n{body}")
+                        f"Content-Length: {len(html.encode())}{CRLF}{CRLF}{html}")
+                heads.add(out, lambda number: (  # noqa: B023
+                    f"{_arc_line(version_of(number), url, date, 'text/html', '200', body.encode(), name_of(number))}\n{body}"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
-    spread = slim.repartition(_files_for(slim, F.octet_length("html") + 300))
-    spread.mapInArrow(records, "record string").write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    slim.mapInArrow(records, "record string").write.option("lineSep", "\n").option(
+        "maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 @dataclass(frozen=True)
@@ -215,30 +240,37 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_by
 
     # Written once: the archives are parsed and their payloads hashed one time only.
     rows = staged(read_arc(spark, arc_folder).mapInArrow(measured, f"{RECORD}, digest string, n_bytes long"), "arc-records")
-    # One row per payload and task before the shuffle, however many pages share it.
+    # One row per payload and task before the shuffle, however many pages share it; only payloads
+    # that more than one page has are looked up.
     firsts = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(
-        F.min("page_id").alias("first_id"))
-    named = rows.join(firsts, ["digest", "n_bytes"], "left").withColumn(
+        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = staged(firsts, "arc-firsts")
+    # The pages stay where they are as long as the table is small, which is counted.
+    small = firsts.count() <= BROADCAST_ROWS
+    named = rows.join(F.broadcast(firsts) if small else firsts, ["digest", "n_bytes"], "left").withColumn(
         "revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    per_file = _records_per_file(rows, F.col("n_bytes") + 600)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, opened = TaskContext.get().partitionId(), False
+        part = TaskContext.get().partitionId()
+
+        def head(number: int) -> str:
+            text = f"software: codesieve{CRLF}format: WARC File Format 1.1{CRLF}"
+            own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc_folder}:{part}:{number}")
+            return CRLF.join([
+                "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{own}>",
+                "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields",
+                f"Content-Length: {len(text.encode())}"]) + CRLF + CRLF + text
+
+        heads = _FileHeads(per_file, head)
         for batch in batches:
-            out = []
-            if not opened and batch.num_rows:
-                text = f"software: codesieve{CRLF}format: WARC File Format 1.1{CRLF}"
-                own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc_folder}:{part}")
-                out.append(CRLF.join([
-                    "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{own}>",
-                    "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields",
-                    f"Content-Length: {len(text.encode())}"]) + CRLF + CRLF + text)
-                opened = True
-            out += [_warc_record(r) for r in batch.to_pylist()]
+            out: list[str] = []
+            for r in batch.to_pylist():
+                heads.add(out, lambda _: _warc_record(r))  # noqa: B023
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
-    spread = named.repartition(_files_for(rows, F.col("n_bytes") + 600))
-    spread.mapInArrow(records, "record string").write.option("lineSep", CRLF * 2).option(
-        "compression", "gzip").text(warc_folder)
+    named.mapInArrow(records, "record string").write.option("lineSep", CRLF * 2).option(
+        "maxRecordsPerFile", per_file).option("compression", "gzip").text(warc_folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -48,7 +48,18 @@ def test_empty(spark):
     assert warc.convert_pages(pages).count() == 0
 
 
-def test_arc_versions(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_many_files(spark, monkeypatch, broadcast):
+    """Files of a few records each, and both ways to look up shared payloads."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    rows = [(i, f"http://x/{i}", "y" * (i % 17 * 20)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert found(warc.convert_pages(pages)) == plain([(r[0], r[2]) for r in rows])
+
+
+def test_arc_versions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
     pages = spark.createDataFrame([(i, "http://a/b c", f"<p>{i}") for i in range(40)], "page_id long, url string, html string")
     folder = new_folder(spark, "arc")
     warc.write_arc(pages, folder)
