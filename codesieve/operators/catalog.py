@@ -385,15 +385,21 @@ def register_rule(
     )
 
 
+MOST_TABLE_RULES = 1000
+
+
 def rules_from_table(table: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
     """``rules`` with the rows of a configuration table; its predicates are SQL expressions.
 
     A rule becomes part of the plan, so the table is read when the plan is made. It is a
-    configuration table of a handful of rows, never data.
+    configuration table of at most MOST_TABLE_RULES rows, which is checked.
     """
     columns = ("rule_id", "language", "category", "severity", "description", "recommendation",
                "predicate", "scope")
-    for row in table.select(*columns).orderBy("rule_id").toLocalIterator():
+    rows = table.select(*columns).orderBy("rule_id").limit(MOST_TABLE_RULES + 1).collect()
+    if len(rows) > MOST_TABLE_RULES:
+        raise ValueError(f"more than {MOST_TABLE_RULES} rules")
+    for row in rows:
         rules = register_rule(*row, rules=rules)
     return rules
 

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from string import Formatter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.settings import BATCH_FILES, BATCH_TOKENS, CATEGORIES, SEVERITIES
@@ -102,11 +101,15 @@ def single_prompt(file_path: Column, language: Column, content: Column) -> Colum
 
 # --- batching -----------------------------------------------------------------------
 # A batch takes files in order while it has fewer than ``max_files`` and stays within
-# ``max_tokens``. One pass over a whole repository would put it into one task. Instead the
-# files lie in blocks, contiguous in order and bounded in size. Whatever batch is open at the
-# start of a block, the first fresh batch in it starts at one of its first ``max_files`` rows.
-# So each block is folded once for every such row; a pass over one small row per block then
-# finds which fold is the real one.
+# ``max_tokens``. One pass over a whole repository would put it into one task. Instead the files lie
+# in blocks of BLOCK_FILES. Whatever batch is open at the start of a block, the first fresh batch in
+# it starts at one of its first ``max_files`` rows. So a block is a map from that row to the one of
+# the next block. These maps are composed inside superblocks and then over superblocks, and the
+# block each pass really entered is read off on the way back.
+
+BLOCK_FILES, SUPERBLOCK = 512, 256
+MOST_IN_BLOCK = 1 << 20
+
 
 def _joined(state: Column, file: Column, max_files: int, max_tokens: int) -> dict[str, Column]:
     """The open batch after one more file, and the number of batches so far."""
@@ -135,49 +138,89 @@ def _fold(files: Column, start: int, max_files: int, max_tokens: int) -> Column:
     return F.aggregate(rest, _struct(number=none, files=none, tokens=none), step)
 
 
-def _entries(max_files: int, max_tokens: int):
-    """Walks the blocks of a group in order with the batch open at each block's start."""
-
-    def walk(blocks: pd.DataFrame) -> pd.DataFrame:
-        number = files = tokens = 0
-        skips, numbers = [], []
-        for row in blocks.sort_values("block").itertuples():
-            skip = 0
-            while (files and skip < row.size and files + skip < max_files
-                   and tokens + sum(row.heads[:skip + 1]) <= max_tokens):
-                skip += 1
-            skips.append(skip)
-            numbers.append(number)
-            if skip == row.size:
-                files, tokens = files + skip, tokens + sum(row.heads[:skip])
-            else:
-                number += row.end_number[skip]
-                files, tokens = row.end_files[skip], row.end_tokens[skip]
-        ordered = blocks.sort_values("block")
-        return pd.DataFrame({"entry_group": ordered.iloc[:, 0], "entry_block": ordered["block"],
-                             "skip": skips, "before": numbers})
-
-    return walk
+def _entered(open_batch: Column, heads: Column, max_files: int, max_tokens: int) -> Column:
+    """How many of the first files of a block the open batch still takes."""
+    def step(state: Column, tokens: Column) -> Column:
+        fits = state["open"] & (open_batch["files"] + state["taken"] < max_files) & (
+            state["used"] + tokens <= max_tokens)
+        return _struct(taken=state["taken"] + fits.cast("int"), used=state["used"] + F.when(fits, tokens).otherwise(0),
+                       open=fits)
+
+    start = _struct(taken=F.lit(0), used=open_batch["tokens"], open=open_batch["files"] > 0)
+    return F.aggregate(heads, start, step)["taken"]
+
+
+def _numbered(files: DataFrame, group: str, block: str, order: str) -> DataFrame:
+    """Files with ``part``, the number of the BLOCK_FILES files of their group they are among."""
+    counts = files.groupBy(group, block).agg(F.count(F.lit(1)).alias("n"))
+    # One row per block.
+    along = Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    bounded = F.when(F.col("n") > MOST_IN_BLOCK, F.raise_error(F.lit("a block of more files than a task should hold")))
+    starts = counts.select(
+        F.col(group).alias("in_group"), F.col(block).alias("in_block"),
+        F.coalesce(bounded.cast("long"), F.sum("n").over(along), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy(group, block).orderBy(order)) - 1
+    same = F.col(group).eqNullSafe(F.col("in_group")) & F.col(block).eqNullSafe(F.col("in_block"))
+    return files.withColumn("within", within).join(starts, same).withColumn(
+        "part", F.floor((F.col("start") + F.col("within")) / BLOCK_FILES)).select(*files.columns, "part")
+
+
+def _entry_rows(shapes: DataFrame, group: str, max_files: int, max_tokens: int) -> DataFrame:
+    """(entry_group, entry_part, skip, before): for each part the files the open batch takes from it
+    and the batches opened before it. ``shapes`` has ends and heads per part."""
+    previous = shapes.select(F.col(group).alias("p_group"), (F.col("part") + 1).alias("p_part"),
+                             F.col("ends").alias("p_ends"))
+    linked = shapes.join(previous, F.col(group).eqNullSafe(F.col("p_group")) & (F.col("part") == F.col("p_part")), "left")
+    # From the row the previous part was entered at to the row this one is, and what was opened there.
+    into = F.transform("p_ends", lambda e: _struct(
+        skip=_entered(e, F.col("heads"), max_files, max_tokens), opened=e["number"]))
+    first = F.array(*[_struct(skip=F.lit(0), opened=F.lit(0).cast("long")) for _ in range(max_files)])
+    links = linked.select(F.col(group).alias("g"), F.floor(F.col("part") / SUPERBLOCK).alias("super"), F.struct(
+        F.col("part").alias("part"), F.coalesce(into, first).alias("into")).alias("link"))
+    supers = links.groupBy("g", "super").agg(F.array_sort(F.collect_list("link")).alias("links"))
+
+    def moved(state: Column, into: Column) -> dict[str, Column]:
+        way = F.get(into, state["skip"])
+        return {"skip": way["skip"], "before": state["before"] + way["opened"]}
+
+    def trace(rows: Column, start: Column, key: str) -> Column:
+        """The state each row of ``rows`` leads to, in an array."""
+        fields = "array<struct<key:bigint,skip:int,before:bigint>>"
+        begin = _struct(skip=start["skip"], before=start["before"], seen=F.array().cast(fields))
+        return F.aggregate(rows, begin, lambda state, row: _struct(**(now := moved(state, row["into"])), seen=F.array_append(
+            state["seen"], _struct(key=row[key], **now))))["seen"]
+
+    zero = F.lit(0).cast("long")
+    whole = F.array(*[F.aggregate("links", _struct(skip=F.lit(k), before=zero), lambda s, link: _struct(
+        **moved(s, link["into"]))) for k in range(max_files)])
+    shape = F.transform(whole, lambda w: _struct(skip=w["skip"], opened=w["before"]))
+    # A row per superblock, of some hundred thousand files each.
+    chain = supers.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("super"), shape.alias("into")))).alias("chain"))
+    after = chain.select(F.col("g").alias("a_group"), F.inline(
+        trace(F.col("chain"), _struct(skip=F.lit(0), before=zero), "super")))
+    at_start = after.select("a_group", (F.col("key") + 1).alias("a_super"), "skip", "before")
+    started = supers.join(at_start, F.col("g").eqNullSafe(F.col("a_group")) & (F.col("super") == F.col("a_super")), "left")
+    start = _struct(skip=F.coalesce("skip", F.lit(0)), before=F.coalesce("before", zero))
+    return started.select(F.col("g").alias("entry_group"), F.inline(trace(F.col("links"), start, "part"))).withColumnRenamed(
+        "key", "entry_part")
 
 
 def review_batches(files: DataFrame, group: str, block: str, order: str,
                    max_files: int = BATCH_FILES, max_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Files with the ``batch`` (from 1) that a walk over their group in ``order`` gives them.
 
-    ``block`` numbers bounded ranges of ``order``; ``tokens`` is the estimate of each file. A
-    file over the limit is alone in its batch.
+    ``block`` numbers ranges of ``order`` of at most MOST_IN_BLOCK files, which is checked;
+    ``tokens`` is the estimate of each file. A file over the limit is alone in its batch.
     """
-    blocks = files.groupBy(group, block).agg(
-        F.array_sort(F.collect_list(F.struct(order, "tokens"))).alias("files"))
+    if max_files > BLOCK_FILES:
+        raise ValueError(f"batches of more than {BLOCK_FILES} files")
+    parts = _numbered(files, group, block, order).groupBy(group, "part").agg(
+        F.array_sort(F.collect_list(F.struct(order, "tokens", block))).alias("files"))
     ends = F.array(*[_fold(F.col("files"), s, max_files, max_tokens) for s in range(max_files)])
     heads = F.transform(F.slice("files", 1, max_files), lambda f: f["tokens"].cast("long"))
-    shapes = blocks.withColumn("ends", ends).select(
-        group, F.col(block).alias("block"), F.size("files").alias("size"), heads.alias("heads"),
-        *[F.col(f"ends.{name}").alias(f"end_{name}") for name in ("number", "files", "tokens")])
-    types = dict(files.dtypes)
-    entries = shapes.groupBy(group).applyInPandas(
-        _entries(max_files, max_tokens),
-        f"entry_group {types[group]}, entry_block {types[block]}, skip long, before long")
+    shapes = parts.select(group, "part", ends.alias("ends"), heads.alias("heads"))
+    entries = _entry_rows(shapes, group, max_files, max_tokens)
     none = F.lit(0).cast("long")
     start = _struct(number=F.col("before"), files=none, tokens=none,
                     numbers=F.array().cast("array<bigint>"))
@@ -186,16 +229,14 @@ def review_batches(files: DataFrame, group: str, block: str, order: str,
         joined = _joined(state, file, max_files, max_tokens)
         return _struct(**joined, numbers=F.array_append(state["numbers"], joined["number"]))
 
-    skip = F.col("skip").cast("int")
+    skip = F.least("skip", F.size("files"))
     carried = F.array_repeat(F.col("before"), skip)
     own = F.aggregate(F.slice("files", skip + 1, F.greatest(F.size("files") - skip, F.lit(0))),
                       start, step)["numbers"]
-    # Null-safe, so that a missing group counts as one and both uses of the blocks stay the same
-    # plan and share one shuffle.
-    same = F.col(group).eqNullSafe(F.col("entry_group")) & F.col(block).eqNullSafe(F.col("entry_block"))
-    placed = blocks.join(entries, same).select(group, block, F.inline(F.arrays_zip(
+    same = F.col(group).eqNullSafe(F.col("entry_group")) & (F.col("part") == F.col("entry_part"))
+    placed = parts.join(entries, same).select(group, F.inline(F.arrays_zip(
         F.col("files").alias("file"), F.concat(carried, own).alias("batch"))))
-    return placed.select(group, block, "file.*", "batch")
+    return placed.select(group, f"file.{block}", f"file.{order}", "file.tokens", "batch")
 
 
 def batch_prompts(batched: DataFrame, group: str, order: str) -> DataFrame:

@@ -104,8 +104,11 @@ def greedy(sizes, max_files=5, max_tokens=6000):
     return out
 
 
-@pytest.mark.parametrize("block_size", [1, 2, 3, 7, 64, 1000])
-def test_batches_equal_one_walk(spark, block_size):
+@pytest.mark.parametrize("block_size,part,superblock", [
+    (1, 5, 2), (2, 6, 3), (7, 5, 256), (64, 13, 4), (1000, 512, 256), (3, 100, 1)])
+def test_batches_equal_one_walk(spark, monkeypatch, block_size, part, superblock):
+    monkeypatch.setattr(reviews, "BLOCK_FILES", part)
+    monkeypatch.setattr(reviews, "SUPERBLOCK", superblock)
     rng = random.Random(block_size)
     rows = []
     for group in ("a", "b", "c"):
@@ -116,6 +119,15 @@ def test_batches_equal_one_walk(spark, block_size):
     for group in ("a", "b", "c"):
         expected = greedy([r[3] for r in rows if r[0] == group])
         assert [found[(group, i)] for i in range(300)] == expected
+    plan = reviews.review_batches(files, "repo", "block", "no")._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_unbounded_blocks_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(reviews, "MOST_IN_BLOCK", 10)
+    files = spark.range(11).select(F.lit("r").alias("repo"), F.col("id").alias("no"), F.lit(0).alias("block"), F.lit(1).alias("tokens"))
+    with pytest.raises(Exception, match="more files than a task"):
+        reviews.review_batches(files, "repo", "block", "no").collect()
 
 
 def test_prompts(spark):
