@@ -239,8 +239,10 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 pa.array(labels, pa.list_(pa.int32()))], ["order", "features", "labels"])
 
     slim = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(html_col).cast("string").alias("html"))
-    # Four times the pages needed, in case some have no labels.
-    sample = slim.orderBy("order").limit(4 * MOST_PAGES)
+    # About four times the pages needed, in case some have no labels: those with the least hashes,
+    # by a threshold, so that no page moves.
+    part = min(1.0, 4 * MOST_PAGES / max(pages.count(), 1))
+    sample = slim.where(F.col("order") <= int(-2**63 + part * (2**64 - 1)) if part < 1 else F.lit(True))
     rows = sample.mapInArrow(learn, "order long, features array<array<int>>, labels array<int>").orderBy(
         "order").limit(MOST_PAGES).collect()
     return fit([(r["features"], r["labels"]) for r in rows])
