@@ -191,7 +191,8 @@ def dedup_against(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id",
         batch.select("digest", "keep_id", "n")).join(known, "digest", "left_anti")
     groups = alone.unionByName(known)
     checked = _checked(docs, groups.where("n > 1").select("digest"), id_col, text_col)
-    groups = groups.join(checked, "digest", "left").where("n = 1 OR same")
+    # Written, so that the join below shuffles both sides itself and a hot text can be split.
+    groups = staged(groups.join(checked, "digest", "left").where("n = 1 OR same").drop("same"), "dedup-groups")
     return digests.join(groups, "digest").select(
         "id", "digest", "keep_id", F.col("n").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
