@@ -210,13 +210,17 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     """(id, n_words, n_hit, spans, items, near_items), one row per row of docs.
 
     Null and empty texts have no words and no hits; a test item without words matches nothing.
-    Repeated rows each get their row while the test set fits one search; in parts, rows of one id
-    are one. Items come as strings in code-point order, a null item as ``None``. Other columns are
-    not read.
+    Repeated rows and rows without an id each get their row. Items come as strings in code-point
+    order, a null item as ``None``. Other columns are not read.
     """
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // MOST_TEST_BYTES) or 1
+    if parts > 1:
+        # The parts meet by a number each row is written with, as ids may repeat or be null.
+        docs = staged(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("id"),
+                                  F.col(text_col).cast("string").alias("text")), "numbered")
+        id_col, text_col = "id", "text"
     found = []
     for part in range(parts):
         own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
@@ -227,7 +231,8 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
         for other in found[1:]:
             rows = rows.unionByName(other)
         joined = F.udf(_joined_spans, "array<struct<first:long,last:long>>")
-        rows = rows.groupBy("id", "n_words").agg(
+        rows = rows.groupBy(F.col("id.row").alias("row")).agg(
+            F.first("id.id").alias("id"), F.first("n_words").alias("n_words"),
             joined(F.collect_list("spans")).alias("spans"),
             *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)

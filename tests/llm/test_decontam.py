@@ -58,6 +58,18 @@ def test_odd_rows(spark, docs_of):
     assert {r[2] for r in found(decontam.contamination(docs_of(ODD), items.limit(0)))} == {0}
 
 
+def test_odd_rows_in_parts(spark, docs_of, monkeypatch):
+    """Rows that share an id, or have none, and their number of words stay apart."""
+    monkeypatch.setattr(decontam, "MOST_TEST_BYTES", 4)
+    tests = [(1, "One"), (2, "!!"), (3, None), (4, "two three"), (5, "four five"), (6, "one two")]
+    docs = [*ODD, (5, "two three one", "en", "b"), (5, "x four five", "en", "b"), (None, "one two", "en", "c"),
+            (None, "three four", "en", "c"), (None, None, None, None), (None, "", None, None)]
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    got = found(decontam.contamination(docs_of(docs).repartition(3), items))
+    assert got == plain([(d[0], d[1]) for d in docs], tests) and len(got) == len(docs)
+    assert decontam.contamination(docs_of([]), items).count() == 0
+
+
 def test_near_matches(spark, docs_of):
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = docs_of([(1, "red green blue", None, None), (2, "red very green blue", None, None),
