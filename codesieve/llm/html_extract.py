@@ -219,8 +219,9 @@ def viterbi(model: RandomField, own: list[list[int]]) -> list[int]:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> RandomField:
     """Fits the field on up to MOST_PAGES pages that markup_labels can label.
 
-    The sample is taken by hash of the id, so it is the same for the same table. Without a labelled
-    page all weights are 0 and every block counts as no article.
+    Those are the labelled pages of least id hash, however few of the table's pages have labels, so
+    the sample is the same for the same table. Without a labelled page all weights are 0 and every
+    block counts as no article.
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,12 +240,19 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 pa.array(labels, pa.list_(pa.int32()))], ["order", "features", "labels"])
 
     slim = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(html_col).cast("string").alias("html"))
-    # About four times the pages needed, in case some have no labels: those with the least hashes,
-    # by a threshold, so that no page moves.
-    part = min(1.0, 4 * MOST_PAGES / max(pages.count(), 1))
-    sample = slim.where(F.col("order") <= int(-2**63 + part * (2**64 - 1)) if part < 1 else F.lit(True))
-    rows = sample.mapInArrow(learn, "order long, features array<array<int>>, labels array<int>").orderBy(
-        "order").limit(MOST_PAGES).collect()
+    # Pages are labelled in ascending order of their hash, first about four times as many as needed,
+    # then eight times as many each time until there are enough or no page is left. The thresholds
+    # part the hashes, so no page moves and none is parsed twice. Labels need one of these tags.
+    tagged = slim.where(F.col("html").rlike("(?i)<(?:article|main)"))
+    low, top, part = -2**63 - 1, 2**63 - 1, min(1.0, 4 * MOST_PAGES / max(pages.count(), 1))
+    rows = []
+    while low < top and len(rows) < MOST_PAGES:
+        high = min(top, -2**63 + int(part * 2**64)) if part < 1 else top
+        own = tagged.where(F.col("order") <= high)
+        own = own.where(F.col("order") > low) if low >= -2**63 else own
+        rows += own.mapInArrow(learn, "order long, features array<array<int>>, labels array<int>").orderBy(
+            "order").limit(MOST_PAGES - len(rows)).collect()
+        low, part = high, 8 * part
     return fit([(r["features"], r["labels"]) for r in rows])
 
 

@@ -57,6 +57,20 @@ def test_learns_without_article_tags(spark):
     assert hx.main_text(model, page("article")) == hx.main_text(model, page("div")) == f"{one}\n{one}"
 
 
+def test_few_labelled_pages(spark, monkeypatch):
+    """The labelled pages of least hash are the sample, also where few pages of many have labels."""
+    samples = []
+    monkeypatch.setattr(hx, "fit", samples.append)
+    text = lambda i: f"Page {i} has a sentence with several words, and commas. " * 3
+    rows = [(i, f"<ARTICLE><p>{text(i)}</ARTICLE>" if i % 40 == 7 else f"<div><p>{text(i)}</div>") for i in range(800)]
+    for most in (1, 5, 30):
+        monkeypatch.setattr(hx, "MOST_PAGES", most)
+        for part in (rows, [r for r in rows if r[0] % 40 == 7]):
+            hx.train(spark.createDataFrame(part, "page_id long, html string").repartition(3))
+        whole, labelled = samples[-2:]
+        assert whole == labelled and len(whole) == min(most, 20)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "no tags"), (None, "<article><p>one &amp; two"), (5, "<article><p>one &amp; two"),
             (5, "<article><p>one &amp; two"), (6, "<p>" * 3000 + "x" * 200_000), (7, "<<a <p </ >")]
