@@ -225,6 +225,26 @@ def test_long_lines_do_not_multiply(files_of):
         "/r/a.py": (20000, 71), "/r/b.js": (1, 71), "/r/c.js": (1, 7)}
 
 
+def test_whole_text_of_long_lines(files_of):
+    """A text named by its hash is found again, each of two that differ in their indent only."""
+    from codesieve.operators.snippets import whole_snippets
+
+    wide = "x = 'é" + "a" * 5000 + "'; "
+    texts = {"/r/a.py": f"eval(y)\n{wide}eval(x)\nif z:\n    {wide}eval(x)\n", "/r/b.js": f"eval(x); {wide}\neval(x)",
+             "/r/c.sql": f"SELECT 1;\n  SELECT * FROM t\nWHERE a = '{'b' * 5000}';"}
+    files = files_of(texts)
+    issues = scan_issues(files)
+    named = issues.where("code_snippet LIKE 'sha256:%'").count()
+    rows = whole_snippets(files, issues)
+    assert rows.columns == issues.columns and rows.count() == issues.count() and named >= 4
+    assert rows.drop("code_snippet").exceptAll(issues.drop("code_snippet")).count() == 0
+    for r in rows.collect():
+        if r.file_path.endswith("sql"):
+            assert r.code_snippet in texts[r.file_path] and not r.code_snippet.startswith("sha256:")
+        else:
+            assert r.code_snippet == texts[r.file_path].split("\n")[r.line_start - 1]
+
+
 def test_deep_loops(files_of):
     loops = "".join("  " * i + "for a in b:\n" for i in range(90))
     files = files_of({"/r/a.py": (loops + "  " * 90 + "s += 1; t += 2\n") * 50})
