@@ -30,7 +30,7 @@ EPOCHS, RATE, DECAY = 8, 0.3, 1e-5
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object"
+RAW, CLOSED = "script|style", "noscript|template|svg|iframe|object"
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = frozenset("ul ol dl table body article section main div".split())
@@ -41,8 +41,9 @@ OTHER_WORDS = frozenset("ad ads advert advertisement banner breadcrumb comment c
                         "navbar newsletter notice popup promo related share sidebar social sponsor subscribe widget".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({CLOSED})\b[^>]*>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in CLOSED.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -107,14 +108,22 @@ class _Walk:
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order. Unclosed and stray tags are tolerated; scripts, styles and
-    comments are no text; <br> counts as white space."""
+    comments are no text, nor are drawings, frames and the like up to their end tag, if they have
+    one; <br> counts as white space."""
     page, walk, at = page or "", _Walk(), 0
-    for token in _TOKEN.finditer(page):
+    tokens, endless = _TOKEN.finditer(page), set()
+    while token := next(tokens, None):
         if token.start() > at:
             walk.text(page[at:token.start()])
         at = token.end()
-        if token[3]:
-            (walk.close if token[2] else walk.open)(token[3].lower(), *(() if token[2] else (token[4] or "",)))
+        if token[4]:
+            (walk.close if token[3] else walk.open)(token[4].lower(), *(() if token[3] else (token[5] or "",)))
+        elif token[2] and (name := token[2].lower()) not in endless and not (name == "svg" and token[0].endswith("/>")):
+            if end := _ENDS[name].search(page, at):
+                at = end.end()
+                tokens = _TOKEN.finditer(page, at)
+            else:
+                endless.add(name)
     walk.text(page[at:])
     walk.end_block()
     return walk.blocks

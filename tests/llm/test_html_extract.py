@@ -32,6 +32,17 @@ def test_blocks():
     assert [b.tags[-1] for b in blocks] == ["nav", "p", "p", "li", "li", "body"]
 
 
+def test_elements_without_end():
+    texts = lambda page: [b.text for b in hx.leaf_blocks(page)]
+    assert texts("<p>a<svg width='1'/><p>b<svg><text>no</text></svg><p>c") == ["a", "b", "c"]
+    assert texts("<p>a<svg/><p>b") == texts("<p>a<SVG viewBox=''><p>b") == ["a", "b"]
+    for name in ("noscript", "object", "template", "iframe", "svg"):
+        assert texts(f"<p>a<{name}>no<p>no</{name.upper()} ><p>b<{name} x=y><p>c<{name}><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<object><!-- no</object><p>b") == ["a", "b"]
+    assert texts("<p>a<script><p>no") == texts("<p>a<style><p>no") == ["a"]
+    assert len(texts("<p>a<svg><object>" * 20000)) == 20000
+
+
 def test_field_against_all_labellings():
     """Marginals and the best path compared with every labelling of a short page."""
     rng = np.random.default_rng(3)
