@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,17 @@ def hash60(column: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def pieces(raw: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """raw in pieces of about ``size`` bytes that end before a match of ``gap``, so no word is cut.
+    A text of one endless word is one piece."""
+    first = 0
+    while first < len(raw):
+        cut = gap.search(raw, first + size) if len(raw) - first > size else None
+        end = cut.start() if cut else len(raw)
+        yield raw[first:end]
+        first = end
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per session, for functions that run there."""
     context = spark.sparkContext

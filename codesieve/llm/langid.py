@@ -163,7 +163,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text",
                               "__score": F.col("__found.score")}).drop("__found")
 
 
-def fold(id_col: str = "doc_id") -> Column:
-    """0, 1 or 2 by the CRC-32 of the id as text; fold 1 is held out."""
+def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
+    """0 to folds - 1 by the CRC-32 of the id as text; fold 1 is held out."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return F.pmod(F.crc32(F.encode(text, "UTF-8")), F.lit(3))
+    return F.pmod(F.crc32(F.encode(text, "UTF-8")), F.lit(folds))

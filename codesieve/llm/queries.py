@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import (
+    centroids,
     chat,
     decontam,
     exact_dedup,
     html_extract,
     langid,
+    lm,
     mixing,
+    resample,
     sharding,
     simhash,
     suffix_dedup,
@@ -194,3 +197,100 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
     windows = staged(chat.chat_windows(turns.unionByName(extra)), "chat-windows")
     return chat.read_back(windows).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(folds=5) == 1
+    rows = lm.scores(docs, lm.train(docs, ~held_out))
+    return rows.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+# DuckDB has no CRC-32, so its table of 256 remainders is made and applied to a word's bytes.
+LLM_ORACLE["op12_importance_resampling"] = r"""
+WITH crc AS (
+    SELECT list(c ORDER BY i) AS remainders
+    FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c
+          FROM range(256) t(i))),
+texts AS (
+    SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 'b', NULL, NULL, text FROM benchmark),
+words AS (
+    SELECT side, row, doc_id, coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM texts),
+used AS (SELECT side, row, unnest(w) AS word FROM words),
+hashes AS (
+    SELECT word, xor(list_reduce(
+               list_transform(range(1, octet_length(encode(word)) + 1),
+                              lambda k: ('0x' || substr(hex(encode(word)), 2 * k - 1, 2))::BIGINT),
+               lambda c, b: xor(c // 256, remainders[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM used), crc),
+counted AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+    FROM used JOIN hashes USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM counted),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((t + 1) * (t0.s_all + 10000))::DOUBLE / ((s + 1) * (t0.t_all + 10000))::DOUBLE))::BIGINT AS gain
+    FROM counted, totals t0),
+weights AS (
+    SELECT row, sum(gain)::BIGINT AS weight FROM used JOIN hashes USING (word) JOIN gains USING (bucket)
+    WHERE side = 'd' GROUP BY row),
+scored AS (
+    SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+    FROM words LEFT JOIN weights USING (row) WHERE side = 'd'),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+           count(*) OVER (PARTITION BY n_features >= 20) AS n
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM ranked
+"""
+
+CENTRES, ROUNDS = 8, 10
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(table(spark, sf_dir, "embeddings"), CENTRES, ROUNDS)
+    return rows.withColumnRenamed("id", "vec_id")
+
+
+def _clustering_sql(centres: int, rounds: int) -> str:
+    """Plain rounds over all pairs of vector and centroid."""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, 'null')), v) - 1 AS c, v AS m
+    FROM kept QUALIFY c < {centres})"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (
+    SELECT row, v, arg_min(c, (d, c)) AS c, min(d) AS d
+    FROM (SELECT row, v, c, list_sum([(x - m[i]) * (x - m[i]) for x, i in v])::BIGINT AS d FROM kept, c{r}) GROUP BY row, v)"""
+        if r < rounds:
+            sql += f""",
+s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (
+    SELECT c, coalesce(g.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c) g USING (c))"""
+    return sql + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (row) JOIN c{rounds} USING (c)
+"""
+
+
+LLM_ORACLE["op13_centroid_clustering"] = _clustering_sql(CENTRES, ROUNDS)
