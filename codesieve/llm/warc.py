@@ -2,10 +2,10 @@
 
 An ARC file starts with a version block that names the fields of its record headers; each record is
 one header line, a declared number of bytes and a line end. A WARC record has named header lines, a
-blank line, a block of the declared length, and two line ends. Archives are written by Spark's text
-sink, whose row separator is what ends a record, and read whole, file by file; the number of
-records in a file follows from their mean size, so a file stays small. What is written can be any folder Spark
-reaches.
+blank line, a block of the declared length, and two line ends. Records are gathered where they are
+until they make a file of FILE_BYTES; a file is one row of Spark's text sink, whose row separator is
+what ends a record, and is read whole. Contents are bytes throughout, of any encoding. What is
+written can be any folder Spark reaches.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ ARC_FIELDS = {
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "page_id long, url string, ip string, date string, mime string, status string, http string, payload string"
+RECORD = "page_id long, url string, ip string, date string, mime string, status string, http binary, payload binary"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -53,34 +53,38 @@ def _safe_url(url: str | None) -> str:
     return quote(url or "-", safe="%/:=&?~#+!$,;'@()*[]")
 
 
-def _arc_line(version: int, url: str, date: str, mime: str, status: str, body: bytes, name: str) -> str:
+def _arc_line(version: int, url: str, date: str, mime: str, status: str, body: bytes, name: str) -> bytes:
     values = {
         "URL": _safe_url(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": mime,
         "Result-code": status, "Checksum": payload_digest(body), "Location": "-", "Offset": "0", "Filename": name,
         "Archive-length": str(len(body))}
-    return " ".join(values[f] for f in ARC_FIELDS[version].split())
+    return " ".join(values[f] for f in ARC_FIELDS[version].split()).encode()
 
 
-def _records_per_file(df: DataFrame, bytes_: Column) -> int:
-    """Records of the mean size that make a file of FILE_BYTES, its own first record included."""
-    total, n = df.agg(F.sum(bytes_), F.count(F.lit(1))).first()
-    return max(2, FILE_BYTES * (n or 1) // max(total or 1, 1))
+def _files(records: Iterator, head, gap: bytes) -> Iterator[pa.RecordBatch]:
+    """One row per file: ``head(number)`` and records, made by ``record(number)``, until they pass
+    FILE_BYTES. A larger record has a file of its own."""
+    held, size, number = [], 0, 0
 
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([gap.join(held)], pa.binary())], ["file"])
 
-class _FileHeads:
-    """Puts ``head(number)`` before the first record of each file of a task. The text sink begins a
-    file at every ``per_file`` records, so what each file holds is known here."""
+    for record in records:
+        if not held:
+            held.append(head(number))
+        held.append(record(number))
+        size += len(held[-1])
+        if size >= FILE_BYTES:
+            yield row()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield row()
 
-    def __init__(self, per_file: int, head) -> None:
-        self.per_file, self.head, self.count, self.file = per_file, head, 0, -1
 
-    def add(self, out: list[str], record) -> None:
-        if self.count % self.per_file == 0:
-            self.file += 1
-            out.append(self.head(self.file))
-            self.count += 1
-        out.append(record(self.file))
-        self.count += 1
+def _write_files(files: DataFrame, folder: str, gap: str) -> None:
+    """Each row of bytes as a file. The fast level of compression takes a third of the usual time."""
+    (files.select(F.col("file").cast("string")).write.option("lineSep", gap).option("maxRecordsPerFile", 1)
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder))
 
 
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
@@ -91,34 +95,30 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
     an empty payload, a null url is ``-``, a null id has no id header.
     """
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
-                        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+                        F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
 
-    per_file = _records_per_file(slim, F.octet_length("html") + 300)
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version_of = lambda number: 1 + (part + number) % 2
         name_of = lambda number: f"part-{part:05d}-{number}.arc.gz"
 
-        def head(number: int) -> str:
-            intro = f"{version_of(number)} 0 codesieve\n{ARC_FIELDS[version_of(number)]}\n"
+        def head(number: int) -> bytes:
+            intro = f"{version_of(number)} 0 codesieve\n{ARC_FIELDS[version_of(number)]}\n".encode()
             name = name_of(number)
-            line = _arc_line(version_of(number), f"filedesc://{name}", date, "text/plain", "200", intro.encode(), name)
-            return f"{line}\n{intro}"
+            line = _arc_line(version_of(number), f"filedesc://{name}", date, "text/plain", "200", intro, name)
+            return line + b"\n" + intro
 
-        heads = _FileHeads(per_file, head)
-        for batch in batches:
-            out: list[str] = []
-            for id_, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = "" if id_ is None else f"X-Page-Id: {id_}{CRLF}"
-                body = (f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{own}"
-                        f"Content-Length: {len(html.encode())}{CRLF}{CRLF}{html}")
-                heads.add(out, lambda number: (  # noqa: B023
-                    f"{_arc_line(version_of(number), url, date, 'text/html', '200', body.encode(), name_of(number))}\n{body}"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+        def record(id_: int | None, url: str | None, html: bytes):
+            own = "" if id_ is None else f"X-Page-Id: {id_}{CRLF}"
+            body = (f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{own}"
+                    f"Content-Length: {len(html)}{CRLF}{CRLF}").encode() + html
+            return lambda number: _arc_line(
+                version_of(number), url, date, "text/html", "200", body, name_of(number)) + b"\n" + body
+
+        rows = (record(*(v.as_py() for v in row)) for batch in batches for row in zip(*batch.columns))
+        yield from _files(rows, head, b"\n")
 
-    slim.mapInArrow(records, "record string").write.option("lineSep", "\n").option(
-        "maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
+    _write_files(slim.mapInArrow(files, "file binary"), folder, "\n")
 
 
 @dataclass(frozen=True)
@@ -127,6 +127,14 @@ class ArcRecord:
     content: bytes
 
 
+def _text(raw: bytes) -> str:
+    """UTF-8 where it is valid, else Latin-1, which any bytes are."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of one ARC file, by the fields its version block names and the declared lengths."""
     fields = ARC_FIELDS[1].split()
@@ -135,7 +143,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError("an ARC header line without an end")
-        line = data[at:end].decode()
+        line = _text(data[at:end])
         if not line.strip():
             at = end + 1
             continue
@@ -145,7 +153,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if len(content) < length:
             raise ValueError(f"an ARC record of {length} bytes is cut off")
         if values[0].startswith("filedesc:"):
-            intro = content.decode().split("\n")
+            intro = _text(content).split("\n")
             version = int(intro[0].split(" ")[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
@@ -162,21 +170,29 @@ def _whole_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
 
 
-def _http_parts(content: bytes) -> tuple[str, bytes]:
+def _http_parts(content: bytes) -> tuple[bytes | None, bytes]:
+    """Head and payload of an HTTP response; no head for anything else, as a ``dns:`` record."""
     head, blank, payload = content.partition(b"\r\n\r\n")
-    return (head.decode("utf-8", "replace"), payload) if blank else ("", content)
+    return (head, payload) if blank and head.startswith(b"HTTP/") else (None, content)
 
 
-def _header(head: str, name: str) -> str | None:
-    found = re.search(rf"^{re.escape(name)}:[ \t]*(.*?)[ \t]*$", head.replace(CRLF, "\n"), re.M | re.I)
+def _header(head: bytes | None, name: str) -> str | None:
+    found = re.search(rf"^{re.escape(name)}:[ \t]*(.*?)[ \t]*$", _text(head or b"").replace(CRLF, "\n"), re.M | re.I)
     return found[1] if found else None
 
 
+def _page_id(head: bytes | None) -> int | None:
+    value = _header(head, "X-Page-Id") or ""
+    return int(value) if re.fullmatch(r"-?[0-9]{1,18}", value) else None
+
+
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """Page records of all ARC files of a folder; version blocks are left out."""
+    """Records of all ARC files of a folder; version blocks are left out. http is the head of an HTTP
+    response, null for other records; payload is what follows, bytes of any kind."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = RECORD.replace(",", "").split()[::2]
+        kinds = {"page_id": pa.int64(), "http": pa.binary(), "payload": pa.binary()}
         for batch in batches:
             for content in batch.column(0):
                 rows = {n: [] for n in names}
@@ -184,23 +200,21 @@ def read_arc(spark: SparkSession, folder: str) -> DataFrame:
                     if record.fields["URL"].startswith("filedesc:"):
                         continue
                     head, payload = _http_parts(record.content)
-                    page = _header(head, "X-Page-Id")
                     for n, v in zip(names, (
-                            None if page is None else int(page), record.fields["URL"], record.fields["IP-address"],
+                            _page_id(head), record.fields["URL"], record.fields["IP-address"],
                             record.fields["Archive-date"], record.fields["Content-type"],
-                            record.fields.get("Result-code"), head, payload.decode())):
+                            record.fields.get("Result-code"), head, payload)):
                         rows[n].append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[n], pa.int64() if n == "page_id" else pa.string()) for n in names], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.string())) for n in names], names)
 
     return _whole_files(spark, folder).mapInArrow(parsed, RECORD)
 
 
 # --- WARC ------------------------------------------------------------------------------
 
-def record_id(page_id: int | None, digest: str) -> str:
-    """The same for the same page and payload."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, number: int) -> str:
+    """An id of its own for each record of the archives that are converted."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{number}')}>"
 
 
 def _warc_date(arc_date: str) -> str:
@@ -208,69 +222,72 @@ def _warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def _warc_record(r: dict) -> str:
-    digest, first = r["digest"], r["first_id"]
-    revisit = r["revisit"]
-    block = f"{r['http']}{CRLF}{CRLF}" + ("" if revisit else r["payload"])
-    raw = block.encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-             f"WARC-Record-ID: {record_id(r['page_id'], digest)}", f"WARC-Date: {_warc_date(r['date'])}",
+def _warc_record(r: dict) -> bytes:
+    """An HTTP response or its revisit; a ``dns:`` answer is a response too, anything else a resource."""
+    revisit, http, digest = r["revisit"], r["http"], r["digest"]
+    block = r["payload"] if http is None else http + b"\r\n\r\n" + (b"" if revisit else r["payload"])
+    kind = "revisit" if revisit else "response" if http is not None or r["url"].startswith("dns:") else "resource"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}",
+             f"WARC-Record-ID: {record_id(r['page_id'], digest, r['number'])}", f"WARC-Date: {_warc_date(r['date'])}",
              f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}",
-             f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(raw)}",
-             "Content-Type: application/http; msgtype=response", f"Content-Length: {len(raw)}"]
+             f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(block)}",
+             f"Content-Type: {r['mime'] if http is None else 'application/http; msgtype=response'}",
+             f"Content-Length: {len(block)}"]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}"]
-    return CRLF.join(lines) + CRLF + CRLF + block
+        first = r["first"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first['page_id'], digest, first['number'])}",
+                  f"X-Payload-Length: {r['n_bytes']}"]
+    return (CRLF.join(lines) + CRLF + CRLF).encode() + block
 
 
 def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = 0) -> None:
     """Converts all ARC files of a folder to gzipped WARC files.
 
-    Of equal payloads of at least ``least_bytes`` bytes the record of the smallest page id stays a
-    response, the others become revisits of it. Records of one page id and payload, as repeated
-    rows, are all responses; a record without a page id revisits any that has one.
+    Of HTTP responses with equal payloads of at least ``least_bytes`` bytes the one of the smallest
+    page id stays a response, a record without a page id only if none has one, and of records of one page
+    id, as repeated rows, one; the others become revisits of it. Other records stay whole.
     """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [p.as_py() for p in batch.column(batch.schema.get_field_index("payload")).cast(pa.binary())]
+            raw = [p.as_py() for p in batch.column("payload")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([payload_digest(p) for p in raw]), pa.array([len(p) for p in raw], pa.int64())],
                 [*batch.schema.names, "digest", "n_bytes"])
 
-    # Written once: the archives are parsed and their payloads hashed one time only.
-    rows = staged(read_arc(spark, arc_folder).mapInArrow(measured, f"{RECORD}, digest string, n_bytes long"), "arc-records")
+    # Written once: the archives are parsed, numbered and their payloads hashed one time only.
+    rows = staged(read_arc(spark, arc_folder).mapInArrow(measured, f"{RECORD}, digest string, n_bytes long")
+                  .withColumn("number", F.monotonically_increasing_id()), "arc-records")
     # One row per payload and task before the shuffle, however many pages share it; only payloads
     # that more than one page has are looked up.
-    firsts = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "number")
+    firsts = rows.where((F.col("n_bytes") >= least_bytes) & F.col("http").isNotNull()).groupBy("digest", "n_bytes").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = staged(firsts, "arc-firsts")
     # The pages stay where they are as long as the table is small, which is counted.
     small = firsts.count() <= BROADCAST_ROWS
     named = rows.join(F.broadcast(firsts) if small else firsts, ["digest", "n_bytes"], "left").withColumn(
-        "revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    per_file = _records_per_file(rows, F.col("n_bytes") + 600)
+        "revisit", F.col("http").isNotNull() & F.coalesce(F.col("number") != F.col("first.number"), F.lit(False)))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
-        def head(number: int) -> str:
+        def head(number: int) -> bytes:
             text = f"software: codesieve{CRLF}format: WARC File Format 1.1{CRLF}"
             own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc_folder}:{part}:{number}")
-            return CRLF.join([
+            return (CRLF.join([
                 "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{own}>",
                 "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields",
-                f"Content-Length: {len(text.encode())}"]) + CRLF + CRLF + text
+                f"Content-Length: {len(text)}"]) + CRLF + CRLF + text).encode()
 
-        heads = _FileHeads(per_file, head)
-        for batch in batches:
-            out: list[str] = []
-            for r in batch.to_pylist():
-                heads.add(out, lambda _: _warc_record(r))  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+        def record(names: list[str], row: tuple):
+            made = _warc_record({n: v.as_py() for n, v in zip(names, row)})
+            return lambda _: made
+
+        rows = (record(batch.schema.names, row) for batch in batches for row in zip(*batch.columns))
+        yield from _files(rows, head, b"\r\n\r\n")
 
-    named.mapInArrow(records, "record string").write.option("lineSep", CRLF * 2).option(
-        "maxRecordsPerFile", per_file).option("compression", "gzip").text(warc_folder)
+    _write_files(named.mapInArrow(files, "file binary"), warc_folder, CRLF * 2)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -278,7 +295,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
+        version, *lines = _text(data[at:end]).split(CRLF)
         if not version.startswith("WARC/"):
             raise ValueError(f"a WARC record starts with {version[:20]!r}")
         headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
@@ -291,7 +308,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Response and revisit records: page_id, record_id, record_type, url, date, payload_bytes,
+    """All records but the files' own: page_id, record_id, record_type, url, date, payload_bytes,
     payload_digest, refers_to_record. Digests of blocks and payloads are computed again."""
     names = ["page_id", "record_id", "record_type", "url", "date", "payload_bytes", "payload_digest", "refers_to_record"]
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64()}
@@ -303,15 +320,14 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 for h, block in parse_warc(gzip.decompress(content.as_py())):
                     if h["warc-type"] == "warcinfo":
                         continue
-                    head, payload = _http_parts(block)
+                    head, payload = _http_parts(block) if h["content-type"].startswith("application/http") else (None, block)
                     digest = h["warc-payload-digest"].removeprefix("sha1:")
-                    whole = h["warc-type"] == "response"
+                    whole = h["warc-type"] != "revisit"
                     if h["warc-block-digest"] != f"sha1:{payload_digest(block)}" or whole and digest != payload_digest(payload):
                         raise ValueError(f"a digest of {h['warc-record-id']} is wrong")
-                    page = _header(head, "X-Page-Id")
-                    rows.append((None if page is None else int(page), h["warc-record-id"], h["warc-type"],
+                    rows.append((_page_id(head), h["warc-record-id"], h["warc-type"],
                                  h["warc-target-uri"], h["warc-date"],
-                                 len(payload) if whole else int(_header(head, "Content-Length")), digest,
+                                 len(payload) if whole else int(h["x-payload-length"]), digest,
                                  h.get("warc-refers-to")))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], kinds.get(n, pa.string())) for k, n in enumerate(names)], names)
@@ -329,7 +345,7 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0, **columns: str) -> Dat
     arc_to_warc(spark, arc, warc, least_bytes)
     rows = read_warc(spark, warc)
     # Only records that are revisited are looked up, each once.
-    firsts = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(
-        F.min("page_id").alias("refers_to"))
+    firsts = rows.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
     wanted = rows.where("refers_to_record IS NOT NULL").select("refers_to_record").distinct()
     return rows.join(firsts.join(wanted, "refers_to_record", "left_semi"), "refers_to_record", "left")

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -10,16 +11,20 @@ from llm.conftest import SF
 
 
 def plain(pages, least=0):
-    first = {}
+    first, taken = {}, set()
     for i, html in pages:
-        if i is not None:
-            first[html or ""] = min(first.get(html or "", i), i)
+        old = first.get(html or "")
+        first[html or ""] = i if old is None else old if i is None else min(old, i)
     out = []
     for i, html in pages:
-        raw = (html or "").encode()
-        keep = first.get(html or "", i) if len(raw) >= least else i
+        text = html or ""
+        raw = text.encode()
+        # One of the records with the smallest page id is the response.
+        stays = len(raw) < least or first[text] == i and text not in taken
+        if stays:
+            taken.add(text)
         out.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(),
-                    "response" if keep == i else "revisit", None if keep == i else keep))
+                    "response" if stays else "revisit", None if stays else first[text]))
     return sorted(out, key=str)
 
 
@@ -34,7 +39,8 @@ def test_query(spark):
 
 
 ROWS = [(3, "u", "same"), (1, "u v\n", "same"), (2, None, "same"), (4, "é", None), (5, "x", ""), (6, "x", "\r\n\r\nWARC/1.1\r\n"),
-        (7, "x", "a\n\nhttp://x 0 0 0 5\n"), (8, "x", "é🙂" * 50_000), (None, "x", "same"), (9, "x", "q"), (9, "x", "q")]
+        (7, "x", "a\n\nhttp://x 0 0 0 5\n"), (8, "x", "é🙂" * 50_000), (None, "x", "same"), (9, "x", "q"), (9, "x", "q"),
+        (None, "x", "none"), (None, "x", "none")]
 
 
 @pytest.mark.parametrize("least", [0, 3])
@@ -64,7 +70,7 @@ def test_arc_versions(spark, monkeypatch):
     folder = new_folder(spark, "arc")
     warc.write_arc(pages, folder)
     rows = warc.read_arc(spark, folder).collect()
-    assert {(r["page_id"], r["url"], r["payload"]) for r in rows} == {(i, "http://a/b%20c", f"<p>{i}") for i in range(40)}
+    assert {(r["page_id"], r["url"], r["payload"]) for r in rows} == {(i, "http://a/b%20c", f"<p>{i}".encode()) for i in range(40)}
     assert {r["status"] for r in rows} == {None, "200"}  # version 1 has no result code
 
 
@@ -77,3 +83,40 @@ def test_parse_by_hand():
     assert warc._warc_date("20010203040507") == "2001-02-03T04:05:07Z"
     with pytest.raises(ValueError):
         list(warc.parse_arc(one[:-6]))
+
+
+def test_foreign_records(spark, tmp_path):
+    """Bytes of any encoding, a picture, an answer of DNS and a response without a page id or length."""
+    gif, latin = b"GIF89a\x00\xff\xfe\r\n\r\n\x80", "caf\xe9".encode("latin-1")
+    http = b"HTTP/1.0 200 OK\r\nX-Name: \xe9\r\n\r\n"
+    records = [("http://x/a.gif", "image/gif", http + gif), ("http://x/\xe9", "text/html", http + latin),
+               ("dns:x.org", "text/dns", b"20010203040506\nx.org. 1 IN A 1.2.3.4\n"),
+               ("ftp://x/readme", "text/plain", b"plain\xff"), ("http://x/b", "text/html", http + latin)]
+    intro = b"1 0 me\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://a.arc 0.0.0.0 20010203040506 text/plain %d\n%s\n" % (len(intro), intro)
+    for url, mime, body in records:
+        data += f"{url} 1.2.3.4 20010203040506 {mime} {len(body)}\n".encode("latin-1") + body + b"\n"
+    arc = tmp_path / "arc"
+    arc.mkdir()
+    (arc / "a.arc.gz").write_bytes(gzip.compress(data))
+    folder = new_folder(spark, "warc")
+    warc.arc_to_warc(spark, str(arc), folder)
+    rows = {r["url"]: r for r in warc.read_warc(spark, folder).collect()}
+    digest = lambda raw: base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert {u: (r["record_type"], r["payload_bytes"], r["payload_digest"]) for u, r in rows.items()} == {
+        "http://x/a.gif": ("response", len(gif), digest(gif)), "http://x/\xe9": ("response", 4, digest(latin)),
+        "dns:x.org": ("response", len(records[2][2]), digest(records[2][2])),
+        "ftp://x/readme": ("resource", 6, digest(b"plain\xff")), "http://x/b": ("revisit", 4, digest(latin))}
+    assert rows["http://x/b"]["refers_to_record"] == rows["http://x/\xe9"]["record_id"]
+    assert len({r["record_id"] for r in rows.values()}) == 5
+
+
+def test_files_are_cut_by_bytes(spark, monkeypatch):
+    """A run of long pages makes many files, none much over the limit."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, "u", "z" * (30 if i < 900 else 15_000)) for i in range(1000)]
+    folder = new_folder(spark, "arc")
+    warc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").collect()
+    sizes = [len(gzip.decompress(f["content"])) for f in files]
+    assert len(sizes) > 50 and max(sizes) < 37_000 and warc.read_arc(spark, folder).count() == 1000
