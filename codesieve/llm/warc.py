@@ -61,9 +61,9 @@ def _arc_line(version: int, url: str, date: str, mime: str, status: str, body: b
     return " ".join(values[f] for f in ARC_FIELDS[version].split()).encode()
 
 
-def _files(records: Iterator, head, gap: bytes) -> Iterator[pa.RecordBatch]:
+def _files(records: Iterator, head, gap: bytes, most: int) -> Iterator[pa.RecordBatch]:
     """One row per file: ``head(number)`` and records, made by ``record(number)``, until they pass
-    FILE_BYTES. A larger record has a file of its own."""
+    ``most`` bytes. A larger record has a file of its own."""
     held, size, number = [], 0, 0
 
     def row() -> pa.RecordBatch:
@@ -74,7 +74,7 @@ def _files(records: Iterator, head, gap: bytes) -> Iterator[pa.RecordBatch]:
             held.append(head(number))
         held.append(record(number))
         size += len(held[-1])
-        if size >= FILE_BYTES:
+        if size >= most:
             yield row()
             held, size, number = [], 0, number + 1
     if held:
@@ -97,6 +97,8 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
 
+    most = FILE_BYTES
+
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version_of = lambda number: 1 + (part + number) % 2
@@ -116,7 +118,7 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
                 version_of(number), url, date, "text/html", "200", body, name_of(number)) + b"\n" + body
 
         rows = (record(*(v.as_py() for v in row)) for batch in batches for row in zip(*batch.columns))
-        yield from _files(rows, head, b"\n")
+        yield from _files(rows, head, b"\n", most)
 
     _write_files(slim.mapInArrow(files, "file binary"), folder, "\n")
 
@@ -269,6 +271,8 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_by
     named = rows.join(F.broadcast(firsts) if small else firsts, ["digest", "n_bytes"], "left").withColumn(
         "revisit", F.col("http").isNotNull() & F.coalesce(F.col("number") != F.col("first.number"), F.lit(False)))
 
+    most = FILE_BYTES
+
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
@@ -285,7 +289,7 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_by
             return lambda _: made
 
         rows = (record(batch.schema.names, row) for batch in batches for row in zip(*batch.columns))
-        yield from _files(rows, head, b"\r\n\r\n")
+        yield from _files(rows, head, b"\r\n\r\n", most)
 
     _write_files(named.mapInArrow(files, "file binary"), warc_folder, CRLF * 2)
 
