@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import relative_path
-from codesieve.functions.text import text_name
+from codesieve.operators.line_store import snippet_key
 
 MATCH_KEYS = ("repo_path", "file_path", "rule_id", "snippet_key")
 
 
 def _with_key(issues: DataFrame) -> DataFrame:
-    """Keyed by the hash of the trimmed line, whether the line itself or its name is shown."""
-    shown = F.coalesce("code_snippet", F.lit(""))
-    named = shown.rlike("^sha256:[0-9a-f]{64}$")
-    return issues.withColumn("snippet_key", F.when(named, shown).otherwise(text_name(shown)))
+    """Keyed by the hash of the trimmed line. Issues of the line store have it already."""
+    return issues if "snippet_key" in issues.columns else issues.withColumn(
+        "snippet_key", snippet_key(F.col("code_snippet")))
 
 
 def issue_hash(ordinal: Column) -> Column:
@@ -42,7 +41,8 @@ def scan_diff(current: DataFrame, previous: DataFrame | None) -> DataFrame:
 
     Both scans meet in one shuffle on the match key: the n-th of several equal issues remains
     if the other scan has at least n. A group lies within one file and rule. Without a previous
-    scan all issues are new.
+    scan all issues are new. Issues that carry the keys of the line store instead of their text are
+    compared without it; ``line_store.with_texts`` adds it to the result.
     """
     both = current.withColumn("side", F.lit("current"))
     if previous is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesieve.session import written
+
 
 def history(scans: DataFrame, repo_path: str | None = None, limit: int = 50) -> DataFrame:
     """Newest scans first, at most ``limit``; ties by scan id."""
@@ -29,23 +31,25 @@ def latest_scan_per_repo(scans: DataFrame) -> DataFrame:
 
 
 def trend(scans: DataFrame) -> DataFrame:
-    """Change of the issue total from one scan of a repository to the next.
+    """Change of the issue total from one scan of a repository to the next, by time and scan id, nulls
+    first. Rows without a repository are one repository of their own; no row is lost.
 
-    ``lag`` runs per repository and day. The last total before each day comes from one row per
-    day, so the window over a whole repository has as many rows as there are days.
+    Scans are sorted into parts by repository, time and id, so a repository, or a day of it, may fill any
+    number of parts. ``lag`` runs inside a part; the total before a part comes from one row per part
+    and repository.
     """
-    scans = scans.withColumn("day", F.to_date("ts"))
-    within = Window.partitionBy("repo_path", "day").orderBy("ts", "scan_id")
-    days = scans.groupBy("repo_path", "day").agg(
-        F.max_by("total_issues", F.struct("ts", "scan_id")).alias("day_total"))
-    before = days.withColumn(
-        "before_day", F.lag("day_total").over(Window.partitionBy("repo_path").orderBy("day")),
-    ).drop("day_total")
-    previous = F.when(F.row_number().over(within) == 1, F.col("before_day")).otherwise(
-        F.lag("total_issues").over(within))
+    order = ("ts", "scan_id")
+    sorted_ = scans.repartitionByRange("repo_path", *order).withColumn("part", F.spark_partition_id())
+    sorted_ = written(sorted_, "trend")
+    ends = sorted_.groupBy("repo_path", "part").agg(F.max_by("total_issues", F.struct(*order)).alias("last"))
+    along = Window.partitionBy("repo_path").orderBy("part")
+    starts = ends.select(F.col("repo_path").alias("r"), F.col("part").alias("p"), F.lag("last").over(along).alias("before"))
+    within = Window.partitionBy("repo_path", "part").orderBy(*order)
+    previous = F.when(F.row_number().over(within) == 1, F.col("before")).otherwise(F.lag("total_issues").over(within))
+    same = F.col("repo_path").eqNullSafe(F.col("r")) & (F.col("part") == F.col("p"))
     return (
-        scans.join(before, ["repo_path", "day"])
+        sorted_.join(starts, same)
         .withColumn("previous_issues", previous)
         .withColumn("change", F.col("total_issues") - F.col("previous_issues"))
-        .drop("day", "before_day")
+        .drop("part", "r", "p", "before")
     )

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import snippet
 from codesieve.operators.catalog import BLOCK_RULES
 from codesieve.operators.units import file_keys
 from codesieve.schemas import ISSUE_COLUMNS
@@ -70,7 +69,7 @@ def logical_lines(files: DataFrame) -> DataFrame:
     # Raw text goes along only where an issue may show it: the shuffle carries half as much.
     shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
     lines = _python_lines(files, keys).withColumns({
-        "raw": F.when(shown, snippet(F.col("raw"))),
+        "raw": F.when(shown, F.col("raw")),
         "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
         "quotes": F.regexp_count(masked, F.lit('"')),
         "blank": ~masked.rlike(r"[^ \t\f\r]"),
@@ -192,7 +191,9 @@ def _blocks(statements: DataFrame, keys: list[str]) -> DataFrame:
         F.when((F.size("calls") > 0) | (F.col("augments") > 0), event("line", F.lit(-1)))))
     events = placed.withColumn("empty", empty).select(
         *keys, "k", "kind", "line_start", "line_end", "raw", "statement", "augments", "calls",
-        "empty", "last_k", "last_end", F.inline(F.concat(closers, own)))
+        "empty", "last_k", "last_end", F.inline(F.concat(closers, own))).withColumns({
+            # Texts go along with a line's own events, once.
+            c: F.when(F.col("what") != "close", F.col(c)) for c in ("raw", "statement", "calls")})
     # Read backwards, the last closing seen before a header is the first one after it. At
     # equal k the header comes first, as a line cannot close its own block.
     backwards = (Window.partitionBy(*keys, "level")
@@ -227,9 +228,8 @@ def _with_loop_depth(blocks: DataFrame, keys: list[str]) -> DataFrame:
             .where(~is_loop))
 
 
-def python_block_issues(files: DataFrame) -> DataFrame:
-    """Issues of the block rules: dangerous calls, bare handlers, mutable defaults, long and
-    wide functions, ``+=`` in loops. ``+=`` is reported once per loop around it."""
+def block_findings(files: DataFrame) -> DataFrame:
+    """Lines with findings of the block rules: the text once, and ``found``, an array of them."""
     keys = file_keys(files)
     rules = {r.rule_id: r for r in BLOCK_RULES}
     rows = _with_loop_depth(_blocks(logical_lines(files), keys), keys)
@@ -243,7 +243,7 @@ def python_block_issues(files: DataFrame) -> DataFrame:
     width = F.size("params") - F.coalesce(slash, F.lit(0))
     span = F.col("block_end") - F.col("line_start")
 
-    def hit(rule_id: str, details: tuple = (), start="line_start", end="line_start", raw="raw",
+    def hit(rule_id: str, details: tuple = (), start="line_start", end="line_start",
             recommendation: Column | None = None, copies: Column | None = None) -> Column:
         rule = rules[rule_id]
         text = F.lit(rule.description) if not details else F.format_string(
@@ -256,22 +256,39 @@ def python_block_issues(files: DataFrame) -> DataFrame:
             .alias("recommendation"),
             as_column(start).cast("int").alias("line_start"),
             as_column(end).cast("int").alias("line_end"),
-            as_column(raw).alias("code_snippet"),
             (F.lit(1) if copies is None else F.coalesce(copies, F.lit(0))).cast("int").alias("copies"))
 
-    calls = F.flatten(F.transform("calls", lambda call: F.transform(call["calls"], lambda called: hit(
-        "PY-03", (called,), start=call["line_no"], raw=call["raw"],
+    def line(text: str | Column, hits: Column) -> Column:
+        found = F.filter(hits, lambda h: h["copies"] > 0)
+        return F.struct((F.col(text) if isinstance(text, str) else text).alias("code_snippet"), found.alias("found"))
+
+    calls = F.transform("calls", lambda call: line(call["raw"], F.transform(call["calls"], lambda called: hit(
+        "PY-03", (called,), start=call["line_no"],
         end=F.when(call["open"], F.col("line_end")).otherwise(call["line_no"]),
         recommendation=F.concat(F.lit("Avoid using "), called, F.lit("()."))))))
-    hits = F.when(F.col("what") == "line", F.concat(
-        calls, F.array(hit("PY-08", end="line_end", copies=F.col("augments") * F.col("depth"))),
-    )).when(is_def, F.array(
+    lines = F.when(F.col("what") == "line", F.concat(calls, F.array(line("raw", F.array(
+        hit("PY-08", end="line_end", copies=F.col("augments") * F.col("depth"))))),
+    )).when(is_def, F.array(line("raw", F.array(
         hit("PY-05", ("name",), copies=defaults),
         hit("PY-06", ("name", span), end="block_end", copies=(span > MAX_FUNCTION_SPAN).cast("int")),
         hit("PY-07", ("name", width), copies=(width > MAX_PARAMETERS).cast("int")),
-    )).when(F.col("kind") == EXCEPT, F.array(hit("PY-04", end="block_end")))
-    # Equal issues are repeated after the array is opened: a statement deep in loops may have
-    # many, and as numbers they are small.
-    issues = rows.select(*keys, F.inline(hits)).where(F.col("copies") > 0).withColumn(
+    )))).when(F.col("kind") == EXCEPT, F.array(line("raw", F.array(hit("PY-04", end="block_end")))))
+    return rows.select(*keys, F.inline(lines)).where(F.size("found") > 0)
+
+
+def block_issues_of(rows: DataFrame, *texts: str) -> DataFrame:
+    """One row per finding; ``texts`` are the columns that stand for the text.
+
+    Equal issues are repeated after the array is opened: a statement deep in loops may have many,
+    and as numbers they are small.
+    """
+    keys = file_keys(rows)
+    issues = rows.select(*keys, *texts, F.inline("found")).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])
+    return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in (*keys, "code_snippet")], *texts)
+
+
+def python_block_issues(files: DataFrame) -> DataFrame:
+    """Issues of the block rules: dangerous calls, bare handlers, mutable defaults, long and
+    wide functions, ``+=`` in loops. ``+=`` is reported once per loop around it."""
+    return block_issues_of(block_findings(files), "code_snippet")

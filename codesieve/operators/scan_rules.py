@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import any_of
-from codesieve.functions.text import snippet
 from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.units import file_keys, file_units
 from codesieve.schemas import ISSUE_COLUMNS
@@ -35,8 +34,9 @@ def _any(rules: list[Rule]) -> Column:
     return any_of(([F.expr(" OR ".join(f"({p})" for p in written))] if written else []) + made)
 
 
-def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Issues of units. Every unit meets the rules of its own language and scope only.
+def unit_findings(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Units with findings: the text once, and ``found``, an array of them. Every unit meets the rules
+    of its own language and scope only.
 
     Most units meet none of them. They are dropped by a plain condition, before findings are
     built for the rest.
@@ -50,14 +50,40 @@ def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         one, found = _any(members), _hits(members)
         some = F.when(test, one) if some is None else some.when(test, one)
         hits = F.when(test, found) if hits is None else hits.when(test, found)
-    keys = file_keys(units)
-    issues = units.where(some).select(
-        *keys, F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-        "text", F.inline(hits)).withColumn("code_snippet", snippet(F.col("text")))
-    return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in keys])
+    line = F.col("line_no")
+    return units.where(some).select(*file_keys(units), line.alias("line_start"), line.alias("line_end"),
+                                    F.col("text").alias("code_snippet"), hits.alias("found"),
+                                    *[c for c in units.columns if c == "around"])
+
+
+def issues_of(rows: DataFrame, *texts: str) -> DataFrame:
+    """One row per finding; ``texts`` are the columns that stand for the text."""
+    keys = file_keys(rows)
+    issues = rows.select(*keys, "line_start", "line_end", *texts, F.inline("found"))
+    return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in (*keys, "code_snippet")], *texts)
+
+
+def scan_units(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Issues of units, each with the whole text of its unit."""
+    return issues_of(unit_findings(units, rules), "code_snippet")
 
 
 def scan_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, strict_start: bool = False) -> DataFrame:
     """Issues of all line, statement, key and file rules."""
+    return issues_of(rule_findings(files, rules, strict_start), "code_snippet")
+
+
+def scan_with_context(files: DataFrame, rules: tuple[Rule, ...] = RULES, context: int = 2) -> DataFrame:
+    """Issues of the rules with the lines up to ``context`` before and after their first line, taken in
+    the pass over the lines: no file is read or moved a second time."""
+    configure(files.sparkSession)
+    rows = unit_findings(file_units(files, _scopes(rules), context=context), rules)
+    first, lines = F.col("around.first"), F.col("around.lines")
+    return issues_of(rows.withColumns({
+        "context_start": first, "context_end": first + F.size(lines) - 1, "context": F.array_join(lines, "\n"),
+    }), "code_snippet", "context_start", "context_end", "context")
+
+
+def rule_findings(files: DataFrame, rules: tuple[Rule, ...] = RULES, strict_start: bool = False) -> DataFrame:
     configure(files.sparkSession)
-    return scan_units(file_units(files, _scopes(rules), strict_start), rules)
+    return unit_findings(file_units(files, _scopes(rules), strict_start), rules)

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.regex import lstrip
-from codesieve.functions.text import context_end, context_start, lines_of, text_name
-from codesieve.operators.catalog import RULES, Rule
-from codesieve.operators.json_files import repeated_keys
-from codesieve.operators.units import file_keys, sql_statements
-from codesieve.settings import SHOWN_SNIPPET_BYTES
+from codesieve.functions.text import context_end, context_start, lines_of
+from codesieve.operators.units import file_keys
 
 
 def context_snippets(files: DataFrame, issues: DataFrame, context: int = 2) -> DataFrame:
-    """Issues with the lines up to ``context`` before and after their first line.
+    """Issues of any origin with the lines up to ``context`` before and after their first line. The
+    rules' own issues have them without a shuffle by ``scan_rules.scan_with_context``.
 
     The issues of a file are gathered next to its text, so a text is shuffled once and no line
     is joined with a line. A file is capped in size; so are its issues.
@@ -33,40 +30,3 @@ def context_snippets(files: DataFrame, issues: DataFrame, context: int = 2) -> D
                         end.alias("context_end"), text.alias("context"))
 
     return joined.select(*keys, F.inline(F.transform("found", around)))
-
-
-def whole_snippets(files: DataFrame, issues: DataFrame, rules: tuple[Rule, ...] = RULES,
-                   strict_start: bool = False) -> DataFrame:
-    """Issues with the whole text as code_snippet, also where a long one is named by its hash.
-
-    The text is looked up in the issue's file by its name and lines, among the units its rule reads.
-    Long texts are shuffled once each; other rows come through as they are. ``strict_start`` is that
-    of the scan.
-    """
-    keys = file_keys(issues)
-    content, language = F.col("content"), F.col("language")
-
-    def unit(scope, line_no, text):
-        return F.struct(F.lit(scope).alias("__scope"), line_no.cast("int").alias("line_no"), text.alias("text"))
-
-    units = F.when(language == "sql", F.concat(
-        F.transform(lines_of(content), lambda line, i: unit("line", i + 1, line)),
-        F.transform(sql_statements(content), lambda s: unit("statement", F.lit(1), s if strict_start else lstrip(s))),
-    )).when(language == "json", F.concat(
-        F.transform(lines_of(content), lambda line, i: unit("line", i + 1, line)),
-        F.transform(repeated_keys(content), lambda k: unit("key", F.lit(1), k)),
-    )).otherwise(F.transform(lines_of(content), lambda line, i: unit("line", i + 1, line)))
-    texts = (
-        files.where(F.octet_length(content) > SHOWN_SNIPPET_BYTES)
-        .select(*keys, F.inline(F.filter(units, lambda u: F.octet_length(u["text"]) > SHOWN_SNIPPET_BYTES)))
-        .groupBy(*keys, "__scope", text_name(F.col("text")).alias("code_snippet"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("__places"))
-    )
-    others = {r.rule_id: r.scope for r in rules if r.scope in ("statement", "key")}
-    scope = F.lit("line")
-    for rule_id, name in others.items():
-        scope = F.when(F.col("rule_id") == rule_id, name).otherwise(scope)
-    joined = issues.withColumn("__scope", scope).join(texts, [*keys, "__scope", "code_snippet"], "left")
-    here = F.filter("__places", lambda p: p["line_no"].between(F.col("line_start"), F.col("line_end")))
-    return joined.withColumn("code_snippet", F.coalesce(F.get(here, F.lit(0))["text"], "code_snippet")).select(
-        *issues.columns)

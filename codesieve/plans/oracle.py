@@ -304,9 +304,6 @@ def _blocks_only() -> str:
     return ",\n".join(["WITH " + SCAN_LINES.strip(), BLOCK_HITS, _issues("block_hits")])
 
 
-_SHOWN = f"""CASE WHEN strlen(line) <= 4096 THEN line
-            ELSE 'sha256:' || sha256(regexp_replace(line, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) END"""
-
 ORACLE: dict[str, str] = {
     "scan_issues_all": f"{_scan(blocks=True)} SELECT {ISSUE} FROM issues",
     "streaming_scan": f"{_scan(blocks=True)} SELECT {ISSUE} FROM issues",
@@ -436,12 +433,12 @@ hits AS (
   FROM numbered WHERE {_TODO[0]})
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_start AS line_end,
        description, recommendation,
-       {_SHOWN} AS code_snippet
+       line AS code_snippet
 FROM hits"""
 ORACLE["numbered_lines"] = """
 SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no, unnest(parts) AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"""
-ORACLE["context_snippet"] = f"""{_scan(('JV',))},
+_AROUND = """
 total AS (SELECT file_path, max(line_no) AS n FROM code GROUP BY ALL),
 wanted AS (
   SELECT DISTINCT file_path, line_start, greatest(line_start - 2, 1) AS context_start,
@@ -454,6 +451,8 @@ around AS (
   GROUP BY ALL)
 SELECT file_path, rule_id, line_start, context_start, context_end, context
 FROM issues JOIN around USING (file_path, line_start)"""
+ORACLE["context_snippet"] = f"{_scan(('JV',))},{_AROUND}"
+ORACLE["context_of_blocks"] = f"{_blocks_only()},{_AROUND}"
 ORACLE["text_helpers"] = r"""
 SELECT doc_id, sha256(text) AS content_hash,
        CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
@@ -594,7 +593,7 @@ diff AS (
   WHERE NOT EXISTS (FROM cur c WHERE c.issue_hash = p.issue_hash AND c.repo_path = p.repo_path))"""
 _DIFF = f"{_scan(blocks=True, lines=SNAPSHOT_LINES)}, {_COMPARED}"
 ORACLE["scan_diff_long_lines"] = f"""{_scan(('GO',), lines=PADDED_LINES)}, {_COMPARED}
-SELECT file_path, rule_id, line_start, {_SHOWN.replace('line', 'code_snippet')} AS code_snippet, status, issue_hash FROM diff"""
+SELECT file_path, rule_id, line_start, code_snippet, status, issue_hash FROM diff"""
 ORACLE["scan_diff"] = f"""{_DIFF}
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
        code_snippet, status, issue_hash FROM diff"""
@@ -621,6 +620,13 @@ SELECT scan_id, repo_path, total_issues, lag(total_issues) OVER w AS previous_is
        total_issues - lag(total_issues) OVER w AS change
 FROM scans WINDOW w AS (PARTITION BY repo_path ORDER BY ts, scan_id)"""
 
+ORACLE["trend_null_keys"] = f"""{_SCANS},
+holes AS (SELECT scan_id, CASE WHEN scan_id % 5 <> 0 THEN repo_path END AS repo_path,
+                CASE WHEN scan_id % 7 <> 0 THEN ts END AS ts, total_issues FROM scans)
+SELECT scan_id, repo_path, total_issues, lag(total_issues) OVER w AS previous_issues,
+       total_issues - lag(total_issues) OVER w AS change
+FROM holes WINDOW w AS (PARTITION BY repo_path ORDER BY ts NULLS FIRST, scan_id)"""
+
 # --- store --------------------------------------------------------------------------------
 
 _STORED = f"""{_scan(lines=SNAPSHOT_LINES)},
@@ -648,7 +654,7 @@ SELECT scan AS scan_id, repo_path, 'completed' AS status, '2024-01-15T12:00:00'
        coalesce(by_category, '') AS by_category, coalesce(by_severity, '') AS by_severity
 FROM per_files LEFT JOIN per_scan USING (scan)"""
 ORACLE["store_issues"] = f"""{_STORED}
-SELECT scan AS scan_id, repo_path, file_path, rule_id, category, severity, line_start, line_end, description FROM kept"""
+SELECT scan AS scan_id, repo_path, file_path, rule_id, category, severity, line_start, line_end, description, code_snippet FROM kept"""
 ORACLE["store_get_scan"] = f"""{_STORED}
 SELECT scan AS scan_id, 'completed' AS status, '2024-01-15T12:00:00' AS scan_date, file_path, rule_id,
        severity, line_start FROM kept WHERE scan = 'current-repo2'"""
@@ -702,6 +708,21 @@ counted AS (
   FROM requests)
 SELECT *, last_hour < 100 AND last_minute < 10 AS allowed FROM counted"""
 
+# A plain walk over the requests of all providers at once: the times let through are a list.
+ORACLE["rate_admission"] = f"""{_DENSE.replace("WITH ", "WITH RECURSIVE ", 1)},
+late AS (
+  SELECT entry_id, provider, epoch_us(ts) + 7200000000 * (entry_id // 700) AS micros FROM requests),
+turns AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY micros, entry_id) AS turn FROM late),
+walk AS (
+  SELECT provider, 0::BIGINT AS turn, 0::BIGINT AS entry_id, false AS admitted, []::BIGINT[] AS times
+  FROM (SELECT DISTINCT provider FROM turns)
+  UNION ALL
+  SELECT provider, turn, entry_id, lets, CASE WHEN lets THEN list_append(recent, micros) ELSE recent END
+  FROM (SELECT *, len(recent) < 100 AND len([x for x in recent if micros - x < 60000000]) < 10 AS lets
+        FROM (SELECT t.provider, t.turn, t.entry_id, t.micros, [x for x in w.times if t.micros - x <= 3600000000] AS recent
+              FROM walk w JOIN turns t ON t.provider = w.provider AND t.turn = w.turn + 1)))
+SELECT entry_id, provider, admitted FROM walk WHERE turn > 0"""
+
 # --- reviews ----------------------------------------------------------------------------------
 
 _ANSWERS = r"""parts AS (
@@ -813,24 +834,32 @@ _EXPORT = """SELECT category, severity, file_path AS file, CAST(line_start AS VA
        CAST(line_end AS VARCHAR) AS line_end, description, recommendation FROM issues"""
 ORACLE["export_table"] = f"{_scan()} {_EXPORT}"
 ORACLE["export_csv"] = f"{_scan(('JV', 'PY'))} {_EXPORT}"
-ORACLE["text_report"] = f"""{_scan()},
+_REPORT = """
 firsts AS (
   SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
          || chr(31) || category AS section
   FROM issues GROUP BY category),
-blocks(section, slot, file_path, line_start, rule_id, text, body) AS (
-  SELECT '', 0, '', 0, '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
+report(section, slot, file_path, line_start, rule_id, text, ordinal, body) AS (
+  SELECT '', 0, '', 0, '', '', 0, ['Code Scan Report', '================', 'Total Issues: ' || count(*),
                                 'Scan Date: 2024-01-15T12:00:00', ''] FROM issues
   UNION ALL
-  SELECT section, 1, '', 0, '', '', ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
+  SELECT section, 1, '', 0, '', '', 0, ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
   UNION ALL
   SELECT section, 2, file_path, line_start, rule_id, description,
+         row_number() OVER (PARTITION BY category, file_path, line_start, rule_id, description ORDER BY severity, recommendation)::INTEGER,
          ['[' || upper(severity) || '] ' || file_path || ':' || line_start, 'Description: ' || description,
           'Recommendation: ' || recommendation, ''] FROM issues JOIN firsts USING (category)
   UNION ALL
-  SELECT section, 3, '', 0, '', '', [''] FROM firsts)
-SELECT section, slot, file_path, line_start, rule_id, text,
-       unnest(range(len(body))) AS line_no, unnest(body) AS line FROM blocks"""
+  SELECT section, 3, '', 0, '', '', 0, [''] FROM firsts)
+"""
+_REPORT_LINES = """SELECT section, slot, file_path, line_start, rule_id, text, ordinal,
+       unnest(range(len(body))) AS line_no, unnest(body) AS line FROM report"""
+ORACLE["text_report"] = f"{_scan()},{_REPORT}{_REPORT_LINES}"
+ORACLE["report_in_order"] = f"""{_scan(('SQ',), blocks=True)},
+chosen AS (SELECT * FROM issues WHERE rule_id LIKE 'SQ%' OR rule_id = 'PY-08'),{
+    _REPORT.replace("FROM issues", "FROM chosen").replace("2024-01-15T12:00:00", "Unknown")}, printed AS ({_REPORT_LINES})
+SELECT row_number() OVER (ORDER BY section, slot, file_path, line_start, rule_id, text, ordinal, line_no) AS number, line
+FROM printed"""
 ORACLE["text_report_reviews"] = f"""{_scan(('GO', 'RS', 'JS-01'))}, {_ANSWERS}, {_NORMAL},
 reviewed AS (
   SELECT f.file_path, '' AS rule_id, CASE WHEN n.severity <> 'error' THEN n.category END AS category, n.severity,
@@ -846,17 +875,18 @@ firsts AS (
   SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
          || chr(31) || category AS section
   FROM every GROUP BY category),
-blocks(section, slot, file_path, line_start, rule_id, text, body) AS (
-  SELECT '', 0, '', 0, '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
+report(section, slot, file_path, line_start, rule_id, text, ordinal, body) AS (
+  SELECT '', 0, '', 0, '', '', 0, ['Code Scan Report', '================', 'Total Issues: ' || count(*),
                                 'Scan Date: Unknown', ''] FROM every
   UNION ALL
-  SELECT section, 1, '', 0, '', '', ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
+  SELECT section, 1, '', 0, '', '', 0, ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
   UNION ALL
   SELECT section, 2, file_path, line_start, rule_id, description,
+         row_number() OVER (PARTITION BY category, file_path, line_start, rule_id, description ORDER BY severity, recommendation)::INTEGER,
          list_filter(['[' || upper(severity) || '] ' || file_path || ':' || line_start, 'Description: ' || description,
           CASE WHEN recommendation <> '' THEN 'Recommendation: ' || recommendation END, ''], lambda x: x IS NOT NULL)
   FROM every JOIN firsts USING (category)
   UNION ALL
-  SELECT section, 3, '', 0, '', '', [''] FROM firsts)
-SELECT section, slot, file_path, line_start, rule_id, text,
-       unnest(range(len(body))) AS line_no, unnest(body) AS line FROM blocks"""
+  SELECT section, 3, '', 0, '', '', 0, [''] FROM firsts)
+SELECT section, slot, file_path, line_start, rule_id, text, ordinal,
+       unnest(range(len(body))) AS line_no, unnest(body) AS line FROM report"""

@@ -18,16 +18,17 @@ from codesieve.operators.catalog import (
     rules_from_table,
     within_first_lines,
 )
+from codesieve.operators.line_store import with_texts
 from codesieve.operators.python_blocks import python_block_issues
-from codesieve.operators.scan_rules import scan_rules
+from codesieve.operators.scan_rules import scan_rules, scan_with_context
 from codesieve.operators.secrets import secret_lines
 from codesieve.operators.snippets import context_snippets
 from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
 from codesieve.plans.corpora import spread_table, table
-from codesieve.plans.scan import scan_distinct_contents, scan_issues, scan_with_reviews
+from codesieve.plans.scan import scan_distinct_contents, scan_issues, scan_keyed, scan_with_reviews
 from codesieve.session import configure, shared_folder
-from codesieve.sources.export import export_rows, report_lines, write_csv
+from codesieve.sources.export import export_rows, numbered_report, report_lines, write_csv
 from codesieve.sources.store import ScanStore
 from codesieve.streaming.incremental import start_incremental_scan, stream_files
 
@@ -203,9 +204,15 @@ def numbered_lines(spark, sf_dir):
 
 @query
 def context_snippet(spark, sf_dir):
+    return scan_with_context(corpora.corpus_files(spark, sf_dir), _rules("JV")).select(
+        "file_path", "rule_id", "line_start", "context_start", "context_end", "context")
+
+
+@query
+def context_of_blocks(spark, sf_dir):
+    """Lines around the issues of the block rules, which are not found in the line pass."""
     files = corpora.corpus_files(spark, sf_dir)
-    issues = scan_rules(files, _rules("JV"))
-    return context_snippets(files, issues).select(
+    return context_snippets(files, python_block_issues(files)).select(
         "file_path", "rule_id", "line_start", "context_start", "context_end", "context")
 
 
@@ -368,9 +375,11 @@ def scan_diff(spark, sf_dir):
 
 @query
 def scan_diff_long_lines(spark, sf_dir):
-    """Lines of several KB that are only indented anew remain."""
-    issues = scan_rules(corpora.snapshot_files(spark, sf_dir, padded=True), _rules("GO"))
-    return diff.diff_of_sides(issues.withColumnRenamed("scan_id", "side")).select(
+    """Lines of several KB that are only indented anew remain. Their texts are joined last."""
+    files = corpora.snapshot_files(spark, sf_dir, padded=True)
+    issues, texts = scan_keyed(files, _rules("GO"), blocks=False)
+    found = diff.diff_of_sides(issues.withColumnRenamed("scan_id", "side"))
+    return with_texts(found, texts).select(
         "file_path", "rule_id", "line_start", "code_snippet", "status", "issue_hash")
 
 
@@ -410,6 +419,15 @@ def trend(spark, sf_dir):
         "scan_id", "repo_path", "total_issues", "previous_issues", "change")
 
 
+@query
+def trend_null_keys(spark, sf_dir):
+    """Scans of which some have no time, some no repository, some neither."""
+    key = F.col("scan_id")
+    scans = corpora.order_scans(spark, sf_dir).withColumns({
+        "ts": F.when(key % 7 != 0, F.col("ts")), "repo_path": F.when(key % 5 != 0, F.col("repo_path"))})
+    return history.trend(scans).select("scan_id", "repo_path", "total_issues", "previous_issues", "change")
+
+
 # --- store --------------------------------------------------------------------------
 
 def _saved_snapshots(spark: SparkSession, sf_dir: str) -> ScanStore:
@@ -439,7 +457,7 @@ def store_scans(spark, sf_dir):
 
 @query
 def store_issues(spark, sf_dir):
-    return _saved_snapshots(spark, sf_dir).issues().drop("code_snippet", "recommendation")
+    return _saved_snapshots(spark, sf_dir).issues().drop("recommendation")
 
 
 @query
@@ -513,6 +531,14 @@ def rate_audit(spark, sf_dir):
         "entry_id", "provider", "last_minute", "last_hour", "allowed")
 
 
+@query
+def rate_admission(spark, sf_dir):
+    """What the limits let through, of providers with a break of two hours now and then."""
+    late = F.expr("make_interval(0, 0, 0, 0, 2 * CAST(entry_id div 700 AS int))")
+    rows = corpora.dense_requests(spark, sf_dir).withColumn("ts", F.col("ts") + late)
+    return requests.admissions(rows).select("entry_id", "provider", "admitted")
+
+
 # --- reviews ------------------------------------------------------------------------
 
 def _answer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,6 +663,15 @@ def text_report(spark, sf_dir):
     return report_lines(issues, "2024-01-15T12:00:00").withColumn("line_no", _bigint("line_no"))
 
 
+@query
+def report_in_order(spark, sf_dir):
+    """The lines of a report by number, over issues that are equal: the same SQL statement twice in a
+    file, and ``+=`` inside two loops."""
+    files = corpora.corpus_files(spark, sf_dir)
+    issues = scan_rules(files, _rules("SQ")).unionByName(python_block_issues(files).where("rule_id = 'PY-08'"))
+    return numbered_report(issues)
+
+
 @query
 def text_report_reviews(spark, sf_dir):
     """A report over review and rule issues: no rule names in the former, and no category for

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from codesieve.operators.catalog import RULES, Rule
 from codesieve.operators.diff import scan_diff
-from codesieve.operators.python_blocks import python_block_issues
+from codesieve.operators.line_store import KEYS, distinct_texts, with_keys, with_texts
+from codesieve.operators.python_blocks import block_findings, block_issues_of, python_block_issues
 from codesieve.operators.reuse import (
     ISSUE_FIELDS,
     files_without_review,
@@ -23,7 +24,7 @@ from codesieve.operators.reuse import (
     spread_key,
 )
 from codesieve.operators.reviews import normalise
-from codesieve.operators.scan_rules import scan_rules
+from codesieve.operators.scan_rules import issues_of, rule_findings, scan_rules
 from codesieve.operators.units import file_keys
 from codesieve.session import configure, written
 from codesieve.settings import DEFAULT_EXCLUDES, MAX_FILE_BYTES
@@ -38,6 +39,20 @@ def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool
     return issues.unionByName(python_block_issues(files)) if blocks else issues
 
 
+def scan_keyed(files: DataFrame, rules: tuple[Rule, ...] = RULES,
+               blocks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The issues of ``scan_issues`` with the keys of the line store instead of their text, and the
+    texts. Lines with findings are written once, each with its text and all it was found for, so the
+    cost of an issue does not depend on the length of its line."""
+    lines = written(with_keys(rule_findings(files, rules)), "found-lines")
+    issues, texts = issues_of(lines, *KEYS), lines
+    if blocks:
+        more = written(with_keys(block_findings(files)), "found-lines")
+        issues = issues.unionByName(block_issues_of(more, *KEYS))
+        texts = texts.select("text_key", "code_snippet").unionByName(more.select("text_key", "code_snippet"))
+    return issues, distinct_texts(texts)
+
+
 def scan_distinct_contents(files: DataFrame, rules: tuple[Rule, ...] = RULES,
                            blocks: bool = True) -> DataFrame:
     """The same issues as ``scan_issues``, with each content scanned once.
@@ -77,15 +92,16 @@ def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
     scan_id = uuid.uuid4().hex
     try:
         files = read_code_files(spark, root, excludes, max_file_bytes).withColumn("scan_id", F.lit(scan_id))
+        texts = None
         if review is None:
-            issues = scan_issues(files, rules)
+            issues, texts = scan_keyed(files, rules)
         else:
             knowledge = store.knowledge()
             found = review(knowledge_misses(files, knowledge)).select("repo_path", "file_path", *ISSUE_FIELDS)
             found = written(found.withColumn("scan_id", F.lit(scan_id)), "review")
             issues = scan_with_reviews(files, knowledge, found, rules)
             store.save_knowledge(knowledge_rows(files, normalise(found), F.lit(ts)))
-        store.save_scans(files, issues, F.lit(ts))
+        store.save_scans(files, issues, F.lit(ts), texts=texts)
     except Exception as error:
         store.save_failure(scan_id, os.path.abspath(root), F.lit(ts), str(error))
         raise
@@ -93,5 +109,6 @@ def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
 
 
 def compare_scans(store: ScanStore, current: str, previous: str | None) -> DataFrame:
-    """Stored scans compared; without a previous one all issues are new."""
-    return scan_diff(store.issues(current), None if previous is None else store.issues(previous))
+    """Stored scans compared by their keys; without a previous one all issues are new."""
+    before = None if previous is None else store.keyed_issues(previous)
+    return with_texts(scan_diff(store.keyed_issues(current), before), store.texts())

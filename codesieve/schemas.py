@@ -28,7 +28,9 @@ SCANS = (
 SCAN_ISSUES = (
     "repo_path string, file_path string, rule_id string, category string, severity string, "
     "line_start int, line_end int, description string, recommendation string, "
-    "code_snippet string, scan_id string, save_id string, bucket int"
+    "text_key string, snippet_key string, scan_id string, save_id string, bucket int"
 )
 
+TEXTS = "text_key string, code_snippet string, text_bucket string"
+
 KNOWLEDGE = f"file_hash string, issues array<{ISSUE_STRUCT}>, ts timestamp, source string"

@@ -14,8 +14,6 @@ MAX_LINE_LENGTH = 120
 MIN_COMMENT_RATIO = 0.1
 MAX_JSON_CHARS = 1024 * 1024
 MAX_JSON_DEPTH = 10
-# Longest text shown with an issue; see functions.text.snippet.
-SHOWN_SNIPPET_BYTES = 4096
 
 
 # Reuse, batching and request limits.

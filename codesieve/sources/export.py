@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.session import written
@@ -37,14 +37,17 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
     """Lines of the text report with the columns that order them.
 
     Categories stand in the order of their first issue by file, line, rule and name; issues
-    without one are "Other". The report is a sorted table of lines: sorting splits a category of
+    without one are "Other". ``ordinal`` tells issues of one place and description apart, so that the
+    lines of each stay together; it is numbered within a place of a file. The report is a sorted table of lines: sorting splits a category of
     any size over tasks, where collecting its text would not. Issues are written to the shared
     folder first, so that the rules run once for counts and lines.
     """
     blank = F.lit("")
+    places = ("category", "file_path", "line_start", "rule_id", "description")
     issues = written(issues.select(
         F.coalesce("category", F.lit("Other")).alias("category"), "severity", "file_path", "line_start",
-        F.coalesce("rule_id", blank).alias("rule_id"), "description", "recommendation"), "report")
+        F.coalesce("rule_id", blank).alias("rule_id"), "description", "recommendation").withColumn(
+            "ordinal", F.row_number().over(Window.partitionBy(*places).orderBy("severity", "recommendation"))), "report")
     place = F.struct(F.coalesce("file_path", blank).alias("file_path"),
                      F.coalesce("line_start", F.lit(0)).alias("line_start"), "rule_id")
     totals = issues.groupBy("category").agg(
@@ -55,9 +58,9 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
 
     def rows(df: DataFrame, slot: int, lines: Column, section: Column = blank,
              file_path: Column = blank, line_start: Column = F.lit(0),
-             rule_id: Column = blank, text: Column = blank) -> DataFrame:
+             rule_id: Column = blank, text: Column = blank, ordinal: Column = F.lit(0)) -> DataFrame:
         places = {"section": section, "slot": F.lit(slot), "file_path": file_path,
-                  "line_start": line_start.cast("int"), "rule_id": rule_id, "text": text}
+                  "line_start": line_start.cast("int"), "rule_id": rule_id, "text": text, "ordinal": ordinal}
         return df.select(*[c.alias(n) for n, c in places.items()],
                          F.posexplode(lines).alias("line_no", "line"))
 
@@ -83,12 +86,12 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
         rows(head, 0, head_lines)
         .unionByName(rows(totals, 1, section_lines, section))
         .unionByName(rows(placed, 2, issue_lines, section, F.coalesce("file_path", blank),
-                          F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.coalesce("description", blank)))
+                          F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.coalesce("description", blank), F.col("ordinal")))
         .unionByName(rows(totals, 3, F.array(blank), section))
     )
 
 
-REPORT_ORDER = ("section", "slot", "file_path", "line_start", "rule_id", "text", "line_no")
+REPORT_ORDER = ("section", "slot", "file_path", "line_start", "rule_id", "text", "ordinal", "line_no")
 
 
 def text_report(issues: DataFrame, scan_date: str | None = None,
@@ -97,6 +100,19 @@ def text_report(issues: DataFrame, scan_date: str | None = None,
     return report_lines(issues, scan_date, title).orderBy(*REPORT_ORDER).select("line")
 
 
+def numbered_report(issues: DataFrame, scan_date: str | None = None,
+                    title: str = "Code Scan Report") -> DataFrame:
+    """The report's lines with their numbers from 1. Sorted parts are counted, one row for each, and
+    the counts of the parts before are added to the places within a part."""
+    ordered = written(text_report(issues, scan_date, title).withColumn("at", F.monotonically_increasing_id()), "report-lines")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").select(
+        (F.col("start") + place + 1).alias("number"), "line")
+
+
 def write_report(issues: DataFrame, path: str, report_format: str = "text",
                  scan_date: str | None = None, title: str = "Code Scan Report") -> None:
     """Part files that read in name order are the report. Both formats have the same text."""

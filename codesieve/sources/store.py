@@ -3,8 +3,9 @@
 A scan is saved by writing its issues under a new save id and then its header row with that id;
 only issues a header names are read. Issues lie in a fixed number of hash buckets of the scan id,
 sorted by it, so the driver lists as many folders for a million scans as for one, and a scan is
-found by bucket and by the statistics of its files. ``remove_superseded`` rewrites the buckets
-without the issues of replaced and broken saves.
+found by bucket and by the statistics of its files. Issues carry the keys of the line store; their
+texts are a table of their own, one row per text in all scans, and are joined when asked for.
+``remove_superseded`` rewrites the buckets without the issues of replaced and broken saves.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from codesieve.functions.text import iso_time
 from codesieve.operators.history import history, latest
 from codesieve.operators.inventory import detected_languages
+from codesieve.operators.line_store import KEYS, distinct_texts, with_keys, with_texts
 from codesieve.operators.reuse import latest_knowledge, spread_key
 from codesieve.operators.summary import count_map
 from codesieve.session import written
-from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, SCAN_ISSUES, SCANS
+from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, SCAN_ISSUES, SCANS, TEXTS
 from codesieve.settings import CATEGORIES, SEVERITIES
 
 VERSION = "1.2.0"
@@ -71,15 +73,20 @@ class ScanStore:
             return self.spark.createDataFrame([], schema)
 
     def save_scans(self, files: DataFrame, issues: DataFrame, ts: Column,
-                   status: str = "completed", error: str = "") -> str:
+                   status: str = "completed", error: str = "", texts: DataFrame | None = None) -> str:
         """Saves the scans of ``files`` with all their issues; a scan saved before is replaced.
 
-        Both tables carry the ``scan_id``. Headers are counted from the written issues, so the
-        scan runs once.
+        Both tables carry the ``scan_id``. Issues have their text, or its keys next to the table
+        ``texts`` (see ``plans.scan.scan_keyed``). Headers are counted from the written issues, so the scan runs once.
         """
         save_id = uuid.uuid4().hex
         path = f"{self.folder}/scan_issues"
-        rows = issues.withColumn("save_id", F.lit(save_id)).select(*ISSUE_COLUMNS, "scan_id", "save_id")
+        if texts is None:
+            issues = written(with_keys(issues), "issues")
+            texts = distinct_texts(issues)
+        self._save_texts(texts)
+        columns = [c for c in ISSUE_COLUMNS if c != "code_snippet"]
+        rows = issues.withColumn("save_id", F.lit(save_id)).select(*columns, *KEYS, "scan_id", "save_id")
         # Rebalancing gathers the rows of a bucket into few files and splits one that is too
         # large for a task.
         rows = rows.withColumn("bucket", bucket_of(F.col("scan_id")))
@@ -92,6 +99,18 @@ class ScanStore:
          .select(*columns).write.mode("append").parquet(f"{self.folder}/scans"))
         return save_id
 
+    def _save_texts(self, texts: DataFrame) -> None:
+        """Adds the texts the store does not have. Two saves at a time may both add one; readers take
+        any of them, as they are equal."""
+        texts = texts.withColumn("text_bucket", F.substring("text_key", 1, 1))
+        known = self._read("texts", TEXTS).select("text_key", "text_bucket")
+        (texts.join(known, ["text_bucket", "text_key"], "left_anti").hint("rebalance", "text_bucket")
+         .write.mode("append").partitionBy("text_bucket").parquet(f"{self.folder}/texts"))
+
+    def texts(self) -> DataFrame:
+        """text_key and code_snippet of every text."""
+        return self._read("texts", TEXTS).select("text_key", "code_snippet").dropDuplicates(["text_key"])
+
     def save_failure(self, scan_id: str, repo_path: str, ts: Column, error: str) -> None:
         """A header of a scan that broke off, with its error and no issues."""
         none = F.create_map().cast("map<string,bigint>")
@@ -115,7 +134,12 @@ class ScanStore:
         return latest(self._read("scans", SCANS), ["scan_id"], ["saved_at", "save_id"])
 
     def issues(self, scan_id: str | None = None) -> DataFrame:
-        """Issues of the valid save of each scan. Asking for one scan reads its bucket only."""
+        """Issues of the valid save of each scan, with their texts. Asking for one scan reads its bucket only."""
+        rows = with_texts(self.keyed_issues(scan_id), self.texts())
+        return rows.select(*ISSUE_COLUMNS, "scan_id")
+
+    def keyed_issues(self, scan_id: str | None = None) -> DataFrame:
+        """The same with the keys of the line store instead of the texts."""
         return self._valid_rows(scan_id).drop("save_id", "bucket")
 
     def _valid_rows(self, scan_id: str | None = None) -> DataFrame:

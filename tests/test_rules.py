@@ -215,34 +215,37 @@ def test_no_shuffle_for_line_rules(files_of, tmp_path):
     assert plan.count("Exchange ") == 1 and "Join" not in plan
 
 
-def test_long_lines_do_not_multiply(files_of):
-    """A file that is one line of many findings: issues name the line by its hash, which indenting
-    the line does not change."""
-    files = files_of({"/r/a.py": "eval(x); " * 20000, "/r/b.js": "eval(x); " * 20000, "/r/c.js": "eval(x)"})
-    issues = scan_issues(files)
-    sizes = issues.groupBy("file_path").agg(F.count("*").alias("n"), F.max(F.length("code_snippet")).alias("size"))
-    assert {r.file_path: (r.n, r.size) for r in sizes.collect()} == {
-        "/r/a.py": (20000, 71), "/r/b.js": (1, 71), "/r/c.js": (1, 7)}
+def test_long_lines_are_kept_once(files_of):
+    """A file that is one line of many findings: keyed issues are small, and the line is one text."""
+    from codesieve.plans.scan import scan_keyed
+
+    line = "eval(x); " * 20000
+    issues, texts = scan_keyed(files_of({"/r/a.py": line, "/r/b.js": line, "/r/c.js": "eval(x)"}))
+    counts = {r.file_path: r.n for r in issues.groupBy("file_path").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"/r/a.py": 20000, "/r/b.js": 1, "/r/c.js": 1}
+    assert "code_snippet" not in issues.columns and issues.select("text_key").distinct().count() == 2
+    assert sorted(r.code_snippet for r in texts.collect()) == ["eval(x)", line]
 
 
 def test_whole_text_of_long_lines(files_of):
-    """A text named by its hash is found again, each of two that differ in their indent only."""
-    from codesieve.operators.snippets import whole_snippets
+    """Issues show the whole text at any length, also when it is joined late."""
+    from codesieve.operators.line_store import with_texts
+    from codesieve.plans.scan import scan_keyed
 
     wide = "x = 'é" + "a" * 5000 + "'; "
     texts = {"/r/a.py": f"eval(y)\n{wide}eval(x)\nif z:\n    {wide}eval(x)\n", "/r/b.js": f"eval(x); {wide}\neval(x)",
-             "/r/c.sql": f"SELECT 1;\n  SELECT * FROM t\nWHERE a = '{'b' * 5000}';"}
+             "/r/c.sql": f"SELECT 1;\n  SELECT * FROM t\nWHERE a = '{'b' * 5000}';", "/r/d.json": '{"a": 1, "a": 2}'}
     files = files_of(texts)
     issues = scan_issues(files)
-    named = issues.where("code_snippet LIKE 'sha256:%'").count()
-    rows = whole_snippets(files, issues)
-    assert rows.columns == issues.columns and rows.count() == issues.count() and named >= 4
-    assert rows.drop("code_snippet").exceptAll(issues.drop("code_snippet")).count() == 0
-    for r in rows.collect():
+    rows = issues.collect()
+    assert sum(len(r.code_snippet or "") > 5000 for r in rows) >= 4
+    for r in rows:
         if r.file_path.endswith("sql"):
-            assert r.code_snippet in texts[r.file_path] and not r.code_snippet.startswith("sha256:")
-        else:
+            assert r.code_snippet in texts[r.file_path]
+        elif not r.file_path.endswith("json"):
             assert r.code_snippet == texts[r.file_path].split("\n")[r.line_start - 1]
+    late = with_texts(*scan_keyed(files)).select(*issues.columns)
+    assert sorted(map(repr, late.collect())) == sorted(map(repr, rows))
 
 
 def test_deep_loops(files_of):

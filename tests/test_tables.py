@@ -1,7 +1,7 @@
 """Diff, history, reuse, batches, answers, requests, store, exports."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
@@ -94,6 +94,51 @@ def test_rate_audit(spark):
         assert found[i].allowed == (hour < 100 and minute < 10)
 
 
+def plain_admissions(rows, per_minute, per_hour):
+    """{id: admitted}: one loop over each provider's requests by time and id."""
+    held, out = defaultdict(list), {}
+    for i, provider, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        times = held[provider] = [t for t in held[provider] if ts - t <= timedelta(hours=1)]
+        out[i] = len(times) < per_hour and sum(ts - t < timedelta(minutes=1) for t in times) < per_minute
+        if out[i]:
+            times.append(ts)
+    return out
+
+
+@pytest.mark.parametrize("per_minute, per_hour", [(10, 100), (3, 7), (1, 1), (5, 2), (0, 5)])
+def test_admissions(spark, per_minute, per_hour):
+    """Dense requests, many at one instant, with gaps about the limits and a hot provider."""
+    rng = random.Random(per_minute)
+    gaps = [0, 0, 0, 1, 59_999_999, 60_000_000, 3_599_999_999, 3_600_000_000, 3_600_000_001]
+    rows, at = [], datetime(2024, 1, 1, 23, 30)
+    for i in rng.sample(range(2500), 2500):
+        at = at + timedelta(microseconds=rng.choice(gaps) if rng.random() < 0.1 else rng.randrange(12_000_000))
+        rows.append((i, rng.choice(["hot", "hot", "cold", None]), at))
+    log = spark.createDataFrame([*rows, (9999, "hot", None)], "entry_id long, provider string, ts timestamp")
+    found = {r.entry_id: r.admitted for r in requests.admissions(
+        log, per_minute=per_minute, per_hour=per_hour).collect()}
+    assert found.pop(9999) is False
+    assert found == plain_admissions(rows, per_minute, per_hour)
+    assert requests.admissions(log.limit(0)).count() == 0
+
+
+def test_trend_of_any_keys(spark):
+    """Null times and repositories, and a day that fills many parts."""
+    rng = random.Random(5)
+    day = datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, day, day + timedelta(hours=rng.randrange(40))]),
+             rng.choice([None, 1, 5, 9])) for i in range(900)]
+    scans = spark.createDataFrame(rows, "scan_id long, repo_path string, ts timestamp, total_issues long")
+    found = {r.scan_id: r for r in history.trend(scans).collect()}
+    last = {}
+    for i, repo, ts, total in sorted(rows, key=lambda r: (r[2] is not None, r[2] or day, r[0])):
+        before = last.get(repo)
+        change = None if total is None or before is None else total - before
+        assert (found[i].repo_path, found[i].previous_issues, found[i].change) == (repo, before, change)
+        last[repo] = total
+    assert len(found) == len(rows)
+
+
 def greedy(sizes, max_files=5, max_tokens=6000):
     batch, files, tokens, out = 0, 0, 0, []
     for size in sizes:
