@@ -47,19 +47,19 @@ def masked_text(content: Column) -> Column:
     return F.array_join(F.transform(tokens, mask), "")
 
 
-def _python_lines(files: DataFrame, keys: list[str]) -> DataFrame:
+def _python_lines(files: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     raw, masked = F.split("content", "\n"), F.split(masked_text(F.col("content")), "\n")
     # Files are brought to their tasks whole: the shuffle has a row per file, and the windows over
     # its lines need no other.
+    rows = files.where((F.col("language") == "python") & (F.col("content") != "")).select(*keys, "content")
     return (
-        files.where((F.col("language") == "python") & (F.col("content") != "")).select(*keys, "content")
-        .repartition(*keys)
+        (rows.repartition(*keys) if spread else rows)
         .select(*keys, F.posexplode(F.arrays_zip(raw.alias("raw"), masked.alias("masked"))))
         .select(*keys, (F.col("pos") + 1).alias("line_no"), "col.raw", "col.masked")
     )
 
 
-def logical_lines(files: DataFrame) -> DataFrame:
+def logical_lines(files: DataFrame, spread: bool = True) -> DataFrame:
     """One row per statement line: its number ``k``, first and last physical line, indent,
     kind of header, signature if it is a function, number of ``+=`` and its eval/exec calls."""
     keys = file_keys(files)
@@ -68,7 +68,7 @@ def logical_lines(files: DataFrame) -> DataFrame:
                    F.regexp_extract_all(masked, F.lit(CALL), F.lit(1)))
     # Raw text goes along only where an issue may show it: the shuffle carries half as much.
     shown = masked.rlike(r"\+=|\b(?:eval|exec|def|except)\b")
-    lines = _python_lines(files, keys).withColumns({
+    lines = _python_lines(files, keys, spread).withColumns({
         "raw": F.when(shown, F.col("raw")),
         "balance": F.regexp_count(masked, F.lit(r"[(\[{]")) - F.regexp_count(masked, F.lit(r"[)\]}]")),
         "quotes": F.regexp_count(masked, F.lit('"')),
@@ -228,11 +228,12 @@ def _with_loop_depth(blocks: DataFrame, keys: list[str]) -> DataFrame:
             .where(~is_loop))
 
 
-def block_findings(files: DataFrame) -> DataFrame:
-    """Lines with findings of the block rules: the text once, and ``found``, an array of them."""
+def block_findings(files: DataFrame, spread: bool = True) -> DataFrame:
+    """Lines with findings of the block rules: the text once, and ``found``, an array of them.
+    ``spread=False`` is for files that lie in buckets by their key and need not be moved."""
     keys = file_keys(files)
     rules = {r.rule_id: r for r in BLOCK_RULES}
-    rows = _with_loop_depth(_blocks(logical_lines(files), keys), keys)
+    rows = _with_loop_depth(_blocks(logical_lines(files, spread), keys), keys)
     name = F.regexp_extract("statement", FUNCTION, 1)
     is_def = (F.col("what") == "open") & (F.col("kind") == DEF)
     rows = rows.withColumns({
@@ -288,7 +289,7 @@ def block_issues_of(rows: DataFrame, *texts: str) -> DataFrame:
     return issues.select(*keys, *[c for c in ISSUE_COLUMNS if c not in (*keys, "code_snippet")], *texts)
 
 
-def python_block_issues(files: DataFrame) -> DataFrame:
+def python_block_issues(files: DataFrame, spread: bool = True) -> DataFrame:
     """Issues of the block rules: dangerous calls, bare handlers, mutable defaults, long and
     wide functions, ``+=`` in loops. ``+=`` is reported once per loop around it."""
-    return block_issues_of(block_findings(files), "code_snippet")
+    return block_issues_of(block_findings(files, spread), "code_snippet")

@@ -36,15 +36,16 @@ def knowledge_hits(files: DataFrame, knowledge: DataFrame) -> DataFrame:
 
 
 def knowledge_misses(files: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Files whose content is not known. Only hashes of the knowledge are shuffled."""
+    """Files whose content is not known. Of the knowledge only hashes are shuffled; of the files all
+    columns given, so give keys where contents are large (``sources.contents.split_files``)."""
     known = knowledge.select(F.col("file_hash").alias("content_hash")).distinct()
     return files.join(spread_key(known, "content_hash"), "content_hash", "left_anti").select(*files.columns)
 
 
 def one_per_content(files: DataFrame, *also: str) -> DataFrame:
     """One file of each distinct content (and ``also`` columns), the first by path. Copies never
-    meet in one task: the choice is an aggregate over paths, and contents are not shuffled for
-    it."""
+    meet in one task: the choice is an aggregate over paths. The rows given are shuffled to meet
+    it; ``sources.contents`` has contents once without that."""
     keys = file_keys(files)
     chosen = files.groupBy("content_hash", *also).agg(
         F.min(F.struct(*keys)).alias("chosen")).select("chosen.*")

@@ -839,27 +839,27 @@ firsts AS (
   SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
          || chr(31) || category AS section
   FROM issues GROUP BY category),
-report(section, slot, file_path, line_start, rule_id, text, ordinal, body) AS (
-  SELECT '', 0, '', 0, '', '', 0, ['Code Scan Report', '================', 'Total Issues: ' || count(*),
+report(section, slot, file_path, line_start, rule_id, text, rest, body) AS (
+  SELECT '', 0, '', 0, '', '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
                                 'Scan Date: 2024-01-15T12:00:00', ''] FROM issues
   UNION ALL
-  SELECT section, 1, '', 0, '', '', 0, ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
+  SELECT section, 1, '', 0, '', '', '', ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
   UNION ALL
   SELECT section, 2, file_path, line_start, rule_id, description,
-         row_number() OVER (PARTITION BY category, file_path, line_start, rule_id, description ORDER BY severity, recommendation)::INTEGER,
+         severity || chr(31) || recommendation,
          ['[' || upper(severity) || '] ' || file_path || ':' || line_start, 'Description: ' || description,
           'Recommendation: ' || recommendation, ''] FROM issues JOIN firsts USING (category)
   UNION ALL
-  SELECT section, 3, '', 0, '', '', 0, [''] FROM firsts)
+  SELECT section, 3, '', 0, '', '', '', [''] FROM firsts)
 """
-_REPORT_LINES = """SELECT section, slot, file_path, line_start, rule_id, text, ordinal,
+_REPORT_LINES = """SELECT section, slot, file_path, line_start, rule_id, text, rest,
        unnest(range(len(body))) AS line_no, unnest(body) AS line FROM report"""
 ORACLE["text_report"] = f"{_scan()},{_REPORT}{_REPORT_LINES}"
 ORACLE["report_in_order"] = f"""{_scan(('SQ',), blocks=True)},
 chosen AS (SELECT * FROM issues WHERE rule_id LIKE 'SQ%' OR rule_id = 'PY-08'),{
-    _REPORT.replace("FROM issues", "FROM chosen").replace("2024-01-15T12:00:00", "Unknown")}, printed AS ({_REPORT_LINES})
-SELECT row_number() OVER (ORDER BY section, slot, file_path, line_start, rule_id, text, ordinal, line_no) AS number, line
-FROM printed"""
+    _REPORT.replace("FROM issues", "FROM chosen").replace("2024-01-15T12:00:00", "Unknown")}, placed AS (SELECT *, row_number() OVER (ORDER BY section, slot, file_path, line_start, rule_id, text, rest) AS block FROM report),
+printed AS (SELECT block, unnest(range(len(body))) AS line_no, unnest(body) AS line FROM placed)
+SELECT row_number() OVER (ORDER BY block, line_no) AS number, line FROM printed"""
 ORACLE["text_report_reviews"] = f"""{_scan(('GO', 'RS', 'JS-01'))}, {_ANSWERS}, {_NORMAL},
 reviewed AS (
   SELECT f.file_path, '' AS rule_id, CASE WHEN n.severity <> 'error' THEN n.category END AS category, n.severity,
@@ -875,18 +875,18 @@ firsts AS (
   SELECT category, count(*) AS n, min(file_path || chr(31) || printf('%010d', line_start) || chr(31) || rule_id)
          || chr(31) || category AS section
   FROM every GROUP BY category),
-report(section, slot, file_path, line_start, rule_id, text, ordinal, body) AS (
-  SELECT '', 0, '', 0, '', '', 0, ['Code Scan Report', '================', 'Total Issues: ' || count(*),
+report(section, slot, file_path, line_start, rule_id, text, rest, body) AS (
+  SELECT '', 0, '', 0, '', '', '', ['Code Scan Report', '================', 'Total Issues: ' || count(*),
                                 'Scan Date: Unknown', ''] FROM every
   UNION ALL
-  SELECT section, 1, '', 0, '', '', 0, ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
+  SELECT section, 1, '', 0, '', '', '', ['Category: ' || upper(category), repeat('-', length(category) + 10)] FROM firsts
   UNION ALL
   SELECT section, 2, file_path, line_start, rule_id, description,
-         row_number() OVER (PARTITION BY category, file_path, line_start, rule_id, description ORDER BY severity, recommendation)::INTEGER,
+         severity || chr(31) || recommendation,
          list_filter(['[' || upper(severity) || '] ' || file_path || ':' || line_start, 'Description: ' || description,
           CASE WHEN recommendation <> '' THEN 'Recommendation: ' || recommendation END, ''], lambda x: x IS NOT NULL)
   FROM every JOIN firsts USING (category)
   UNION ALL
-  SELECT section, 3, '', 0, '', '', 0, [''] FROM firsts)
-SELECT section, slot, file_path, line_start, rule_id, text, ordinal,
+  SELECT section, 3, '', 0, '', '', '', [''] FROM firsts)
+SELECT section, slot, file_path, line_start, rule_id, text, rest,
        unnest(range(len(body))) AS line_no, unnest(body) AS line FROM report"""

@@ -660,7 +660,7 @@ def export_csv(spark, sf_dir):
 @query
 def text_report(spark, sf_dir):
     issues = scan_rules(corpora.corpus_files(spark, sf_dir))
-    return report_lines(issues, "2024-01-15T12:00:00").withColumn("line_no", _bigint("line_no"))
+    return report_lines(issues, "2024-01-15T12:00:00").withColumn("line_no", _bigint("line_no")).drop("ordinal")
 
 
 @query
@@ -679,4 +679,4 @@ def text_report_reviews(spark, sf_dir):
     rules = scan_rules(corpora.corpus_files(spark, sf_dir), _rules("GO", "RS", "JS-01"))
     issues = reuse.overlay(_answer_issues(spark, sf_dir), rules).withColumn(
         "category", F.when(F.col("severity") != "error", F.col("category")))
-    return report_lines(issues).withColumn("line_no", _bigint("line_no"))
+    return report_lines(issues).withColumn("line_no", _bigint("line_no")).drop("ordinal")

@@ -20,23 +20,25 @@ from codesieve.operators.reuse import (
     knowledge_hits,
     knowledge_misses,
     knowledge_rows,
-    one_per_content,
+    latest_knowledge,
     spread_key,
 )
 from codesieve.operators.reviews import normalise
 from codesieve.operators.scan_rules import issues_of, rule_findings, scan_rules
-from codesieve.operators.units import file_keys
+from codesieve.operators.units import FILE_KEYS, file_keys
 from codesieve.session import configure, written
 from codesieve.settings import DEFAULT_EXCLUDES, MAX_FILE_BYTES
 from codesieve.sources.code_files import read_code_files
+from codesieve.sources.contents import SplitFiles, split_files
 from codesieve.sources.store import ScanStore
 
 
-def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool = True) -> DataFrame:
+def scan_issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, blocks: bool = True,
+                spread: bool = True) -> DataFrame:
     """Issues of all rules over a table of files. Empty files have none."""
     configure(files.sparkSession)
     issues = scan_rules(files, rules)
-    return issues.unionByName(python_block_issues(files)) if blocks else issues
+    return issues.unionByName(python_block_issues(files, spread)) if blocks else issues
 
 
 def scan_keyed(files: DataFrame, rules: tuple[Rule, ...] = RULES,
@@ -57,26 +59,42 @@ def scan_distinct_contents(files: DataFrame, rules: tuple[Rule, ...] = RULES,
                            blocks: bool = True) -> DataFrame:
     """The same issues as ``scan_issues``, with each content scanned once.
 
-    Rules look at language and content only, so copies have equal issues. They are found for
-    the first copy and joined to all; a content that a third of all files share is spread.
+    Rules look at language and content only, so copies have equal issues. Contents are written in
+    buckets and scanned where they lie; their issues are joined to all files that have them.
     """
-    keys, content = file_keys(files), ["content_hash", "language"]
-    once = one_per_content(files, "language")
-    found = scan_issues(once, rules, blocks).join(once.select(*keys, *content), keys).drop(*keys)
-    copies = files.select(*keys, *content).join(spread_key(found, "content_hash"), content)
-    return copies.drop(*content)
+    split = split_files(files)
+    return _scan_split(split, split.keys, rules, blocks)
+
+
+def _scan_split(split: SplitFiles, keys: DataFrame, rules: tuple[Rule, ...], blocks: bool = True) -> DataFrame:
+    """Issues of the files ``keys`` names. A content that a third of them share is spread."""
+    once = split.of_keys(keys).select(F.lit("").alias("repo_path"), F.col("content_key").alias("file_path"), "language", "content")
+    found = scan_issues(once, rules, blocks, spread=False)
+    fields = [c for c in found.columns if c not in FILE_KEYS]
+    found = found.select(F.col("file_path").alias("content_key"), *fields)
+    named = keys.select(*file_keys(keys), "content_key")
+    return named.join(spread_key(found, "content_key"), "content_key").select(*file_keys(keys), *fields)
 
 
 def scan_with_reviews(files: DataFrame, knowledge: DataFrame, review_issues: DataFrame,
                       rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each file by the first that applies: findings known for its content, a review that found
-    something, the rules. Known contents without findings count as known."""
-    keys = file_keys(files)
-    known = knowledge_hits(files, knowledge).drop("content_hash")
-    unknown = knowledge_misses(files, knowledge)
-    reviewed = normalise(review_issues).join(unknown.select(*keys), keys, "left_semi")
+    something, the rules. Known contents without findings count as known. It is decided by keys and
+    hashes; only then contents are read, those of the files that are left to the rules."""
+    return _scan_split_with_reviews(split_files(files), knowledge, review_issues, rules)
+
+
+def _scan_split_with_reviews(split: SplitFiles, knowledge: DataFrame, review_issues: DataFrame,
+                             rules: tuple[Rule, ...]) -> DataFrame:
+    keys = file_keys(split.keys)
+    # Written once: hits, misses and reviews are read from them several times.
+    knowledge = written(latest_knowledge(knowledge), "knowledge")
+    reviews = written(normalise(review_issues), "reviews")
+    known = knowledge_hits(split.keys, knowledge).drop("content_hash")
+    unknown = written(knowledge_misses(split.keys, knowledge), "unknown")
+    reviewed = reviews.join(unknown.select(*keys), keys, "left_semi")
     rest = files_without_review(unknown, reviewed)
-    return known.unionByName(reviewed).unionByName(scan_issues(rest, rules), allowMissingColumns=True)
+    return known.unionByName(reviewed).unionByName(_scan_split(split, rest, rules), allowMissingColumns=True)
 
 
 def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
@@ -96,10 +114,11 @@ def run_scan(spark: SparkSession, root: str, store: ScanStore, ts: datetime,
         if review is None:
             issues, texts = scan_keyed(files, rules)
         else:
-            knowledge = store.knowledge()
-            found = review(knowledge_misses(files, knowledge)).select("repo_path", "file_path", *ISSUE_FIELDS)
+            knowledge, split = store.knowledge(), split_files(files)
+            unknown = split.with_contents(knowledge_misses(split.keys, knowledge))
+            found = review(unknown).select("repo_path", "file_path", *ISSUE_FIELDS)
             found = written(found.withColumn("scan_id", F.lit(scan_id)), "review")
-            issues = scan_with_reviews(files, knowledge, found, rules)
+            issues = _scan_split_with_reviews(split, knowledge, found, rules)
             store.save_knowledge(knowledge_rows(files, normalise(found), F.lit(ts)))
         store.save_scans(files, issues, F.lit(ts), texts=texts)
     except Exception as error:

@@ -37,17 +37,16 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
     """Lines of the text report with the columns that order them.
 
     Categories stand in the order of their first issue by file, line, rule and name; issues
-    without one are "Other". ``ordinal`` tells issues of one place and description apart, so that the
-    lines of each stay together; it is numbered within a place of a file. The report is a sorted table of lines: sorting splits a category of
+    without one are "Other". ``ordinal``, the number an issue is written with, keeps the lines of equal
+    issues together. The report is a sorted table of lines: sorting splits a category of
     any size over tasks, where collecting its text would not. Issues are written to the shared
     folder first, so that the rules run once for counts and lines.
     """
     blank = F.lit("")
-    places = ("category", "file_path", "line_start", "rule_id", "description")
     issues = written(issues.select(
         F.coalesce("category", F.lit("Other")).alias("category"), "severity", "file_path", "line_start",
-        F.coalesce("rule_id", blank).alias("rule_id"), "description", "recommendation").withColumn(
-            "ordinal", F.row_number().over(Window.partitionBy(*places).orderBy("severity", "recommendation"))), "report")
+        F.coalesce("rule_id", blank).alias("rule_id"), "description", "recommendation",
+        F.monotonically_increasing_id().alias("ordinal")), "report")
     place = F.struct(F.coalesce("file_path", blank).alias("file_path"),
                      F.coalesce("line_start", F.lit(0)).alias("line_start"), "rule_id")
     totals = issues.groupBy("category").agg(
@@ -58,9 +57,11 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
 
     def rows(df: DataFrame, slot: int, lines: Column, section: Column = blank,
              file_path: Column = blank, line_start: Column = F.lit(0),
-             rule_id: Column = blank, text: Column = blank, ordinal: Column = F.lit(0)) -> DataFrame:
+             rule_id: Column = blank, text: Column = blank, rest: Column = blank,
+             ordinal: Column = F.lit(0)) -> DataFrame:
         places = {"section": section, "slot": F.lit(slot), "file_path": file_path,
-                  "line_start": line_start.cast("int"), "rule_id": rule_id, "text": text, "ordinal": ordinal}
+                  "line_start": line_start.cast("int"), "rule_id": rule_id, "text": text, "rest": rest,
+                  "ordinal": ordinal.cast("long")}
         return df.select(*[c.alias(n) for n, c in places.items()],
                          F.posexplode(lines).alias("line_no", "line"))
 
@@ -86,12 +87,13 @@ def report_lines(issues: DataFrame, scan_date: str | None = None,
         rows(head, 0, head_lines)
         .unionByName(rows(totals, 1, section_lines, section))
         .unionByName(rows(placed, 2, issue_lines, section, F.coalesce("file_path", blank),
-                          F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.coalesce("description", blank), F.col("ordinal")))
+                          F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.coalesce("description", blank),
+                          F.concat_ws("\x1f", "severity", "recommendation"), F.col("ordinal")))
         .unionByName(rows(totals, 3, F.array(blank), section))
     )
 
 
-REPORT_ORDER = ("section", "slot", "file_path", "line_start", "rule_id", "text", "ordinal", "line_no")
+REPORT_ORDER = ("section", "slot", "file_path", "line_start", "rule_id", "text", "rest", "ordinal", "line_no")
 
 
 def text_report(issues: DataFrame, scan_date: str | None = None,

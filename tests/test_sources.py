@@ -181,3 +181,33 @@ def test_run_with_review(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         run_scan(spark, str(root), store, datetime(2024, 1, 3), review=lambda files: 1 // 0)
     assert [r.status for r in store.history().collect()] == ["failed", "completed", "completed"]
+
+
+def test_contents_stay_in_their_buckets(spark, files_of):
+    """Decisions move keys, never contents, with copies, empty and null contents, with broadcasts off."""
+    import re
+
+    from codesieve.plans.scan import scan_distinct_contents, scan_issues
+    from codesieve.sources.contents import split_files
+
+    texts = {f"/r/a{i}.py": "def f(a=[]):\n    x = eval(a)\n" for i in range(20)} | {
+        "/r/b.js": "eval(x)", "/r/c.js": "", "/r/d.js": None, "/r/e.rs": "a.unwrap()"}
+    files = files_of(texts)
+    split = split_files(files, buckets=3)
+    assert split.keys.count() == len(texts) and "content" not in split.keys.columns
+    back = {r.file_path: r.content for r in split.with_contents(split.keys).collect()}
+    assert back == {p: t for p, t in texts.items() if t is not None}
+    assert split.of_keys(split.keys).count() == 4
+    assert spark.sql("SHOW TABLES").where("tableName LIKE 'contents_%'").count() == 0
+    plain, once = scan_issues(files), scan_distinct_contents(files)
+    assert sorted(map(repr, once.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = scan_distinct_contents(files)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert moved and not any(c.split("#")[0].strip() == "content" for line in moved for c in line.split(","))
+    assert scan_distinct_contents(files.limit(0)).count() == 0
