@@ -1,7 +1,6 @@
 """Files of source trees as a table.
 
-Reading has two steps. A listing source walks directories in tasks and yields names, sizes and
-times. The scan filters run on that listing, and only then are contents read, spread evenly
+Reading has two steps. Rounds of tasks open directories and write names, sizes and times. The scan filters run on that listing, and only then are contents read, spread evenly
 over tasks. A tree must be reachable from every executor under the same path.
 """
 
@@ -10,15 +9,15 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from string import ascii_lowercase
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from codesieve.functions.paths import dotted_extension
 from codesieve.functions.text import content_hash, decode_text
@@ -28,78 +27,77 @@ from codesieve.session import shared_folder
 from codesieve.settings import DEFAULT_EXCLUDES, MAX_FILE_BYTES, PRUNED_DIRECTORIES
 
 DEFAULT_LISTING_TASKS = 256
+#: Directories a task opens before it leaves the others to the next round.
+OPENED_AT_ONCE = 512
+LISTED_NAMES = [column.split()[0] for column in FILE_LISTING.split(", ")]
+LISTED_TYPES = [pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC")]
 READ_BYTES = 16 * 1024 * 1024
 
 
-class Folders(InputPartition):
-    """Directories one task lists: (path, deep), deep for the whole tree below it."""
-
-    def __init__(self, folders: list[tuple[str, bool]]) -> None:
-        super().__init__(None)
-        self.folders = folders
-
-
-class FileListingReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.root = os.path.abspath(options["path"])
-        self.tasks = int(options.get("tasks", DEFAULT_LISTING_TASKS))
-        self.prune = set(filter(None, options.get("prune", "").split(",")))
-
-    def _children(self, path: str) -> list[str]:
-        try:
-            with os.scandir(path) as entries:
-                return sorted(e.path for e in entries
-                              if e.is_dir(follow_symlinks=False) and e.name not in self.prune)
-        except OSError:
-            return []
-
-    def partitions(self) -> list[Folders]:
-        """Opens directories level by level until there are enough to share out. The driver
-        sees names of directories of the upper levels only, no file."""
-        opened, frontier = [], [self.root]
-        while frontier and len(opened) + len(frontier) < self.tasks:
-            opened += frontier
-            frontier = [child for path in frontier for child in self._children(path)]
-        folders = [(p, False) for p in opened] + [(p, True) for p in frontier]
-        return [Folders(folders[i::self.tasks]) for i in range(min(self.tasks, len(folders)))]
-
-    def read(self, partition: Folders) -> Iterator[tuple]:
-        for path, deep in partition.folders:
-            yield from self._list(path, deep)
-
-    def _list(self, top: str, deep: bool) -> Iterator[tuple]:
-        for folder, names, files in os.walk(top):
-            names[:] = [n for n in names if n not in self.prune] if deep else []
-            for name in files:
-                path = os.path.join(folder, name)
-                try:
-                    info = os.stat(path)
-                except OSError:
-                    continue
-                yield (self.root, path, os.path.relpath(path, self.root), info.st_size,
-                       datetime.fromtimestamp(info.st_mtime, timezone.utc))
-
-
-class FileListingSource(DataSource):
-    """``spark.read.format("file_listing").load(root)``. Lists names Spark's own file sources
-    skip (leading dot or underscore) and empty files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_listing"
-
-    def schema(self) -> str:
-        return FILE_LISTING
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return FileListingReader(self.options)
+def _listed(root: str, prune: frozenset[str], most: int):
+    """For a task's directories: rows of the files they hold, and of directories left for a next round."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo, opened, rows = deque(), 0, []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, LISTED_TYPES)], ["is_dir", *LISTED_NAMES])
+
+        for given in batches:
+            todo.extend(given.column(0).to_pylist())
+        while todo and opened < most:
+            opened += 1
+            folder = todo.popleft()
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if e.is_dir():
+                            if e.name not in prune and not e.is_symlink():
+                                todo.append(e.path)
+                            continue
+                        try:
+                            info = os.stat(e.path)
+                        except OSError:
+                            continue
+                        rows.append((False, root, e.path, os.path.relpath(e.path, root), info.st_size,
+                                     datetime.fromtimestamp(info.st_mtime, timezone.utc)))
+                        if len(rows) >= 10_000:
+                            yield batch()
+            except OSError:
+                continue
+        for folder in todo:
+            rows.append((True, root, folder, None, None, None))
+            if len(rows) >= 10_000:
+                yield batch()
+        yield batch()
+
+    return expand
 
 
 def list_files(spark: SparkSession, root: str, tasks: int = DEFAULT_LISTING_TASKS,
-               prune: Iterable[str] = PRUNED_DIRECTORIES) -> DataFrame:
-    spark.dataSource.register(FileListingSource)
-    return (spark.read.format("file_listing").option("tasks", tasks)
-            .option("prune", ",".join(prune)).load(root))
+               prune: Iterable[str] = PRUNED_DIRECTORIES, most: int = OPENED_AT_ONCE) -> DataFrame:
+    """Names, sizes and times of all files below ``root``, names with a leading dot or underscore and
+    empty files too; links to directories are not followed, and what cannot be read is left out.
+
+    The tree is opened in rounds. Each spreads the directories found so far over the tasks; a task opens
+    at most ``most`` of them and those they hold, and leaves the rest to the next round. So neither a
+    deep subtree nor a directory of many others stays in one task, and the driver sees the root only.
+    """
+    root = os.path.abspath(root)
+    schema = f"is_dir boolean, {FILE_LISTING}"
+    expand = _listed(root, frozenset(prune), most)
+    frontier, folders = spark.createDataFrame([(root,)], "file_path string"), []
+    while True:
+        folders.append(f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}")
+        # Dealt by hash: directories of one parent go to different tasks.
+        (frontier.repartition(tasks if len(folders) > 1 else 1, "file_path").mapInArrow(expand, schema)
+         .write.parquet(folders[-1]))
+        frontier = spark.read.schema(schema).parquet(folders[-1]).where("is_dir").select("file_path")
+        if frontier.isEmpty():
+            return spark.read.schema(schema).parquet(*folders).where("NOT is_dir").drop("is_dir")
 
 
 def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -211,3 +211,28 @@ def test_contents_stay_in_their_buckets(spark, files_of):
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
     assert moved and not any(c.split("#")[0].strip() == "content" for line in moved for c in line.split(","))
     assert scan_distinct_contents(files.limit(0)).count() == 0
+
+
+def test_listing_in_rounds(spark, tmp_path):
+    """A long chain and a wide directory, opened a few directories at a time, with links and names of
+    any kind; the rounds give what a walk gives."""
+    deep = tmp_path
+    for i in range(60):
+        deep = deep / f"d{i}"
+    deep.mkdir(parents=True)
+    (deep / "last.py").write_text("x")
+    for i in range(300):
+        (tmp_path / "wide" / f"w{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{i}" / ".f é.py").write_text("y" * i)
+    (tmp_path / "wide" / "loop").symlink_to(tmp_path)
+    (tmp_path / "wide" / "w0" / "link.py").symlink_to(deep / "last.py")
+    (tmp_path / "wide" / "w0" / "broken.py").symlink_to(tmp_path / "none")
+    want = {(os.path.relpath(os.path.join(f, n), tmp_path), os.stat(os.path.join(f, n)).st_size)
+            for f, _, names in os.walk(tmp_path) for n in names if os.path.exists(os.path.join(f, n))}
+    for most in (7, 1000):
+        rows = list_files(spark, str(tmp_path), tasks=8, prune=(), most=most)
+        found = [(r.rel_path, r.size_bytes) for r in rows.collect()]
+        assert len(found) == len(set(found)) == 302 and set(found) == want
+    assert list_files(spark, str(tmp_path / "none")).count() == 0
+    parts = list_files(spark, str(tmp_path), tasks=8, prune=("d0",), most=7).select(F.spark_partition_id()).distinct().count()
+    assert parts > 1
