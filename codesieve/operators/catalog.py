@@ -15,6 +15,7 @@ table as well as from code.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -81,6 +82,8 @@ class Rule:
     predicate: str | Callable[[], Column]
     scope: str = "line"
     detail: str | None = None
+    #: Lines that follow a line and its predicate may read as ``ahead``.
+    ahead: int = 0
 
     def __post_init__(self) -> None:
         if self.category not in CATEGORIES or self.severity not in SEVERITIES:
@@ -363,6 +366,9 @@ OPTIONAL_RULES: tuple[Rule, ...] = (
 )
 
 
+SCOPES = ("line", "statement", "key", "file", "block")
+
+
 def register_rule(
     rule_id: str,
     language: str,
@@ -373,15 +379,29 @@ def register_rule(
     predicate: str | Callable[[], Column],
     scope: str = "line",
     rules: tuple[Rule, ...] = RULES,
+    ahead: int = 0,
 ) -> tuple[Rule, ...]:
     """``rules`` with one more rule. The predicate is an SQL expression, or a function that makes a
-    column, over ``text``, ``line_no``, ``prev_line`` and the file flags."""
+    column, over ``text``, ``line_no``, ``prev_line`` and the file flags.
+
+    Scopes are ``line``, ``statement`` (SQL), ``key`` (repeated keys of JSON, as ``text``), ``file`` and
+    ``block`` (Python; ``kind``, ``name``, ``body`` and more, see ``python_blocks.block_units``). A line
+    rule with ``ahead`` reads that many following lines, joined by newlines, as ``ahead``; a function that
+    makes a column finds at least as many in the array ``ahead``.
+    """
+    if ahead and (scope != "line" or ahead < 0):
+        raise ValueError("only a line rule looks ahead")
+    if ahead and isinstance(predicate, str):
+        predicate = re.sub(r"\bahead\b", f"array_join(slice(ahead, 1, {int(ahead)}), '\\\\n')", predicate)
     if any(r.rule_id == rule_id for r in rules + BLOCK_RULES):
         raise ValueError(f"rule {rule_id} exists")
-    if scope not in ("line", "statement", "file"):
+    if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope}")
+    only = {"statement": "sql", "key": "json", "block": "python"}.get(scope, language)
+    if language != only:
+        raise ValueError(f"scope {scope} is of {only} files")
     return rules + (
-        Rule(rule_id, language, category, severity, description, recommendation, predicate, scope),
+        Rule(rule_id, language, category, severity, description, recommendation, predicate, scope, ahead=ahead),
     )
 
 
@@ -389,18 +409,20 @@ MOST_TABLE_RULES = 1000
 
 
 def rules_from_table(table: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """``rules`` with the rows of a configuration table; its predicates are SQL expressions.
+    """``rules`` with the rows of a configuration table; its predicates are SQL expressions. A column
+    ``ahead`` gives the lines a rule looks ahead.
 
     A rule becomes part of the plan, so the table is read when the plan is made. It is a
     configuration table of at most MOST_TABLE_RULES rows, which is checked.
     """
     columns = ("rule_id", "language", "category", "severity", "description", "recommendation",
                "predicate", "scope")
-    rows = table.select(*columns).orderBy("rule_id").limit(MOST_TABLE_RULES + 1).collect()
+    ahead = F.col("ahead") if "ahead" in table.columns else F.lit(0)
+    rows = table.select(*columns, F.coalesce(ahead, F.lit(0)).alias("ahead")).orderBy("rule_id").limit(MOST_TABLE_RULES + 1).collect()
     if len(rows) > MOST_TABLE_RULES:
         raise ValueError(f"more than {MOST_TABLE_RULES} rules")
     for row in rows:
-        rules = register_rule(*row, rules=rules)
+        rules = register_rule(*row[:-1], rules=rules, ahead=row["ahead"])
     return rules
 
 

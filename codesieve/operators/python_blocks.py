@@ -228,6 +228,24 @@ def _with_loop_depth(blocks: DataFrame, keys: list[str]) -> DataFrame:
             .where(~is_loop))
 
 
+def block_units(files: DataFrame) -> DataFrame:
+    """Python blocks as units of scope ``block`` for rules of a user: ``kind`` (function, loop or
+    except), ``name`` of a function, ``text`` of the header's first line, ``line_no`` and ``line_end``, and
+    ``body``, the lines from the header to the end with comments dropped and strings emptied."""
+    keys = file_keys(files)
+    kinds = {DEF: "function", LOOPING: "loop", EXCEPT: "except"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind"))
+    blocks = _blocks(logical_lines(files), keys).where(F.col("what") == "open").select(
+        *keys, kind.alias("kind"), F.regexp_extract("statement", FUNCTION, 1).alias("name"),
+        F.col("line_start").cast("int").alias("line_no"), F.col("block_end").cast("int").alias("line_end"))
+    texts = files.where((F.col("language") == "python") & (F.col("content") != "")).select(
+        *keys, F.split("content", "\n").alias("raw"), F.split(masked_text(F.col("content")), "\n").alias("masked"))
+    first = F.col("line_no")
+    return blocks.join(texts, keys).select(
+        *keys, F.lit("python").alias("language"), F.lit("block").alias("scope"), "line_no", "line_end", "kind", "name",
+        F.get("raw", first - 1).alias("text"), F.slice("masked", first, F.col("line_end") - first + 1).alias("body"))
+
+
 def block_findings(files: DataFrame, spread: bool = True) -> DataFrame:
     """Lines with findings of the block rules: the text once, and ``found``, an array of them.
     ``spread=False`` is for files that lie in buckets by their key and need not be moved."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.paths import any_of
 from codesieve.operators.catalog import RULES, Rule
+from codesieve.operators.python_blocks import block_units
 from codesieve.operators.units import file_keys, file_units
 from codesieve.schemas import ISSUE_COLUMNS
 from codesieve.session import configure
@@ -51,7 +52,8 @@ def unit_findings(units: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         some = F.when(test, one) if some is None else some.when(test, one)
         hits = F.when(test, found) if hits is None else hits.when(test, found)
     line = F.col("line_no")
-    return units.where(some).select(*file_keys(units), line.alias("line_start"), line.alias("line_end"),
+    end = F.col("line_end") if "line_end" in units.columns else line
+    return units.where(some).select(*file_keys(units), line.alias("line_start"), end.alias("line_end"),
                                     F.col("text").alias("code_snippet"), hits.alias("found"),
                                     *[c for c in units.columns if c == "around"])
 
@@ -85,5 +87,12 @@ def scan_with_context(files: DataFrame, rules: tuple[Rule, ...] = RULES, context
 
 
 def rule_findings(files: DataFrame, rules: tuple[Rule, ...] = RULES, strict_start: bool = False) -> DataFrame:
+    """Units with findings. Rules of scope ``block`` read the relation of Python blocks, and only if
+    there are such rules it is made."""
     configure(files.sparkSession)
-    return unit_findings(file_units(files, _scopes(rules), strict_start), rules)
+    plain, blocks = [tuple(r for r in rules if (r.scope == "block") == b) for b in (False, True)]
+    if not blocks:
+        width = max((r.ahead for r in plain), default=0)
+        return unit_findings(file_units(files, _scopes(plain), strict_start, width=width), plain)
+    found = unit_findings(block_units(files), blocks)
+    return rule_findings(files, plain, strict_start).unionByName(found) if plain else found

@@ -79,7 +79,8 @@ def _around(lines: Column, line_no: Column, context: int) -> Column:
 
 
 def _unit(scope: str, line_no: Column, text: Column, prev: Column | None = None,
-          ahead: Iterable[Column] = (), around: Column | None = None) -> Column:
+          ahead: Iterable[Column] = (), around: Column | None = None,
+          following: Column | None = None) -> Column:
     blank = F.lit(None).cast("boolean")
     ahead = list(ahead) or [blank for _ in AHEAD]
     return F.struct(
@@ -87,10 +88,11 @@ def _unit(scope: str, line_no: Column, text: Column, prev: Column | None = None,
         (F.lit(None).cast("string") if prev is None else prev).alias("prev_line"),
         *[a.alias(name) for a, (name, _, _) in zip(ahead, AHEAD)],
         *([] if around is None else [around.alias("around")]),
+        *([] if following is None else [following.alias("ahead")]),
     )
 
 
-def _lines(lines: Column, look_ahead: bool, context: int | None) -> Column:
+def _lines(lines: Column, look_ahead: bool, context: int | None, width: int) -> Column:
     def follows(i: Column, marker: str, count: int) -> Column:
         return any_of(
             F.coalesce(F.contains(F.get(lines, i + step), F.lit(marker)), F.lit(False))
@@ -106,35 +108,38 @@ def _lines(lines: Column, look_ahead: bool, context: int | None) -> Column:
                 for name, marker, count in AHEAD
             ]
         return _unit("line", i + 1, line, F.when(i > 0, F.get(lines, i - 1)), ahead,
-                     None if context is None else _around(lines, i + 1, context))
+                     None if context is None else _around(lines, i + 1, context),
+                     F.slice(lines, i + 2, width) if width else None)
 
     return F.transform(lines, unit)
 
 
 def file_units(files: DataFrame, scopes: dict[str, set[str]], strict_start: bool = False,
-               context: int | None = None) -> DataFrame:
+               context: int | None = None, width: int = 0) -> DataFrame:
     """One row per unit. ``scopes`` names the unit kinds each language needs. ``context`` adds
     ``around``: the lines up to so many before and after the unit's first, from the array at hand.
+    ``width`` adds ``ahead``, as many of the lines that follow a line; other units have none.
 
     Statements lose the white space before them, so that all of them can be told by their first
     word; ``strict_start`` keeps it, and then only a statement that follows the semicolon of
     the one before directly starts with its word.
     """
     content, language, lines = F.col("content"), F.col("language"), F.col("lines")
-    plain = _lines(lines, False, context)
+    plain = _lines(lines, False, context, width)
+    none = F.array().cast("array<string>") if width else None
     top = None if context is None else _around(lines, F.lit(1), context)
     parts = {
         "line": plain,
         "statement": F.transform(sql_statements(content), lambda s: _unit(
-            "statement", F.lit(1), s if strict_start else lstrip(s), around=top)),
-        "key": F.transform(repeated_keys(content), lambda k: _unit("key", F.lit(1), k, around=top)),
-        "file": F.array(_unit("file", F.lit(1), F.lit(None).cast("string"), around=top)),
+            "statement", F.lit(1), s if strict_start else lstrip(s), around=top, following=none)),
+        "key": F.transform(repeated_keys(content), lambda k: _unit("key", F.lit(1), k, around=top, following=none)),
+        "file": F.array(_unit("file", F.lit(1), F.lit(None).cast("string"), around=top, following=none)),
     }
     units = F.when(F.lit(False), plain)
     for name, kinds in scopes.items():
         wanted_parts = [parts[kind] for kind in parts if kind in kinds]
         if name == "javascript" and "line" in kinds:
-            wanted_parts[0] = F.when(F.col("react"), _lines(lines, True, context)).otherwise(plain)
+            wanted_parts[0] = F.when(F.col("react"), _lines(lines, True, context, width)).otherwise(plain)
         units = units.when(
             language == name, F.concat(*wanted_parts) if len(wanted_parts) > 1 else wanted_parts[0])
     wanted = files.where((content != "") & language.isin(*scopes))

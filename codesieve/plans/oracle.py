@@ -381,6 +381,23 @@ ORACLE["rules_json_keys"] = _json("JN-02", r"""
       SELECT *, unnest(regexp_extract_all(content, '"([^"]+)"\s*:', 1)) AS key FROM checked WHERE ok)
     GROUP BY ALL) WHERE n > 1""",
     "'Duplicate key ''' || key || ''' found in JSON'", "key")
+ORACLE["rules_custom_units"] = rf"""WITH {SCAN_LINES.strip()}, {BLOCK_HITS.strip()}, {JSON_FILES.strip()}
+SELECT file_path, 'X-03' AS rule_id, CAST(line_no AS INTEGER) AS line_start, CAST(end_line AS INTEGER) AS line_end,
+       line AS code_snippet
+FROM ended e WHERE kind = 'def' AND NOT EXISTS (
+  FROM stmts s WHERE s.scan_id = e.scan_id AND s.file_path = e.file_path AND s.k BETWEEN e.k AND e.end_k
+  AND regexp_matches(s.m, '(^|[^a-z])return([^a-z]|$)'))
+UNION ALL
+SELECT file_path, 'X-04', line_no, line_no, line FROM code c
+WHERE language = 'go' AND contains(line, 'err != nil') AND NOT EXISTS (
+  FROM code n WHERE n.file_path = c.file_path AND n.line_no BETWEEN c.line_no + 1 AND c.line_no + 7
+  AND contains(n.line, 'return'))
+UNION ALL
+SELECT file_path, 'X-05', 1, 1, 'a' FROM (
+  SELECT *, unnest(range(n - 1)) FROM (
+    SELECT file_path, count(*) AS n FROM (
+      SELECT *, unnest(regexp_extract_all(content, '"([^"]+)"\s*:', 1)) AS key FROM checked WHERE ok)
+    WHERE key = 'a' GROUP BY ALL) WHERE n > 1)"""
 ORACLE["rules_json_depth"] = _json("JN-04", r"""
   SELECT repo_path, file_path, max(CASE WHEN mark IN ('[', '{') THEN depth
                                         WHEN mark = 'v' THEN depth + 1 ELSE 0 END) AS deepest

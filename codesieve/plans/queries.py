@@ -168,6 +168,25 @@ def rules_custom(spark, sf_dir):
     return scan_rules(corpora.corpus_files(spark, sf_dir), rules_from_table(rows, rules=extra))
 
 
+@query
+def rules_custom_units(spark, sf_dir):
+    """Table rules over other units: functions without a return, error checks without one in the next
+    seven lines, and repeated JSON keys named ``a``."""
+    one = table(spark, sf_dir, "region").where(F.col("r_regionkey") == 0)
+
+    def rule(rule_id: str, language: str, predicate: str, scope: str, ahead: int = 0) -> DataFrame:
+        values = {"rule_id": rule_id, "language": language, "predicate": predicate, "scope": scope, "ahead": ahead,
+                  "category": "bug", "severity": "warning", "description": "Found", "recommendation": "Look at it"}
+        return one.select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+    rows = rule("X-03", "python", "kind = 'function' AND NOT exists(body, l -> l RLIKE '(^|[^a-z])return([^a-z]|$)')", "block")
+    rows = rows.unionByName(rule("X-04", "go", "contains(text, 'err != nil') AND NOT contains(ahead, 'return')", "line", 7))
+    rows = rows.unionByName(rule("X-05", "json", "text = 'a'", "key"))
+    rules = rules_from_table(rows, rules=())
+    files = corpora.corpus_files(spark, sf_dir).unionByName(corpora.json_files(spark, sf_dir), allowMissingColumns=True)
+    return scan_rules(files, rules).select("file_path", "rule_id", "line_start", "line_end", "code_snippet")
+
+
 @query
 def secrets_in_documents(spark, sf_dir):
     return secret_lines(spread_table(spark, sf_dir, "documents"), "text", "doc_id")

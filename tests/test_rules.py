@@ -252,3 +252,22 @@ def test_deep_loops(files_of):
     loops = "".join("  " * i + "for a in b:\n" for i in range(90))
     files = files_of({"/r/a.py": (loops + "  " * 90 + "s += 1; t += 2\n") * 50})
     assert scan_issues(files).where("rule_id = 'PY-08'").count() == 90 * 2 * 50
+
+
+def test_rules_of_other_units(files_of):
+    """Rules of a user over blocks, keys and lines ahead."""
+    from codesieve.operators.catalog import register_rule
+
+    rules = register_rule("X-1", "python", "bug", "info", "d", "r", "kind = 'function' AND NOT exists(body, l -> contains(l, 'return'))", "block", rules=())
+    rules = register_rule("X-2", "go", "bug", "info", "d", "r", "contains(text, 'open') AND NOT contains(ahead, 'close')", rules=rules, ahead=2)
+    rules = register_rule("X-3", "json", "bug", "info", "d", "r", "text = 'k'", "key", rules=rules)
+    rules = register_rule("X-4", "python", "bug", "info", "d", "r", "kind = 'loop' AND size(body) > 2", "block", rules=rules)
+    files = files_of({
+        "/r/a.py": "def one():\n    x = 'return'\n    # return\ndef two():\n    for i in x:\n        y\n        z\n    return 1\n",
+        "/r/b.go": "open\na\nclose\nopen\na\nb\nclose\nopen", "/r/c.json": '{"k": 1, "k": 2, "j": 1, "j": 2}'})
+    found = sorted((r.rule_id, r.line_start, r.line_end, r.code_snippet) for r in scan_rules(files, rules).collect())
+    assert found == [("X-1", 1, 2, "def one():"), ("X-2", 4, 4, "open"), ("X-2", 8, 8, "open"), ("X-3", 1, 1, "k"),
+                     ("X-4", 5, 7, "    for i in x:")]
+    for wrong in ({"scope": "block", "language": "go"}, {"scope": "key", "language": "go"}, {"scope": "file", "ahead": 2}):
+        with pytest.raises(ValueError):
+            register_rule("X-9", wrong.get("language", "go"), "bug", "info", "d", "r", "true", wrong["scope"], ahead=wrong.get("ahead", 0))
