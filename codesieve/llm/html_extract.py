@@ -40,8 +40,11 @@ OTHER_TAGS = frozenset("head nav header footer aside form button select textarea
 OTHER_WORDS = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie footer header menu nav "
                         "navbar newsletter notice popup promo related share sidebar social sponsor subscribe widget".split())
 
+# Quotes delimit a value behind ``=`` only. What is read is never read again: a tag that does not end
+# is the last token, so the work is linear in the page.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({CLOSED})\b[^>]*>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<({CLOSED})\b[^>]*+>|<[!?][^>]*+>|"
+    r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|(<)(?=/?[A-Za-z]|[!?])",
     re.S | re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in CLOSED.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -109,13 +112,16 @@ class _Walk:
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order. Unclosed and stray tags are tolerated; scripts, styles and
     comments are no text, nor are drawings, frames and the like up to their end tag, if they have
-    one; <br> counts as white space."""
+    one; <br> counts as white space. A tag without an end takes the rest of the page."""
     page, walk, at = page or "", _Walk(), 0
     tokens, endless = _TOKEN.finditer(page), set()
     while token := next(tokens, None):
         if token.start() > at:
             walk.text(page[at:token.start()])
         at = token.end()
+        if token[6]:
+            at = len(page)
+            break
         if token[4]:
             (walk.close if token[3] else walk.open)(token[4].lower(), *(() if token[3] else (token[5] or "",)))
         elif token[2] and (name := token[2].lower()) not in endless and not (name == "svg" and token[0].endswith("/>")):

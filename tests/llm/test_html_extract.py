@@ -91,3 +91,18 @@ def test_odd_rows(spark):
     assert {r["__text"] for r in out if r["page_id"] == 5} == {"one & two"}
     none = pages.limit(0)
     assert hx.extracted(none, hx.train(none)).count() == 0
+
+
+def test_stray_quotes_and_endless_tags():
+    """Quotes count behind = only, and a page of unclosed tags takes time in proportion to its length."""
+    import time
+
+    texts = lambda page: [b.text for b in hx.leaf_blocks(page)]
+    assert texts('<p><a title="x"">two</a> three</p>') == ["two three"]
+    assert texts("<p title='a>b' data-x=c'd>one</p><p class=\"q\" \">two") == ["one", "two"]
+    assert texts("<p>one</p> 2 < 3 <p a") == ["one", "2 < 3"]
+    assert texts("<p>one<!-- never closed <p>two") == ["one"] and texts("one<script>x > 1 </scrip>") == ["one"]
+    for piece in ("<b a", "<b =\">\"", "<!", "<script", "</p", "<b a='"):
+        start = time.time()
+        hx.leaf_blocks(piece * ((1 << 20) // len(piece)))
+        assert time.time() - start < 5, piece
