@@ -108,7 +108,9 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY_
     firsts = own.groupBy("conv", "span").agg(F.min("seq").alias("first")).where("first > 0").select(
         F.col("conv").alias("c"), F.col("span").alias("s"), "first")
     # By place and conversation, so that the turns of one conversation are spread.
-    wanted = firsts.withColumn("q", F.explode(F.sequence(F.col("first") - history, F.col("first") - 1))).where("q >= 0")
+    # Without history the sequence would count down.
+    past = firsts.where(F.lit(history > 0))
+    wanted = past.withColumn("q", F.explode(F.sequence(F.col("first") - max(history, 1), F.col("first") - 1))).where("q >= 0")
     context = own.where("NOT system").join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("seq") == F.col("q")))
     system = own.where("system").drop("span").join(firsts, F.col("conv").eqNullSafe(F.col("c")))
     pick = lambda df, span, repeated: df.select(

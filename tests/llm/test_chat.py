@@ -84,3 +84,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, conv string, seq int")
     assert found(chat.read_back(chat.chat_windows(df))) == plain(rows)
     assert chat.read_back(chat.chat_windows(df.limit(0))).count() == 0
+
+
+def test_no_history(spark):
+    """Without history no window repeats a turn of its own."""
+    rows = [(1, i, ("user", "assistant")[i % 2], "word " * 60) for i in range(12)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(turns, budget=150, history=0).collect()
+    assert len(windows) > 2 and not any(any(w["repeated"]) for w in windows)
+    assert sum(len(w["repeated"]) for w in windows) == 12
