@@ -47,14 +47,17 @@ def trigrams(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages by code point, and a row of trigram probabilities for each."""
+    """languages by code point, and a row of trigram probabilities for each. ``others`` counts the
+    languages beyond MOST_LANGUAGES, which have no row."""
 
     languages: list[str]
     probability: np.ndarray
+    others: int = 0
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
-    """Counts all rows with a language. At most MOST_LANGUAGES x BUCKETS counts reach the driver.
+    """Counts all rows with a language. At most MOST_LANGUAGES x BUCKETS counts reach the driver: of more
+    languages those of most rows are learned, ties by code point, and the others are counted.
 
     Rows with null language or without a letter add nothing; without any other rows the model has
     no language.
@@ -66,8 +69,6 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> La
             for lang, text in zip(batch.column(0), batch.column(1)):
                 own = sums.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
-                if len(sums) > MOST_LANGUAGES:
-                    raise ValueError(f"more than {MOST_LANGUAGES} languages")
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -75,20 +76,23 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> La
 
     slim = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sizes = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.count()
+    if found > MOST_LANGUAGES:
+        kept = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+        slim = slim.where(F.col("lang").isin(kept))
     counts = slim.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n"))
     dense = counts.groupBy("lang").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("cells")).orderBy("lang").limit(MOST_LANGUAGES + 1)
+        F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("cells"))
     rows = dense.collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows.sort(key=lambda r: r["lang"])
     table = np.zeros((len(rows), BUCKETS))
     for own, row in zip(table, rows):
         for cell in row["cells"]:
             own[cell["bucket"]] = cell["n"]
     table = (table + SMOOTHING) / (table + SMOOTHING).sum(1, keepdims=True)
-    return LanguageModel([r["lang"] for r in rows], table)
+    return LanguageModel([r["lang"] for r in rows], table, max(0, found - MOST_LANGUAGES))
 
 
 def _proportions(p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:

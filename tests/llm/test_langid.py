@@ -54,3 +54,10 @@ def test_odd_rows(docs_of):
     none = langid.train(empty)
     assert none.languages == [] and langid.identified(empty, none).count() == 0
     assert langid.identified(docs, none).first()["__lang"] == "und"
+
+
+def test_more_languages_than_a_model_holds(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, f"text of {'abcdefg'[i % 7] * 3}", f"l{i % 7}", None) for i in range(21)] + [(30, "x", "l6", None), (31, "y", "l4", None)]
+    model = langid.train(docs_of(rows))
+    assert model.languages == ["l0", "l4", "l6"] and model.others == 4
