@@ -230,6 +230,16 @@ def snapshot_files(spark: SparkSession, sf_dir: str, padded: bool = False) -> Da
     return files_of(lines, "scan_id")
 
 
+def tree_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of one tree of folders. A few files differ, a few are in one scan only."""
+    lines, number = corpus_lines(spark, sf_dir), F.col("file_no")
+    folder = F.concat(F.lit("/src/d"), (number % 7).cast("string"), F.lit("/m"), (number % 35).cast("string"), F.lit("/"))
+    lines = lines.withColumn("file_path", F.replace("file_path", F.lit("/src/"), folder))
+    previous = (number % 29 != 3) & ~((number % 19 == 5) & (F.col("o_orderkey") % 3 == 0))
+    scans = F.array_compact(F.array(F.when(previous, F.lit("previous")), F.when(number % 31 != 4, F.lit("current"))))
+    return files_of(lines.withColumn("scan_id", F.explode(scans)), "scan_id")
+
+
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing of a tree: the corpus files, some of them below directories a scan skips, with
     marker files of frameworks and names that are no code."""

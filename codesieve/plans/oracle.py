@@ -75,6 +75,16 @@ code AS (
   SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY scan_id, file_path ORDER BY line_no) AS INTEGER) AS line_no)
   FROM picked)"""
 
+TREE_LINES = LINES + """,
+picked AS (
+  SELECT 'previous' AS scan_id, * FROM lines WHERE file_no % 29 <> 3 AND NOT (file_no % 19 = 5 AND o_orderkey % 3 = 0)
+  UNION ALL SELECT 'current', * FROM lines WHERE file_no % 31 <> 4),
+code AS (
+  SELECT * REPLACE (
+    CAST(row_number() OVER (PARTITION BY scan_id, file_path ORDER BY line_no) AS INTEGER) AS line_no,
+    replace(file_path, '/src/', '/src/d' || (file_no % 7) || '/m' || (file_no % 35) || '/') AS file_path)
+  FROM picked)"""
+
 LONG_LINES = _code_lines(LONG_FILE_LINES) + f""",
 code AS (
   SELECT '' AS scan_id, * REPLACE (
@@ -612,6 +622,32 @@ _DIFF = f"{_scan(blocks=True, lines=SNAPSHOT_LINES)}, {_COMPARED}"
 ORACLE["scan_diff_long_lines"] = f"""{_scan(('GO',), lines=PADDED_LINES)}, {_COMPARED}
 SELECT file_path, rule_id, line_start, code_snippet, status, issue_hash FROM diff"""
 ORACLE["scan_diff"] = f"""{_DIFF}
+SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
+       code_snippet, status, issue_hash FROM diff"""
+_TREES = f"""WITH {TREE_LINES.strip()}, {FILES.strip()},
+changes AS (
+  SELECT repo_path, file_path,
+         CASE WHEN p.content IS NULL THEN 'added' WHEN c.content IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM (FROM files WHERE scan_id = 'current') c FULL JOIN (FROM files WHERE scan_id = 'previous') p
+       USING (repo_path, file_path)
+  WHERE c.content IS DISTINCT FROM p.content)"""
+ORACLE["tree_changes"] = f"{_TREES} SELECT repo_path, file_path, change FROM changes"
+ORACLE["tree_changed_folders"] = f"""{_TREES},
+homes AS (
+  SELECT repo_path, file_path, regexp_replace(substr(file_path, length(repo_path) + 2), '/?[^/]*$', '') AS home
+  FROM (SELECT DISTINCT repo_path, file_path FROM files)),
+above AS (
+  SELECT repo_path, file_path, home, array_to_string(string_split(home, '/')[:n], '/') AS folder
+  FROM homes, range(0, 4) t(n) WHERE n <= len(string_split(home, '/'))),
+counted AS (
+  SELECT repo_path, folder, count(*) FILTER (WHERE scan_id = 'current') AS files,
+         count(*) FILTER (WHERE scan_id = 'previous') AS previous_files
+  FROM above JOIN files USING (repo_path, file_path) GROUP BY ALL)
+SELECT repo_path, folder, bool_or(home = folder) AS own_changed, any_value(files) AS files,
+       any_value(previous_files) AS previous_files
+FROM changes JOIN above USING (repo_path, file_path) JOIN counted USING (repo_path, folder)
+GROUP BY repo_path, folder"""
+ORACLE["scan_diff_of_trees"] = f"""{_scan(blocks=True, lines=TREE_LINES)}, {_COMPARED}
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
        code_snippet, status, issue_hash FROM diff"""
 ORACLE["scan_diff_first"] = f"{_scan(('GO',))} SELECT file_path, rule_id, line_start, 'new' AS status FROM issues"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions import paths, text
-from codesieve.operators import diff, history, inventory, requests, reuse, reviews, summary
+from codesieve.operators import diff, history, inventory, manifest, requests, reuse, reviews, summary
 from codesieve.operators.catalog import (
     OPTIONAL_RULES,
     RULES,
@@ -26,8 +26,8 @@ from codesieve.operators.snippets import context_snippets
 from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
 from codesieve.plans.corpora import spread_table, table
-from codesieve.plans.scan import scan_distinct_contents, scan_issues, scan_keyed, scan_with_reviews
-from codesieve.session import configure, shared_folder
+from codesieve.plans.scan import diff_changed_files, scan_distinct_contents, scan_issues, scan_keyed, scan_with_reviews
+from codesieve.session import configure, shared_folder, written
 from codesieve.sources.export import export_rows, numbered_report, report_lines, write_csv
 from codesieve.sources.store import ScanStore
 from codesieve.streaming.incremental import start_incremental_scan, stream_files
@@ -402,6 +402,34 @@ def scan_diff_long_lines(spark, sf_dir):
         "file_path", "rule_id", "line_start", "code_snippet", "status", "issue_hash")
 
 
+def _two_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files of the current and of the previous scan, landed."""
+    files = written(corpora.tree_snapshots(spark, sf_dir), "trees")
+    return tuple(files.where(F.col("scan_id") == side).drop("scan_id") for side in ("current", "previous"))
+
+
+@query
+def tree_changes(spark, sf_dir):
+    """Files that differ between two trees, found by the hashes of their folders."""
+    current, previous = _two_trees(spark, sf_dir)
+    return manifest.changed_files(manifest.entries(current), manifest.entries(previous))
+
+
+@query
+def tree_changed_folders(spark, sf_dir):
+    """Folders with a difference below them."""
+    sides = [manifest.folder_hashes(manifest.entries(files)) for files in _two_trees(spark, sf_dir)]
+    return manifest.changed_folders(*sides)
+
+
+@query
+def scan_diff_of_trees(spark, sf_dir):
+    """The comparison of two scans, of which the second scans only what changed."""
+    current, previous = _two_trees(spark, sf_dir)
+    before = written(scan_issues(previous), "issues-before")
+    return diff_changed_files(current, manifest.entries(previous), before).drop("recommendation")
+
+
 @query
 def scan_diff_first(spark, sf_dir):
     """Without a previous scan every issue is new."""

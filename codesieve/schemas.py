@@ -33,4 +33,10 @@ SCAN_ISSUES = (
 
 TEXTS = "text_key string, code_snippet string, text_bucket string"
 
+#: Files of a stored scan with the hash of the rules they were scanned by.
+MANIFEST = (
+    "repo_path string, file_path string, folder string, size_bytes long, modified_at timestamp, "
+    "content_hash string, scan_id string, save_id string, rules_key string, bucket int"
+)
+
 KNOWLEDGE = f"file_hash string, issues array<{ISSUE_STRUCT}>, ts timestamp, source string"

@@ -139,7 +139,12 @@ def read_code_files(spark: SparkSession, root: str, excludes: Iterable[str] = DE
     languages it needs. With ``land=False`` every use reads the tree again.
     """
     listing = scannable(list_files(spark, root, tasks), tuple(excludes), cap)
-    files = _as_code_files(read_contents(listing, partitions))
+    return read_listed(listing, partitions, land)
+
+
+def read_listed(listing: DataFrame, partitions: int | None = None, land: bool = True) -> DataFrame:
+    """``code_files`` of the files a listing names; no other file is opened."""
+    spark, files = listing.sparkSession, _as_code_files(read_contents(listing, partitions))
     if not land:
         return files
     folder = f"{shared_folder(spark)}/code-files-{uuid.uuid4().hex}"

@@ -4,7 +4,8 @@ A scan is saved by writing its issues under a new save id and then its header ro
 only issues a header names are read. Issues lie in a fixed number of hash buckets of the scan id,
 sorted by it, so the driver lists as many folders for a million scans as for one, and a scan is
 found by bucket and by the statistics of its files. Issues carry the keys of the line store; their
-texts are a table of their own, one row per text in all scans, and are joined when asked for.
+texts are a table of their own, one row per text in all scans, and are joined when asked for. A scan may
+leave the manifest of its files in buckets of the same kind, so a later one reads only what changed.
 ``remove_superseded`` rewrites the buckets without the issues of replaced and broken saves.
 """
 
@@ -20,10 +21,11 @@ from codesieve.functions.text import iso_time
 from codesieve.operators.history import history, latest
 from codesieve.operators.inventory import detected_languages
 from codesieve.operators.line_store import KEYS, distinct_texts, with_keys, with_texts
+from codesieve.operators.manifest import ENTRY
 from codesieve.operators.reuse import latest_knowledge, spread_key
 from codesieve.operators.summary import count_map
 from codesieve.session import written
-from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, SCAN_ISSUES, SCANS, TEXTS
+from codesieve.schemas import ISSUE_COLUMNS, KNOWLEDGE, MANIFEST, SCAN_ISSUES, SCANS, TEXTS
 from codesieve.settings import CATEGORIES, SEVERITIES
 
 VERSION = "1.2.0"
@@ -73,11 +75,13 @@ class ScanStore:
             return self.spark.createDataFrame([], schema)
 
     def save_scans(self, files: DataFrame, issues: DataFrame, ts: Column,
-                   status: str = "completed", error: str = "", texts: DataFrame | None = None) -> str:
+                   status: str = "completed", error: str = "", texts: DataFrame | None = None,
+                   rules_key: str | None = None) -> str:
         """Saves the scans of ``files`` with all their issues; a scan saved before is replaced.
 
         Both tables carry the ``scan_id``. Issues have their text, or its keys next to the table
         ``texts`` (see ``plans.scan.scan_keyed``). Headers are counted from the written issues, so the scan runs once.
+        With a ``rules_key`` the files, which then carry ``manifest.ENTRY``, are kept as the scan's manifest.
         """
         save_id = uuid.uuid4().hex
         path = f"{self.folder}/scan_issues"
@@ -87,11 +91,10 @@ class ScanStore:
         self._save_texts(texts)
         columns = [c for c in ISSUE_COLUMNS if c != "code_snippet"]
         rows = issues.withColumn("save_id", F.lit(save_id)).select(*columns, *KEYS, "scan_id", "save_id")
-        # Rebalancing gathers the rows of a bucket into few files and splits one that is too
-        # large for a task.
-        rows = rows.withColumn("bucket", bucket_of(F.col("scan_id")))
-        (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
-         .write.mode("append").partitionBy("bucket").parquet(path))
+        self._append(rows, path)
+        if rules_key is not None:
+            listed = files.select(*ENTRY, "scan_id", F.lit(save_id).alias("save_id"), F.lit(rules_key).alias("rules_key"))
+            self._append(listed, f"{self.folder}/manifests")
         saved = self._read("scan_issues", SCAN_ISSUES).where(F.col("save_id") == save_id)
         columns = [f.split()[0] for f in SCANS.split(", ")]
         (scan_headers(files, saved, ts, status, error)
@@ -99,6 +102,13 @@ class ScanStore:
          .select(*columns).write.mode("append").parquet(f"{self.folder}/scans"))
         return save_id
 
+    def _append(self, rows: DataFrame, path: str) -> None:
+        # Rebalancing gathers the rows of a bucket into few files and splits one that is too
+        # large for a task.
+        rows = rows.withColumn("bucket", bucket_of(F.col("scan_id")))
+        (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
+         .write.mode("append").partitionBy("bucket").parquet(path))
+
     def _save_texts(self, texts: DataFrame) -> None:
         """Adds the texts the store does not have. Two saves at a time may both add one; readers take
         any of them, as they are equal."""
@@ -142,8 +152,13 @@ class ScanStore:
         """The same with the keys of the line store instead of the texts."""
         return self._valid_rows(scan_id).drop("save_id", "bucket")
 
-    def _valid_rows(self, scan_id: str | None = None) -> DataFrame:
-        rows, headers = self._read("scan_issues", SCAN_ISSUES), self.scans()
+    def manifest(self, scan_id: str, rules_key: str) -> DataFrame:
+        """Files of the valid save of a scan; empty if it left none or was made by other rules."""
+        rows = self._valid_rows(scan_id, "manifests", MANIFEST).where(F.col("rules_key") == rules_key)
+        return rows.select(*ENTRY)
+
+    def _valid_rows(self, scan_id: str | None = None, name: str = "scan_issues", schema: str = SCAN_ISSUES) -> DataFrame:
+        rows, headers = self._read(name, schema), self.scans()
         if scan_id is not None:
             rows = rows.where((F.col("bucket") == bucket_of(F.lit(scan_id))) & (F.col("scan_id") == scan_id))
             headers = headers.where(F.col("scan_id") == scan_id)

@@ -236,3 +236,40 @@ def test_listing_in_rounds(spark, tmp_path):
     assert list_files(spark, str(tmp_path / "none")).count() == 0
     parts = list_files(spark, str(tmp_path), tasks=8, prune=("d0",), most=7).select(F.spark_partition_id()).distinct().count()
     assert parts > 1
+
+
+def test_scan_since_reads_what_changed(spark, tmp_path):
+    """A file of the same size and time is not opened; a touched one is read, not scanned anew."""
+    from codesieve.operators.catalog import RULES
+    from codesieve.plans.scan import compare_scans, run_scan
+    from codesieve.sources.store import ScanStore
+
+    root = tmp_path / "tree"
+    tree(root)
+    (root / "gone.go").write_text("v, _ = f()\n")
+    store = ScanStore(spark, str(tmp_path / "store"))
+    first = run_scan(spark, str(root), store, datetime(2024, 1, 1))
+    # Not the content scanned first, but its size and time: if it were opened its issue would go.
+    unread = root / "vendor/e.rs"
+    times = os.stat(unread)
+    unread.write_bytes(b" " * times.st_size)
+    os.utime(unread, ns=(times.st_atime_ns, times.st_mtime_ns))
+    os.utime(root / "sub/deep/b.GO", (1, 1))
+    (root / "a.py").write_text("\nx = eval(y)\npassword = '12345678'\n")
+    (root / "sub/new.rs").write_text("a.unwrap()\n")
+    (root / "gone.go").unlink()
+    second = run_scan(spark, str(root), store, datetime(2024, 1, 2), since=first)
+    compared = compare_scans(store, second, first).collect()
+    assert {(os.path.relpath(r.file_path, root), r.rule_id, r.status) for r in compared} == {
+        ("a.py", "PY-01", "remaining"), ("a.py", "PY-03", "new"), (".hidden.py", "PY-03", "remaining"),
+        ("sub/deep/b.GO", "GO-03", "remaining"), ("vendor/e.rs", "RS-03", "remaining"),
+        ("sub/new.rs", "RS-03", "new"), ("gone.go", "GO-03", "fixed")}
+    assert {r.code_snippet for r in compared if r.rule_id == "RS-03"} == {"a.unwrap()"}
+    head = store.scans().where(F.col("scan_id") == second).first()
+    assert (head.total_files, head.total_issues) == (10, 6)
+    # A third scan builds on the second; other rules read everything.
+    third = run_scan(spark, str(root), store, datetime(2024, 1, 3), since=second)
+    assert {r.status for r in compare_scans(store, third, second).collect()} == {"remaining"}
+    rust = tuple(r for r in RULES if r.rule_id.startswith("RS"))
+    fourth = run_scan(spark, str(root), store, datetime(2024, 1, 4), rules=rust, since=third)
+    assert "vendor/e.rs" not in {os.path.relpath(r.file_path, root) for r in store.issues(fourth).collect()}

@@ -402,3 +402,26 @@ def test_inventory(spark):
     config = inventory.language_inventory(listing, "config").where("repo_path = '/r'")
     assert {r.language: r.files for r in config.collect()} == {"python": 4, "dag": 4, "sql": 1}
     assert len(inventory.supported_extensions()) == 12
+
+
+def test_manifests(spark):
+    """Folder hashes against a plain tree: nulls, names in the root, moved and swapped contents."""
+    from codesieve.operators import manifest
+
+    def entries(files):
+        rows = [("/r", f"/r/{path}", content) for path, content in files.items()]
+        df = spark.createDataFrame(rows, "repo_path string, file_path string, content_hash string")
+        return manifest.entries(df.selectExpr("*", "1L AS size_bytes", "timestamp'2024-01-01' AS modified_at"))
+
+    before = {"a.py": "1", "x/b.py": "2", "x/c.py": "3", "x/y/d.py": None, "x/y/e.py": "5", "z/f.py": "6", "z/g.py": "7"}
+    after = {**before, "x/b.py": "3", "x/c.py": "2", "x/y/d.py": "4", "n/w/h.py": "8"}
+    del after["z/g.py"]
+    changes = {r.file_path[3:]: r.change for r in manifest.changed_files(entries(after), entries(before)).collect()}
+    assert changes == {"x/b.py": "changed", "x/c.py": "changed", "x/y/d.py": "changed", "n/w/h.py": "added", "z/g.py": "removed"}
+    folders = manifest.changed_folders(manifest.folder_hashes(entries(after)), manifest.folder_hashes(entries(before)))
+    assert {tuple(r)[1:] for r in folders.collect()} == {
+        ("", False, 7, 7), ("x", True, 4, 4), ("x/y", True, 2, 2), ("z", True, 1, 2), ("n", False, 1, 0), ("n/w", True, 1, 0)}
+    assert manifest.changed_files(entries(before), entries(before)).count() == 0
+    none = entries(before).limit(0)
+    assert {r.change for r in manifest.changed_files(none, entries(before)).collect()} == {"removed"}
+    assert manifest.changed_files(none, none).count() == 0
