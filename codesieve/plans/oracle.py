@@ -650,6 +650,10 @@ GROUP BY repo_path, folder"""
 ORACLE["scan_diff_of_trees"] = f"""{_scan(blocks=True, lines=TREE_LINES)}, {_COMPARED}
 SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
        code_snippet, status, issue_hash FROM diff"""
+ORACLE["streaming_diff"] = f"""{ORACLE["scan_diff_of_trees"]}
+UNION ALL
+SELECT repo_path, file_path, rule_id, category, severity, line_start, line_end, description,
+       code_snippet, 'new', issue_hash FROM prev"""
 ORACLE["scan_diff_first"] = f"{_scan(('GO',))} SELECT file_path, rule_id, line_start, 'new' AS status FROM issues"
 ORACLE["scan_diff_overview"] = f"""{_DIFF}
 SELECT count(*) FILTER (WHERE status = 'new') AS new_issues, count(*) FILTER (WHERE status = 'fixed') AS fixed_issues,

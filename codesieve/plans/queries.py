@@ -27,9 +27,11 @@ from codesieve.operators.units import code_lines
 from codesieve.plans import corpora
 from codesieve.plans.corpora import spread_table, table
 from codesieve.plans.scan import diff_changed_files, scan_distinct_contents, scan_issues, scan_keyed, scan_with_reviews
+from codesieve.schemas import CODE_FILES
 from codesieve.session import configure, shared_folder, written
 from codesieve.sources.export import export_rows, numbered_report, report_lines, write_csv
 from codesieve.sources.store import ScanStore
+from codesieve.streaming import versions
 from codesieve.streaming.incremental import start_incremental_scan, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +214,26 @@ def streaming_scan(spark, sf_dir):
     return spark.read.parquet(f"{folder}/issues").drop("batch")
 
 
+@query
+def streaming_diff(spark, sf_dir):
+    """Versions of the files of two trees compared as they arrive. Both streams stop after the first
+    tree and go on from their checkpoints; files the second does not have arrive without content."""
+    folder, columns = _scratch(spark, "stream"), [c.split()[0] for c in CODE_FILES.split(", ")]
+    current, previous = _two_trees(spark, sf_dir)
+    later = F.col("modified_at") + F.expr("INTERVAL 1 DAY")
+    gone = previous.join(current, versions.FILE, "left_anti").withColumns(
+        {"content": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string")})
+    for files in (previous, current.unionByName(gone).withColumn("modified_at", later)):
+        files.select(*columns).write.mode("append").parquet(f"{folder}/landing")
+        arriving = spark.readStream.schema(CODE_FILES).parquet(f"{folder}/landing")
+        versions.start_version_scan(arriving, folder, f"{folder}/scan-checkpoint", available_now=True).awaitTermination()
+        versions.start_version_diff(versions.stream_versions(spark, folder), f"{folder}/diff", f"{folder}/diff-checkpoint",
+                                    available_now=True).awaitTermination()
+    compared = with_texts(spark.read.parquet(f"{folder}/diff"), versions.texts_of(spark, folder))
+    return compared.select("repo_path", "file_path", "rule_id", "category", "severity", "line_start", "line_end",
+                           "description", "code_snippet", "status", "issue_hash")
+
+
 # --- lines, functions ---------------------------------------------------------------
 
 @query

@@ -273,3 +273,46 @@ def test_scan_since_reads_what_changed(spark, tmp_path):
     rust = tuple(r for r in RULES if r.rule_id.startswith("RS"))
     fourth = run_scan(spark, str(root), store, datetime(2024, 1, 4), rules=rust, since=third)
     assert "vendor/e.rs" not in {os.path.relpath(r.file_path, root) for r in store.issues(fourth).collect()}
+
+
+def test_versions_compared_on_arrival(files_of, spark, tmp_path):
+    """Each version against the one before it as ``scan_diff`` does, over a restart of both streams."""
+    from codesieve.operators.diff import scan_diff
+    from codesieve.operators.line_store import with_texts
+    from codesieve.schemas import CODE_FILES
+    from codesieve.streaming import versions
+
+    landing, scanned, target = (str(tmp_path / n) for n in ("landing", "scanned", "diff"))
+    columns = [c.split()[0] for c in CODE_FILES.split(", ")]
+    texts = [
+        {"/r/a.go": "v, _ = f()\nv, _ = f()\n", "/r/b.py": "for a in b:\n    s += 1", "/r/c.rs": "a.unwrap()"},
+        {"/r/a.go": "v, _ = f()\n", "/r/b.py": "for a in b:\n    s += 1\n    s += 1\nx = eval(y)", "/r/c.rs": None},
+        {"/r/a.go": "\n\n  v, _ = f()\nv, _ = f()\ntoken := \"abcdef_123\"", "/r/b.py": "", "/r/c.rs": "a.unwrap()"},
+    ]
+    rounds = [files_of(t).withColumns({"ext": F.lit(""), "size_bytes": F.lit(1).cast("long"),
+                                       "modified_at": F.lit(datetime(2024, 1, day, tzinfo=timezone.utc))}).select(*columns)
+              for day, t in enumerate(texts, 1)]
+
+    def arrive(*files):
+        for f in files:
+            f.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(CODE_FILES).parquet(landing)
+        versions.start_version_scan(stream, scanned, str(tmp_path / "c1"), available_now=True).awaitTermination()
+        versions.start_version_diff(versions.stream_versions(spark, scanned), target, str(tmp_path / "c2"),
+                                    available_now=True).awaitTermination()
+        return spark.read.parquet(target)
+
+    fields = ["file_path", "rule_id", "line_start", "status", "issue_hash", "code_snippet"]
+    expected, before = set(), None
+    for files in rounds:
+        now = scan_issues(files.where("content IS NOT NULL"))
+        expected |= {tuple(r) for r in scan_diff(now, before).select(*fields).collect()} if before is not None else {
+            tuple(r) for r in scan_diff(now, None).select(*fields).collect()}
+        before = now
+    first = arrive(rounds[0])
+    assert {r.status for r in first.collect()} == {"new"} and first.count() == 4
+    arrive(rounds[1], rounds[2])
+    # Versions that were compared already, arriving again.
+    rows = with_texts(arrive(rounds[0], rounds[2]), versions.texts_of(spark, scanned)).select(*fields).collect()
+    assert {tuple(r) for r in rows} == expected
+    assert {r.status for r in rows} == {"new", "fixed", "remaining"}
