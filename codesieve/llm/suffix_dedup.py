@@ -387,14 +387,19 @@ def _expanded(first: np.ndarray, last: np.ndarray, raw: bytes, length: int) -> t
 def _heads(name: np.ndarray, order: np.ndarray, flat: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """For each string the first of least order among its equals."""
     by = np.lexsort((order, name))
-    new = np.append(True, np.diff(name[by]) != 0)
+    new = np.append(True, np.diff(name[by]) != 0)[:len(by)]
     head = np.empty(len(by), np.int64)
     head[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-    strings = np.lib.stride_tricks.sliding_window_view(flat, length)
+    strings, clashed = np.lib.stride_tricks.sliding_window_view(flat, length), []
     for at in range(0, len(by), VERIFY):
         part = slice(at, at + VERIFY)
-        if (strings[place[part]] != strings[place[head[part]]]).any():
-            raise ValueError("two strings share a 64-bit rank; run with another SHORT")
+        clashed.append(name[part][(strings[place[part]] != strings[place[head[part]]]).any(axis=1)])
+    clashed = np.unique(np.concatenate(clashed)) if clashed else name[:0]
+    if len(clashed):
+        # Strings of a rank that others share are told apart by their bytes.
+        first: dict[bytes, int] = {}
+        for k in by[np.isin(name[by], clashed)]:
+            head[k] = first.setdefault(strings[place[k]].tobytes(), k)
     return head
 
 

@@ -110,3 +110,16 @@ def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = [(i, n, sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest()) for i, n, s, k in plain(docs)]
     assert sorted(map(tuple, LLM_QUERIES["op8_suffix_dedup"](spark, SF).collect()), key=str) == sorted(want, key=str)
+
+
+def test_strings_of_one_rank():
+    """Strings that share a rank keep their own first of least order."""
+    import numpy as np
+
+    flat = np.frombuffer(b"aaaabbbbaaaaccccbbbbdddd", np.uint8)
+    place, order = np.arange(0, 24, 4), np.array([3, 1, 2, 5, 1, 4])
+    same = np.array([7, 7, 7, 7, 7, 9], np.uint64)
+    assert suffix_dedup._heads(same, order, flat, place, 4).tolist() == [2, 1, 2, 3, 1, 5]
+    true = np.array([1, 2, 1, 3, 2, 4], np.uint64)
+    assert suffix_dedup._heads(true, order, flat, place, 4).tolist() == [2, 1, 2, 3, 1, 5]
+    assert suffix_dedup._heads(same[:0], order[:0], flat, place[:0], 4).tolist() == []
