@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log
@@ -50,19 +51,65 @@ _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in CLOSED.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+@dataclass(eq=False, slots=True)
+class Place:
+    """An open element with what its blocks need of all elements around it. Elements that add nothing
+    share the sets of the one they are in, so a deep page costs no more than a flat one."""
+
+    around: Place | None = None
+    tag: str = ""
+    words: tuple[str, ...] = ()
+    #: Of this element and those around it: block-level tags, class words, depth, nearest block-level tag.
+    all_tags: frozenset[str] = frozenset()
+    all_words: frozenset[str] = frozenset()
+    depth: int = 0
+    nearest: str = ""
+    #: Whether one of them is a link, names the article, is marked as something else.
+    link: bool = False
+    article: bool = False
+    other: bool = False
+
+    def inside(self, tag: str, words: tuple[str, ...]) -> Place:
+        block = tag not in INLINE
+        return Place(
+            self, tag, words,
+            self.all_tags if not block or tag in self.all_tags else self.all_tags | {tag},
+            self.all_words if self.all_words.issuperset(words) else self.all_words.union(words),
+            self.depth + block, tag if block else self.nearest, self.link or tag == "a",
+            self.article or tag in ARTICLE,
+            self.other or tag in OTHER_TAGS or not OTHER_WORDS.isdisjoint(words))
+
+    def path(self) -> list[Place]:
+        """Elements from the root to this one."""
+        out, at = [], self
+        while at.around is not None:
+            out.append(at)
+            at = at.around
+        return out[::-1]
+
+
 @dataclass
 class Block:
-    """A leaf block: text, tags and class words of its ancestors from the root, letters in links."""
+    """A leaf block: its text, the element it is in, letters in links."""
 
     text: str
-    tags: tuple[str, ...]
-    words: tuple[str, ...]
+    place: Place
     linked: int = 0
 
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Block-level tags from the root."""
+        return tuple(p.tag for p in self.place.path() if p.tag not in INLINE)
+
+    @property
+    def words(self) -> tuple[str, ...]:
+        return tuple(w for p in self.place.path() for w in p.words)
+
 
 @dataclass
 class _Walk:
-    stack: list = field(default_factory=list)
+    stack: list = field(default_factory=lambda: [Place()])
+    count: Counter = field(default_factory=Counter)
     parts: list = field(default_factory=list)
     linked: int = 0
     blocks: list = field(default_factory=list)
@@ -70,42 +117,46 @@ class _Walk:
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            own = [(tag, words) for tag, words in self.stack]
-            self.blocks.append(Block(text, tuple(t for t, _ in own if t not in INLINE),
-                                     tuple(w for _, words in own for w in words), self.linked))
+            self.blocks.append(Block(text, self.stack[-1], self.linked))
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
         decoded = entities.unescape(raw) if "&" in raw else raw
         self.parts.append(decoded)
-        if any(tag == "a" for tag, _ in self.stack):
+        if self.stack[-1].link:
             self.linked += len(decoded)
 
+    def leave(self, at: int) -> None:
+        for place in self.stack[at:]:
+            self.count[place.tag] -= 1
+        del self.stack[at:]
+
     def open(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.parts.append(" ")
         if tag not in INLINE:
             self.end_block()
             gone = CLOSES.get(tag, set()) | {"p"}
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in gone:
-                    del self.stack[at:]
+            for at in range(len(self.stack) - 1, 0, -1) if any(self.count[t] for t in gone) else ():
+                if self.stack[at].tag in gone:
+                    self.leave(at)
                     break
-                if self.stack[at][0] in SCOPES:
+                if self.stack[at].tag in SCOPES:
                     break
         if tag not in VOID:
             words = [w.lower() for m in _NAMES.finditer(attributes) for g in m.groups() if g
                      for w in re.split(r"[\s_-]+", g) if w] if "=" in attributes else []
-            self.stack.append((tag, tuple(words)))
+            self.stack.append(self.stack[-1].inside(tag, tuple(words)))
+            self.count[tag] += 1
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_block()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
+        for at in range(len(self.stack) - 1, 0, -1) if self.count[tag] else ():
+            if self.stack[at].tag == tag:
+                self.leave(at)
                 return
-            if tag in INLINE and self.stack[at][0] not in INLINE:
+            if tag in INLINE and self.stack[at].tag not in INLINE:
                 return
 
 
@@ -139,15 +190,18 @@ def features(blocks: list[Block], hidden: frozenset[str] = frozenset()) -> list[
     """Hashed features of each block; tags in ``hidden`` are passed over."""
     out = []
     for k, b in enumerate(blocks):
-        tags = [t for t in b.tags if t not in hidden]
+        place, tags, depth, parent = b.place, b.place.all_tags, b.place.depth, b.place.nearest
+        if not hidden.isdisjoint(tags):
+            shown = [t for t in b.tags if t not in hidden]
+            tags, depth, parent = set(shown), len(shown), shown[-1] if shown else ""
         size, words = len(b.text), b.text.count(" ") + 1
-        names = {"bias", f"parent:{tags[-1] if tags else ''}", f"depth:{min(len(tags), 12)}",
+        names = {"bias", f"parent:{parent}", f"depth:{min(depth, 12)}",
                  f"words:{min(words.bit_length(), 8)}", f"linked:{round(4 * min(1.0, b.linked / size))}",
                  f"end:{b.text[-1] in '.!?…:;”\"'}", f"first:{k == 0}", f"last:{k == len(blocks) - 1}",
                  f"symbol:{not b.text[0].isalnum()}", f"commas:{min(3, b.text.count(','))}"}
         names.update(f"tag:{t}" for t in tags)
-        names.update(f"word:{w}" for w in b.words)
-        if OTHER_TAGS.intersection(b.tags) or OTHER_WORDS.intersection(b.words):
+        names.update(f"word:{w}" for w in place.all_words)
+        if place.other:
             names.add("other")
         out.append([crc32(n.encode()) % FEATURES for n in sorted(names)])
     return out
@@ -156,10 +210,9 @@ def features(blocks: list[Block], hidden: frozenset[str] = frozenset()) -> list[
 def markup_labels(blocks: list[Block]) -> list[int] | None:
     """Labels of a page whose markup names its article: 1 inside it and outside of anything marked
     as something else. None for a page without <article> or <main>."""
-    if not any(ARTICLE.intersection(b.tags) for b in blocks):
+    if not any(b.place.article for b in blocks):
         return None
-    return [int(bool(ARTICLE.intersection(b.tags)) and not OTHER_TAGS.intersection(b.tags)
-                and not OTHER_WORDS.intersection(b.words)) for b in blocks]
+    return [int(b.place.article and not b.place.other) for b in blocks]
 
 
 @dataclass(frozen=True)

@@ -106,3 +106,19 @@ def test_stray_quotes_and_endless_tags():
         start = time.time()
         hx.leaf_blocks(piece * ((1 << 20) // len(piece)))
         assert time.time() - start < 5, piece
+
+
+def test_deep_pages():
+    """Nested elements that are never closed, and end tags of none that is open, take linear time."""
+    import time
+
+    for piece in ("<div>x", "<div class=a>x", "<b>x", "</b>x", "<p><b></i>x", "<li><ul><b>x", "<a href=x>x<hr>"):
+        start = time.time()
+        blocks = hx.leaf_blocks(piece * 100_000)
+        hx.features(blocks)
+        assert time.time() - start < 20, piece
+    deep = hx.leaf_blocks("<article><div class='a b'>" * 50 + "<i>x")[0]
+    assert deep.tags == ("article", "div") * 50 and deep.words == ("a", "b") * 50 and deep.place.depth == 100
+    shown, hidden = hx.features([deep]), hx.features([deep], hx.ARTICLE)
+    flat = hx.features(hx.leaf_blocks("<div class='a b'>" * 50 + "<i>x"))
+    assert hidden == flat and shown != flat
