@@ -48,34 +48,63 @@ def test_query(spark):
     assert all(r["formatted_chars"] > r["loss_chars"] for r in got.collect())
 
 
-@pytest.mark.parametrize("chunk", [3, 256])
-def test_windows(spark, monkeypatch, chunk):
-    """Spans by plain sums; the system turn and the last turns come again, masked."""
+def cost(turns):
+    return sum(len(text.split()) + 2 for _, text in turns)
+
+
+def plain_spans(turns, budget, history):
+    """Lists of turn numbers: turns inside a cell, with the one that leaves it if it fits."""
+    head = cost(turns[:1]) if turns[0][0] == "system" else 0
+    size = max(1, (budget - head) - ((budget - head) // 4 if history else 0))
+    spans, at = {}, 0
+    for k, turn in enumerate(turns):
+        if k == 0 and head:
+            spans[0] = [0]
+            continue
+        cell, end = at // size, at + cost([turn])
+        own = spans.get(2 * cell, [])
+        own = [q for q in own if q or not head]
+        fits = not own or end - 1 < (cell + 1) * size or cost([turns[q] for q in own]) + cost([turn]) <= size
+        spans.setdefault(2 * cell + (not fits), []).append(k)
+        at = end
+    return spans, head
+
+
+@pytest.mark.parametrize("chunk, budget, history, longest", [(3, 50, 2, 30), (256, 50, 2, 30), (256, 64, 5, 9), (7, 40, 0, 60)])
+def test_windows(spark, monkeypatch, chunk, budget, history, longest):
+    """The system turn and the last turns that fit come again, masked; the budget holds."""
     monkeypatch.setattr(chat, "CHUNK_TURNS", chunk)
     rng, rows = random.Random(4), []
     for conv in range(12):
         if conv % 3:
-            rows.append((conv, 0, "system", "be kind"))
-        rows += [(conv, k, "user" if k % 2 else "assistant", " ".join(["w"] * rng.randint(0, 30))) for k in range(1, rng.randint(2, 40))]
+            rows.append((conv, 0, "system", "be kind " * (conv if conv < 11 else 60)))
+        rows += [(conv, k, "user" if k % 2 else "assistant", " ".join(["w"] * rng.randint(0, longest)))
+                 for k in range(1, rng.randint(2, 40))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    windows = chat.chat_windows(df, budget=50, history=2)
+    windows = chat.chat_windows(df, budget=budget, history=history)
     assert found(chat.read_back(windows)) == plain(rows)
     got = {(r["conv"], r["window"]): (chat.parse_turns(r["formatted"]), r["repeated"], r["loss"]) for r in windows.collect()}
+    over = full = 0
     for conv in range(12):
-        turns, at, spans = sorted(r for r in rows if r[0] == conv), 0, {}
-        for k, (*_, role, text) in enumerate(turns):
-            spans.setdefault(at // 50, []).append(k)
-            at += len(text.split()) + 2
+        turns = [r[2:] for r in sorted(r for r in rows if r[0] == conv)]
+        spans, head = plain_spans(turns, budget, history)
         for span, own in spans.items():
-            start = own[0]
-            old = [k for k in range(max(0, start - 2), start)]
-            if start and turns[0][2] == "system":
-                old = [0] + [k for k in old if k]
+            old = []
+            for k in range(own[0] - 1, max(bool(head), own[0] - history) - 1, -1):
+                if head + cost([turns[q] for q in [k, *old, *own] if q or not head]) > budget:
+                    break
+                old.insert(0, k)
+            if own[0] and head:
+                old = [0, *old]
             parsed, repeated, loss = got.pop((conv, span))
-            assert parsed == [turns[k][2:] for k in old + own]
+            assert parsed == [turns[k] for k in old + own]
             assert repeated == [True] * len(old) + [False] * len(own)
-            assert len(loss) == sum(turns[k][2] == "assistant" for k in own)
-    assert not got
+            assert len(loss) == sum(turns[k][0] == "assistant" for k in own)
+            if cost(parsed) > budget:
+                over += 1
+                assert len([k for k in own if k or not head]) == 1 and len(parsed) <= 2
+            full += len(old) > bool(head)
+    assert not got and over and (full or not history)
 
 
 def test_odd_rows(spark):
