@@ -121,23 +121,30 @@ def phrase(lists: list, size: np.ndarray, window: tuple[int, ...]) -> np.ndarray
     return starts
 
 
-def near(lists: list, size: np.ndarray, window: tuple[int, ...], slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last positions of places that hold every term within ``slop`` words of where the
-    window would have it. The rarest term sets the places."""
+def near(lists: list, size: np.ndarray, window: tuple[int, ...], slop: int, begin: np.ndarray) -> np.ndarray:
+    """Numbers of the documents with a near match: some start of which each term has an occurrence
+    in the document within ``slop`` words of where the window would have it.
+
+    Occurrences of the rarest term propose the starts; the other terms, rarest first, look up their
+    nearest occurrence between the document's ends. Which term is rarest does not change the result.
+    """
     order = sorted(range(len(window)), key=lambda o: size[window[o]])
-    starts = lists[window[order[0]]] - order[0]
-    first = last = starts + order[0]
+    anchor = lists[window[order[0]]].astype(np.int64)
+    doc = np.searchsorted(begin, anchor, "right") - 1
+    starts = (anchor[:, None] - order[0] + np.arange(-slop, slop + 1)).ravel()
+    doc = np.repeat(doc, 2 * slop + 1)
     for o in order[1:]:
+        if not len(starts):
+            break
         own, want = lists[window[o]], starts + o
-        if not len(own):
-            return starts[:0], starts[:0]
-        right = np.searchsorted(own, want)
-        a, b = own[np.maximum(right - 1, 0)], own[np.minimum(right, len(own) - 1)]
-        best = np.where(abs(a - want) <= abs(b - want), a, b)
-        keep = abs(best - want) <= slop
-        starts, best, first, last = starts[keep], best[keep], first[keep], last[keep]
-        first, last = np.minimum(first, best), np.maximum(last, best)
-    return first, last
+        low, high = begin[doc], begin[doc + 1] - 1
+        right = np.searchsorted(own, np.clip(want, low, high))
+        close = np.zeros(len(starts), bool)
+        for place in (right - 1, right):
+            at = own[np.clip(place, 0, len(own) - 1)]
+            close |= (at >= low) & (at < high) & (abs(at - want) <= slop)
+        starts, doc = starts[close], doc[close]
+    return np.unique(doc)
 
 
 MATCHES = ("id {0}, n_words long, spans array<struct<first:long,last:long>>, items array<string>, "
@@ -146,8 +153,8 @@ MATCHES = ("id {0}, n_words long, spans array<struct<first:long,last:long>>, ite
 
 def search(index: DataFrame, tests: TestSet, slop: int | None = None) -> DataFrame:
     """One row per document: spans of words (first to last) inside exact matches, disjoint and in
-    order; the items that match exactly; with ``slop``, the items near matches of which lie within
-    one document, exact ones included."""
+    order; the items that match exactly; with ``slop``, the items with a near match in the document,
+    exact ones included."""
     sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +179,7 @@ def search(index: DataFrame, tests: TestSet, slop: int | None = None) -> DataFra
                         for d in np.unique(np.searchsorted(begin, at, "right") - 1):
                             items[d].update(own.items[i])
                         if slop is not None:
-                            a, b = near(lists, size, own.windows[i], slop)
-                            d, e = (np.searchsorted(begin, x, "right") - 1 for x in (a, b))
-                            for d in np.unique(d[d == e]):
+                            for d in near(lists, size, own.windows[i], slop, begin):
                                 close[d].update(own.items[i])
                 edge = np.diff((np.cumsum(depth) > 0).astype(np.int8), prepend=0)
                 first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1

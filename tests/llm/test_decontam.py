@@ -79,6 +79,38 @@ def test_near_matches(spark, docs_of):
     assert {i for i, r in rows.items() if r["items"]} == {1}
 
 
+def plain_near(docs, tests, n, slop):
+    """Every start of every document, each term anywhere within slop words."""
+    out = {}
+    for doc, text in docs:
+        w, items = (text or "").split(), set()
+        for item, own in tests:
+            t = (own or "").split()
+            for window in [t[i:i + n] for i in range(max(1, len(t) - n + 1))] if t else []:
+                if any(all(any(w[q] == term for q in range(max(0, s + o - slop), min(len(w), s + o + slop + 1)))
+                           for o, term in enumerate(window)) for s in range(-n - slop, len(w) + slop)):
+                    items.add(str(item))
+        out[doc] = sorted(items)
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 4])
+def test_near_matches_beside_other_documents(spark, docs_of, slop):
+    """Terms at the edge of a neighbouring document neither make a match nor hide one."""
+    rng = random.Random(slop)
+    text = lambda k: " ".join(rng.choice("abcdefgh") for _ in range(k))
+    tests = [(i, text(rng.choice([0, 1, 2, 4, 6]))) for i in range(25)]
+    docs = [(i, text(rng.choice([0, 1, 3, 7, 15])), None, None) for i in range(80)]
+    docs += [(90, "beta alpha", None, None), (91, "gamma x y z alpha", None, None), (92, None, None, None)]
+    tests.append((30, "gamma alpha"))
+    want = plain_near([d[:2] for d in docs], tests, 4, slop)
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    for parts in (1, 4):
+        rows = decontam.contamination(docs_of(docs).coalesce(1).repartition(parts), items, window=4, slop=slop).collect()
+        assert {r["id"]: r["near_items"] for r in rows} == want
+        assert slop or all(r["near_items"] == r["items"] for r in rows)
+
+
 def test_query(spark):
     assert "op4_decontamination" in LLM_QUERIES and "op4_decontamination" in LLM_ORACLE
     ok, note = compare(spark, SF, "op4_decontamination")
