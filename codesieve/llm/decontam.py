@@ -1,10 +1,11 @@
 """Benchmark passages in training text, over a distributed positional inverted index.
 
-The index is a table of segments. A segment belongs to a run of documents and holds, for each term
-the test set can ask for, the ascending positions of its occurrences. A search takes each window of
-test words, starts from the list of its rarest term in the segment and intersects it with the lists
-of the other terms, shifted by their offsets, rarest first. Segments are searched where they lie;
-nothing of a document is shuffled.
+The index is a table of segments, written once for a corpus and searched by any number of test sets.
+A segment belongs to a run of documents and holds, for each of their words, the ascending positions
+of its occurrences. A search takes each window of test words, starts from the list of its rarest
+term in the segment and intersects it with the lists of the other terms, shifted by their offsets,
+rarest first; all windows go through a step together. Segments are searched where they lie; nothing
+of a document is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,12 @@ from codesieve.llm.common import staged
 
 WINDOW = 10
 #: Bytes of test text that one search may hold on every executor; a larger test set goes in parts.
-MOST_TEST_BYTES = 32 << 20
+#: A window of ten words takes 40 bytes, so a part is 0.1 to 0.4 GB.
+MOST_TEST_BYTES = 16 << 20
+#: Words of a segment, but for the last document's.
+SEGMENT_WORDS = 1 << 22
+#: Windows looked up, and starts held, at a time.
+BLOCK_WINDOWS, BLOCK_STARTS = 1 << 15, 1 << 20
 
 #: A-Z become a-z, other ASCII that is neither letter nor digit becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -35,31 +42,44 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class TestSet:
-    """terms: number of each word. windows: term numbers. items: the items of each window."""
+    """terms: number of each word. windows: by length, one row of term numbers per distinct window.
+    items: by length, the item numbers of all windows and where each window's begin. names: of items."""
 
     terms: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    items: list[list[str]]
+    windows: dict[int, np.ndarray]
+    items: dict[int, tuple[np.ndarray, np.ndarray]]
+    names: list[str]
 
     @classmethod
     def of(cls, rows, window: int = WINDOW) -> TestSet:
         """From (item, text) pairs. An item shorter than a window is one window; without words none."""
         terms: dict[bytes, int] = {}
-        where: dict[tuple[int, ...], dict[str, None]] = defaultdict(dict)
+        names: dict[str, int] = {}
+        shown, whose = defaultdict(list), defaultdict(list)
         for item, text in rows:
-            own = [terms.setdefault(w, len(terms)) for w in words_of(text.encode() if text is not None else None)]
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                where[tuple(own[at:at + window])][str(item)] = None
-        return cls(terms, list(where), [list(v) for v in where.values()])
+            own = np.array([terms.setdefault(w, len(terms)) for w in words_of(text.encode() if text is not None else None)], np.int32)
+            if len(own):
+                n = min(window, len(own))
+                shown[n].append(sliding_window_view(own, n))
+                whose[n].append(np.full(len(own) - n + 1, names.setdefault(str(item), len(names))))
+        windows, items = {}, {}
+        for n in sorted(shown):
+            windows[n], at = np.unique(np.concatenate(shown[n]), axis=0, return_inverse=True)
+            pairs = np.unique(at.ravel() * len(names) + np.concatenate(whose[n]))
+            items[n] = pairs % len(names), np.searchsorted(pairs // len(names), np.arange(len(windows[n]) + 1))
+        return cls(terms, windows, items, list(names))
+
+    def names_of(self, n: int, window: int) -> list[str]:
+        numbers, starts = self.items[n]
+        return [self.names[i] for i in numbers[starts[window]:starts[window + 1]]]
 
 
 # --- index -----------------------------------------------------------------------------
 
-SEGMENT = "ids array<{0}>, n_words array<long>, terms binary, starts binary, positions binary"
+SEGMENT = "ids array<{0}>, n_words array<long>, terms array<binary>, counts binary, positions binary"
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of docs, written to the shared folder.
 
     Positions run through all documents of a segment, one number apart between two documents, so
@@ -67,84 +87,100 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id"
     words or with null text.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value.get
+    def segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lengths, found, at, start = [], [], [], 0
-            for text in batch.column(1).cast(pa.binary()):
+            first, start, found, gaps, lengths, numbers = 0, 0, [], [], [], {}
+            for k, text in enumerate(batch.column(1).cast(pa.binary())):
                 words = words_of(text.as_py())
-                own = np.fromiter((number(w, -1) for w in words), np.int32, len(words))
-                known = np.flatnonzero(own >= 0)
-                found.append(own[known])
-                at.append((known + start).astype(np.int32))
+                found.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                gaps.append(np.arange(start, start + len(words), dtype=np.int32))
                 lengths.append(len(words))
                 start += len(words) + 1
-                if start >= 2**31:
-                    raise ValueError("a segment of 2^31 words; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            found, at = np.concatenate(found), np.concatenate(at)
-            order = np.argsort(found, kind="stable")
-            own, starts = np.unique(found[order], return_index=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)),
-                pa.array([lengths], pa.list_(pa.int64())), pa.array([own.astype(np.int32).tobytes()]),
-                pa.array([starts.astype(np.int32).tobytes()]), pa.array([at[order].tobytes()]),
-            ], ["ids", "n_words", "terms", "starts", "positions"])
-
-    return staged(slim.mapInArrow(segments, SEGMENT.format(slim.schema["id"].dataType.simpleString())), "postings")
-
-
-def _lists(terms: bytes, starts: bytes, positions: bytes, n_terms: int) -> tuple[list, np.ndarray]:
-    """Position list of each term number, and their lengths."""
-    lists: list = [np.empty(0, np.int32)] * n_terms
-    size = np.zeros(n_terms, np.int64)
-    for term, own in zip(np.frombuffer(terms, np.int32), np.split(
-            np.frombuffer(positions, np.int32), np.frombuffer(starts, np.int32)[1:])):
-        lists[term], size[term] = own, len(own)
-    return lists, size
-
-
-def phrase(lists: list, size: np.ndarray, window: tuple[int, ...]) -> np.ndarray:
-    """Positions where the window starts: shifted lists intersected from the rarest term on."""
-    order = sorted(range(len(window)), key=lambda o: size[window[o]])
-    starts = lists[window[order[0]]] - order[0]
-    for o in order[1:]:
-        if not len(starts):
-            break
-        own = lists[window[o]]
-        at = np.searchsorted(own, starts + o)
-        at[at == len(own)] = 0
-        starts = starts[own[at] == starts + o]
-    return starts
-
-
-def near(lists: list, size: np.ndarray, window: tuple[int, ...], slop: int, begin: np.ndarray) -> np.ndarray:
-    """Numbers of the documents with a near match: some start of which each term has an occurrence
-    in the document within ``slop`` words of where the window would have it.
-
-    Occurrences of the rarest term propose the starts; the other terms, rarest first, look up their
-    nearest occurrence between the document's ends. Which term is rarest does not change the result.
-    """
-    order = sorted(range(len(window)), key=lambda o: size[window[o]])
-    anchor = lists[window[order[0]]].astype(np.int64)
-    doc = np.searchsorted(begin, anchor, "right") - 1
-    starts = (anchor[:, None] - order[0] + np.arange(-slop, slop + 1)).ravel()
-    doc = np.repeat(doc, 2 * slop + 1)
-    for o in order[1:]:
-        if not len(starts):
-            break
-        own, want = lists[window[o]], starts + o
-        low, high = begin[doc], begin[doc + 1] - 1
-        right = np.searchsorted(own, np.clip(want, low, high))
-        close = np.zeros(len(starts), bool)
-        for place in (right - 1, right):
-            at = own[np.clip(place, 0, len(own) - 1)]
-            close |= (at >= low) & (at < high) & (abs(at - want) <= slop)
-        starts, doc = starts[close], doc[close]
-    return np.unique(doc)
+                if start < most and k + 1 < batch.num_rows:
+                    continue
+                own, at = np.concatenate(found), np.concatenate(gaps)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column(0).slice(first, k + 1 - first).to_pylist()], pa.list_(batch.column(0).type)),
+                    pa.array([lengths], pa.list_(pa.int64())), pa.array([list(numbers)], pa.list_(pa.binary())),
+                    pa.array([np.bincount(own, minlength=len(numbers)).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([at[np.argsort(own, kind="stable")].tobytes()], pa.binary()),
+                ], ["ids", "n_words", "terms", "counts", "positions"])
+                first, start, found, gaps, lengths, numbers = k + 1, 0, [], [], [], {}
+
+    most = SEGMENT_WORDS
+    return staged(slim.mapInArrow(lambda batches: segments(batches, most),
+                                  SEGMENT.format(slim.schema["id"].dataType.simpleString())), "postings")
+
+
+class Postings:
+    """The lists of a segment, and the numbers the terms of a test set have in it (-1 for none)."""
+
+    def __init__(self, row: dict, terms: dict[bytes, int]):
+        self.positions = np.frombuffer(row["positions"], np.int32).astype(np.int64)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+        #: Term number and position in one ascending key.
+        self.keys = (np.repeat(np.arange(len(counts)), counts) << 32) + self.positions
+        self.starts = np.cumsum(counts) - counts
+        self.size = np.append(counts, 0)
+        self.number = np.full(len(terms), -1)
+        for own, word in enumerate(row["terms"]):
+            if (wanted := terms.get(word)) is not None:
+                self.number[wanted] = own
+        self.begin = np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64) + 1)])
+
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, places, "right") - 1
+
+    def rarest(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window numbers, their terms and offsets from the rarest on, window row and start per
+        occurrence of its rarest term), a bounded number of occurrences at a time."""
+        for first in range(0, len(windows), BLOCK_WINDOWS):
+            terms = self.number[windows[first:first + BLOCK_WINDOWS]]
+            # A window can only be here if all its terms are.
+            here = np.flatnonzero(terms.min(1) >= 0)
+            order = np.argsort(self.size[terms[here]], axis=1, kind="stable")
+            terms = np.take_along_axis(terms[here], order, 1)
+            length = self.size[terms[:, 0]]
+            upto = np.cumsum(length)
+            cuts = np.flatnonzero(np.diff((upto - length) // BLOCK_STARTS)) + 1
+            for part in np.split(np.arange(len(here)), cuts):
+                if len(part):
+                    row, n = np.repeat(part, length[part]), length[part]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.starts[terms[row, 0]]
+                    yield first + here, terms, order, row, self.positions[at] - order[row, 0]
+
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window numbers and the positions they start at."""
+        for number, terms, order, row, start in self.rarest(windows):
+            for k in range(1, windows.shape[1]):
+                want = (terms[row, k] << 32) + start + order[row, k]
+                at = np.searchsorted(self.keys, want)
+                same = self.keys[np.minimum(at, len(self.keys) - 1)] == want
+                row, start = row[same], start[same]
+            yield number[row], start
+
+    def near(self, windows: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window numbers and the documents with a near match: some start of which each term has an
+        occurrence in the document within ``slop`` words of where the window would have it.
+
+        Occurrences of the rarest term propose the starts; the other terms look up their nearest
+        occurrence between the document's ends. Which term is rarest does not change the result.
+        """
+        for number, terms, order, row, start in self.rarest(windows):
+            doc = np.repeat(self.doc_of(start + order[row, 0]), 2 * slop + 1)
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            row = np.repeat(row, 2 * slop + 1)
+            for k in range(1, windows.shape[1]):
+                base, want = terms[row, k] << 32, start + order[row, k]
+                low, high = self.begin[doc], self.begin[doc + 1] - 1
+                right = np.searchsorted(self.keys, base + np.clip(want, low, high))
+                close = np.zeros(len(row), bool)
+                for place in (right - 1, right):
+                    at = self.keys[np.clip(place, 0, len(self.keys) - 1)] - base
+                    close |= (at >= low) & (at < high) & (abs(at - want) <= slop)
+                row, start, doc = row[close], start[close], doc[close]
+            yield number[row], doc
 
 
 MATCHES = ("id {0}, n_words long, spans array<struct<first:long,last:long>>, items array<string>, "
@@ -159,28 +195,21 @@ def search(index: DataFrame, tests: TestSet, slop: int | None = None) -> DataFra
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        lengths = sorted({len(w) for w in own.windows})
-        by_length = {n: [i for i, w in enumerate(own.windows) if len(w) == n] for n in lengths}
-        tables = {n: np.array([own.windows[i] for i in by_length[n]]) for n in lengths}
         for batch in batches:
             for row in batch.to_pylist():
-                lists, size = _lists(row["terms"], row["starts"], row["positions"], len(own.terms))
-                n_words = np.array(row["n_words"])
-                begin = np.concatenate([[0], np.cumsum(n_words + 1)])
+                postings = Postings(row, own.terms)
+                n_words, begin = row["n_words"], postings.begin
                 depth = np.zeros(begin[-1] + 1, np.int32)
                 items, close = defaultdict(set), defaultdict(set)
-                for n in lengths:
-                    # A window can only be here if all its terms are.
-                    for k in np.flatnonzero(size[tables[n]].min(1) > 0):
-                        i = by_length[n][k]
-                        at = phrase(lists, size, own.windows[i])
+                for n, windows in own.windows.items():
+                    for window, at in postings.phrases(windows):
                         np.add.at(depth, at, 1)
                         np.add.at(depth, at + n, -1)
-                        for d in np.unique(np.searchsorted(begin, at, "right") - 1):
-                            items[d].update(own.items[i])
-                        if slop is not None:
-                            for d in near(lists, size, own.windows[i], slop, begin):
-                                close[d].update(own.items[i])
+                        for w, d in np.unique(np.stack([window, postings.doc_of(at)]), axis=1).T:
+                            items[d].update(own.names_of(n, w))
+                    for window, doc in postings.near(windows, slop) if slop is not None else ():
+                        for w, d in np.unique(np.stack([window, doc]), axis=1).T:
+                            close[d].update(own.names_of(n, w))
                 edge = np.diff((np.cumsum(depth) > 0).astype(np.int8), prepend=0)
                 first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
                 doc = np.searchsorted(begin, first, "right") - 1
@@ -223,14 +252,14 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     parts = -(-total // MOST_TEST_BYTES) or 1
     if parts > 1:
         # The parts meet by a number each row is written with, as ids may repeat or be null.
-        docs = staged(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("id"),
-                                  F.col(text_col).cast("string").alias("text")), "numbered")
+        docs = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("id"),
+                           F.col(text_col).alias("text"))
         id_col, text_col = "id", "text"
+    index = build_index(docs, id_col, text_col)
     found = []
     for part in range(parts):
         own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        test_set = TestSet.of(own.toLocalIterator(), window)
-        found.append(search(build_index(docs, test_set.terms, id_col, text_col), test_set, slop))
+        found.append(search(index, TestSet.of(own.toLocalIterator(), window), slop))
     rows = found[0]
     if parts > 1:
         for other in found[1:]:

@@ -26,6 +26,7 @@ LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
 
 SHARDS, OLD_SHARDS = 16, 12
+NEAR_WORDS = 2
 
 
 def query(function):
@@ -132,10 +133,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """near_items counts the items with all words of a window within two words of their places."""
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR_WORDS)
     return rows.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("near_items"))
 
 
 LLM_ORACLE["op4_decontamination"] = r"""
@@ -161,11 +164,32 @@ hits AS (
     SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY id),
 items AS (
     SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-    FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY id)
+    FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY id),
+placed AS (
+    SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words WHERE side = 'd'),
+often AS (SELECT word, count(*) AS c FROM placed GROUP BY word),
+phrases AS (
+    SELECT phrase, n, row_number() OVER (ORDER BY phrase) AS k FROM (SELECT DISTINCT phrase, n FROM windows)),
+terms AS (
+    SELECT k, n, unnest(string_split(phrase, ' ')) AS word,
+           generate_subscripts(string_split(phrase, ' '), 1) - 1 AS o
+    FROM phrases),
+rarest AS (
+    SELECT k, n, arg_min(word, (c, o)) AS word, arg_min(o, (c, o)) AS o
+    FROM terms JOIN often USING (word) GROUP BY k, n HAVING count(*) = n),
+slop AS (SELECT unnest([-2, -1, 0, 1, 2]) AS x),
+starts AS (SELECT DISTINCT r.k, r.n, p.id, p.p - r.o + x AS s FROM rarest r JOIN placed p USING (word), slop),
+close AS (
+    SELECT s.k, s.id FROM starts s JOIN terms t USING (k), slop JOIN placed p
+        ON p.id = s.id AND p.word = t.word AND p.p = s.s + t.o + x
+    GROUP BY s.k, s.id, s.s, s.n HAVING count(DISTINCT t.o) = s.n),
+near AS (
+    SELECT c.id, count(DISTINCT v.item_id) AS near_items
+    FROM close c JOIN phrases USING (k) JOIN windows v USING (phrase) GROUP BY c.id)
 SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM words w LEFT JOIN hits USING (id) LEFT JOIN items USING (id) WHERE side = 'd'
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, 0)::BIGINT AS near_items
+FROM words w LEFT JOIN hits USING (id) LEFT JOIN items USING (id) LEFT JOIN near USING (id) WHERE side = 'd'
 """
 
 

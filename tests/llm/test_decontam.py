@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from codesieve.llm import decontam
@@ -111,6 +112,43 @@ def test_near_matches_beside_other_documents(spark, docs_of, slop):
         assert slop or all(r["near_items"] == r["items"] for r in rows)
 
 
+def test_one_index_for_several_test_sets(spark, docs_of, monkeypatch):
+    """Segments are cut by words, and hold what any test set asks for."""
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 30)
+    rng = random.Random(7)
+    text = lambda k: " ".join(rng.choice("abcde") for _ in range(k))
+    docs = [(i, text(rng.choice([0, 5, 12, 80])), None, None) for i in range(50)]
+    index = decontam.build_index(docs_of(docs).coalesce(1))
+    places = [[n + 1 for n in r["n_words"]] for r in index.select("n_words").collect()]
+    assert len(places) > 10 and all(sum(p[:-1]) < 30 for p in places)
+    assert sum(map(len, places)) == 50 and sum(sum(p) < 30 for p in places) <= 1
+    for k in range(2):
+        tests = [(i, text(4 + k)) for i in range(10)]
+        rows = decontam.search(index, decontam.TestSet.of(tests, 4)).collect()
+        got = sorted(((r["id"], r["n_words"], sum(x["last"] - x["first"] + 1 for x in r["spans"]), r["items"]) for r in rows), key=str)
+        assert got == plain([d[:2] for d in docs], tests, 4)
+
+
+@pytest.mark.parametrize("windows, starts", [(1, 1), (3, 20)])
+def test_blocks_of_windows(monkeypatch, windows, starts):
+    """The same matches however few windows and starts are held at a time."""
+    rng = random.Random(windows)
+    words = [rng.choice("abcd") for _ in range(300)]
+    tests = decontam.TestSet.of([(1, " ".join(rng.choice("abcde") for _ in range(40)))], 3)
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    lists = [[i for i, x in enumerate(words) if x == w] for w in numbers]
+    row = {"terms": [w.encode() for w in numbers], "n_words": [300],
+           "counts": np.array([len(x) for x in lists], np.int32).tobytes(),
+           "positions": np.array(sum(lists, []), np.int32).tobytes()}
+    postings = decontam.Postings(row, tests.terms)
+    pairs = lambda found: sorted((int(a), int(b)) for x, y in found for a, b in zip(x, y))
+    want = pairs(postings.phrases(tests.windows[3])), sorted(set(pairs(postings.near(tests.windows[3], 1))))
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", windows)
+    monkeypatch.setattr(decontam, "BLOCK_STARTS", starts)
+    assert want[0] and want == (pairs(postings.phrases(tests.windows[3])),
+                                sorted(set(pairs(postings.near(tests.windows[3], 1)))))
+
+
 def test_query(spark):
     assert "op4_decontamination" in LLM_QUERIES and "op4_decontamination" in LLM_ORACLE
     ok, note = compare(spark, SF, "op4_decontamination")
