@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +89,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    def new_numbers() -> defaultdict[bytes, int]:
+        """Numbers words in the order they come."""
+        return defaultdict(count().__next__)
+
     def segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, start, found, gaps, lengths, numbers = 0, 0, [], [], [], {}
+            first, start, found, gaps, lengths, numbers = 0, 0, [], [], [], new_numbers()
             for k, text in enumerate(batch.column(1).cast(pa.binary())):
                 words = words_of(text.as_py())
-                found.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 gaps.append(np.arange(start, start + len(words), dtype=np.int32))
                 lengths.append(len(words))
                 start += len(words) + 1
@@ -106,7 +111,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     pa.array([np.bincount(own, minlength=len(numbers)).astype(np.int32).tobytes()], pa.binary()),
                     pa.array([at[np.argsort(own, kind="stable")].tobytes()], pa.binary()),
                 ], ["ids", "n_words", "terms", "counts", "positions"])
-                first, start, found, gaps, lengths, numbers = k + 1, 0, [], [], [], {}
+                first, start, found, gaps, lengths, numbers = k + 1, 0, [], [], [], new_numbers()
 
     most = SEGMENT_WORDS
     return staged(slim.mapInArrow(lambda batches: segments(batches, most),
