@@ -1,7 +1,7 @@
 """Rules over logical lines and indented blocks of Python files.
 
-One shuffle spreads the files; every later window and grouping over lines reuses that
-partitioning. All steps are linear in the size of a file: a block is closed by the
+The lines are counted, and one shuffle spreads the files over tasks of a bounded number of lines;
+every later window and grouping over lines reuses that partitioning. All steps are linear in the size of a file: a block is closed by the
 first line that drops to its indent, so each drop is sent to the levels it closes and one
 window per level finds the end. No join compares lines with lines.
 """
@@ -33,6 +33,10 @@ LOOP = r"^\s*(?:for|while)(?![\p{L}\p{N}_])"
 BARE_EXCEPT = r"^\s*except\s*:"
 ELSE = r"^\s*else\s*:"
 DEF, LOOPING, EXCEPT = 1, 2, 3
+#: A task takes about as many lines at most, and while there are idle cores it gets no fewer than the second.
+LINES_PER_TASK, LEAST_LINES = 16_384, 1_024
+#: Characters that weigh as much as a line.
+LINE_CHARS = 128
 
 
 def masked_text(content: Column) -> Column:
@@ -47,13 +51,26 @@ def masked_text(content: Column) -> Column:
     return F.array_join(F.transform(tokens, mask), "")
 
 
+def _line_tasks(rows: DataFrame) -> int:
+    """Number of tasks for the lines of ``rows``, from a count of them.
+
+    Files are small where they are shuffled and many times larger as the rows the windows sort, so tasks
+    merged by the bytes of the shuffle would hold more lines the more files there are.
+    """
+    content = F.col("content")
+    weight = F.regexp_count(content, F.lit("\n")) + 1 + F.floor(F.length(content) / LINE_CHARS)
+    lines = rows.agg(F.sum(weight)).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-lines // LINES_PER_TASK), min(cores, -(-lines // LEAST_LINES)))
+
+
 def _python_lines(files: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     raw, masked = F.split("content", "\n"), F.split(masked_text(F.col("content")), "\n")
+    rows = files.where((F.col("language") == "python") & (F.col("content") != "")).select(*keys, "content")
     # Files are brought to their tasks whole: the shuffle has a row per file, and the windows over
     # its lines need no other.
-    rows = files.where((F.col("language") == "python") & (F.col("content") != "")).select(*keys, "content")
     return (
-        (rows.repartition(*keys) if spread else rows)
+        (rows.repartition(_line_tasks(rows), *keys) if spread else rows)
         .select(*keys, F.posexplode(F.arrays_zip(raw.alias("raw"), masked.alias("masked"))))
         .select(*keys, (F.col("pos") + 1).alias("line_no"), "col.raw", "col.masked")
     )

@@ -114,3 +114,16 @@ def test_texts(files_of):
     assert rows["PY-03"].recommendation == "Avoid using exec()."
     assert (rows["PY-03"].line_start, rows["PY-03"].line_end) == (53, 55)
     assert rows["PY-05"].code_snippet == "def f(a, b, c, d, e, g=[]):"
+
+
+def test_lines_of_a_task_are_bounded(spark):
+    """Many small files: their texts are little to shuffle, their lines are many to sort."""
+    from pyspark.sql import functions as F
+
+    from codesieve.operators.python_blocks import logical_lines
+
+    files = spark.range(200).select(
+        F.concat(F.lit("/r"), (F.col("id") % 4).cast("string")).alias("repo_path"), F.concat(F.lit("/r/"), F.col("id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.lit("python").alias("language"), F.repeat(F.lit("x += 1\n"), F.lit(1000)).alias("content"))
+    counts = logical_lines(files).select("k").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(counts) == 200_000 and max(counts) <= 40_000
