@@ -84,6 +84,9 @@ class Rule:
     detail: str | None = None
     #: Lines that follow a line and its predicate may read as ``ahead``.
     ahead: int = 0
+    #: The predicate of a JSON rule fails for files of no more characters. Where that goes for all JSON rules of a scan,
+    #: such files are not parsed and their ``json_valid`` is null.
+    more_chars_than: int = 0
 
     def __post_init__(self) -> None:
         if self.category not in CATEGORIES or self.severity not in SEVERITIES:
@@ -330,7 +333,7 @@ RULES: tuple[Rule, ...] = (
     Rule("JN-03", "json", "performance", "warning", "Large JSON file ({}KB)",
          "Consider splitting into smaller files or using a more efficient format.",
          f"json_valid AND json_chars > {MAX_JSON_CHARS}",
-         scope="file", detail="CAST(json_chars div 1024 AS STRING)"),
+         scope="file", detail="CAST(json_chars div 1024 AS STRING)", more_chars_than=MAX_JSON_CHARS),
     Rule("JN-04", "json", "maintainability", "info", "Deeply nested JSON structure (depth: {})",
          "Consider flattening the structure for better readability and performance.",
          f"json_valid AND json_depth > {MAX_JSON_DEPTH}",

@@ -49,8 +49,9 @@ def sql_statements(content: Column) -> Column:
     return F.filter(found, lambda s: lstrip(s) != "")
 
 
-def with_file_flags(files: DataFrame) -> DataFrame:
-    """Conditions over the whole text, each computed only for the language that asks."""
+def with_file_flags(files: DataFrame, parse_from: int = 0) -> DataFrame:
+    """Conditions over the whole text, each computed only for the language that asks. JSON files of
+    ``parse_from`` characters or fewer are not checked for validity."""
     content, language = F.col("content"), F.col("language")
 
     def flag(name: str, *texts: str, of: Column = content) -> Column:
@@ -66,7 +67,7 @@ def with_file_flags(files: DataFrame) -> DataFrame:
             flag("java", "password", "token", of=F.lower(content)),
         ).otherwise(F.lit(False)),
         "limited": flag("sql", "LIMIT", of=F.upper(content)),
-        "json_valid": F.when(json, json_is_valid(content)),
+        "json_valid": F.when(json & (F.length(content) > parse_from), json_is_valid(content)),
         "json_chars": F.when(json, F.length(content).cast("long")),
         "json_depth": F.when(json, json_depth(content)),
     })
@@ -115,10 +116,11 @@ def _lines(lines: Column, look_ahead: bool, context: int | None, width: int) ->
 
 
 def file_units(files: DataFrame, scopes: dict[str, set[str]], strict_start: bool = False,
-               context: int | None = None, width: int = 0) -> DataFrame:
+               context: int | None = None, width: int = 0, parse_from: int = 0) -> DataFrame:
     """One row per unit. ``scopes`` names the unit kinds each language needs. ``context`` adds
     ``around``: the lines up to so many before and after the unit's first, from the array at hand.
     ``width`` adds ``ahead``, as many of the lines that follow a line; other units have none.
+    ``parse_from`` is that of ``with_file_flags``.
 
     Statements lose the white space before them, so that all of them can be told by their first
     word; ``strict_start`` keeps it, and then only a statement that follows the semicolon of
@@ -144,7 +146,7 @@ def file_units(files: DataFrame, scopes: dict[str, set[str]], strict_start: bool
             language == name, F.concat(*wanted_parts) if len(wanted_parts) > 1 else wanted_parts[0])
     wanted = files.where((content != "") & language.isin(*scopes))
     return (
-        with_file_flags(wanted)
+        with_file_flags(wanted, parse_from)
         .withColumn("lines", lines_of(content))
         .select(*file_keys(files), "language", *FLAG_COLUMNS, F.inline(units))
     )

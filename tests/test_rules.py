@@ -271,3 +271,18 @@ def test_rules_of_other_units(files_of):
     for wrong in ({"scope": "block", "language": "go"}, {"scope": "key", "language": "go"}, {"scope": "file", "ahead": 2}):
         with pytest.raises(ValueError):
             register_rule("X-9", wrong.get("language", "go"), "bug", "info", "d", "r", "true", wrong["scope"], ahead=wrong.get("ahead", 0))
+
+
+def test_files_are_made_once_for_rules_over_whole_files(spark):
+    """What contents are computed from is not computed again in a filter below the scan."""
+    files = spark.range(3).selectExpr(
+        "'/r' AS repo_path", "concat('/r/', id, '.json') AS file_path", "'json' AS language",
+        "to_json(array_repeat(repeat('x', int(id) * 20000), 48)) AS content")
+    found = scan_rules(files, tuple(r for r in RULES if r.rule_id == "JN-03"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rlike") + plan.count("RLIKE") <= 4 and "size(" not in plan
+    assert [(r.file_path, r.rule_id) for r in found.collect()] == [("/r/2.json", "JN-03")]
+    assert sorted(r.rule_id for r in scan_rules(files.where("file_path LIKE '%2.json'"), RULES).collect()) == ["JN-03"]
+    broken = files.withColumn("content", F.concat("content", F.lit("]")))
+    assert scan_rules(broken, tuple(r for r in RULES if r.rule_id == "JN-03")).count() == 0
+    assert scan_rules(broken, tuple(r for r in RULES if r.rule_id in ("JN-01", "JN-03"))).count() == 3
