@@ -505,8 +505,9 @@ def trend_null_keys(spark, sf_dir):
 def _saved_snapshots(spark: SparkSession, sf_dir: str) -> ScanStore:
     """Both snapshots of each repository saved, then the current ones again with errors only."""
     store = ScanStore(spark, _scratch(spark, "store"))
-    files = corpora.snapshot_files(spark, sf_dir).withColumn(
-        "scan_id", F.concat("scan_id", F.replace("repo_path", F.lit("/"), F.lit("-"))))
+    # Written once: each save reads the files for its scan and twice for its headers.
+    files = written(corpora.snapshot_files(spark, sf_dir).withColumn(
+        "scan_id", F.concat("scan_id", F.replace("repo_path", F.lit("/"), F.lit("-")))), "snapshots")
     ts = F.lit(NOW).cast("timestamp")
     store.save_scans(files, scan_rules(files), ts)
     current = files.where(F.startswith("scan_id", F.lit("current")))

@@ -316,3 +316,19 @@ def test_versions_compared_on_arrival(files_of, spark, tmp_path):
     rows = with_texts(arrive(rounds[0], rounds[2]), versions.texts_of(spark, scanned)).select(*fields).collect()
     assert {tuple(r) for r in rows} == expected
     assert {r.status for r in rows} == {"new", "fixed", "remaining"}
+
+
+def test_files_of_the_stored_snapshots_are_built_once(spark, monkeypatch):
+    """Scan and headers of both saves read the written files."""
+    from codesieve.plans.queries import QUERIES
+    from codesieve.sources.store import ScanStore
+
+    plans, save = [], ScanStore.save_scans
+
+    def saved(self, files, *rest, **more):
+        plans.append(files._jdf.queryExecution().optimizedPlan().toString())
+        return save(self, files, *rest, **more)
+
+    monkeypatch.setattr(ScanStore, "save_scans", saved)
+    QUERIES["store_scans"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Aggregate" in plan for plan in plans)
